@@ -1,4 +1,9 @@
 """Named queries over the driver's tables and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from weftline.plans import context, joins, names, retrieval, splits, stats
+
+_ALL = (names, stats, joins, context, splits, retrieval)
+QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _ALL for k, s in m.ORACLES.items()}
