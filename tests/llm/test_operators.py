@@ -1,0 +1,219 @@
+"""Operators against brute force, their SQL, round trips and held-out accuracy on the smallest tables."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.llm import decontam, fingerprint, htmlmain, kernel, licenses, linededup, queries, setjoin, toxicity
+from weftline.llm.common import connected_components
+
+DATA = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def con():
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "labels", "pages"):
+        c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    return c
+
+
+@pytest.fixture(scope="module")
+def texts(con):
+    return dict(con.execute("select doc_id, text from documents").fetchall())
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, con, name):
+    got = queries.QUERIES[name](spark, DATA)
+    cur = con.execute(queries.ORACLES[name])
+    at = [[c[0] for c in cur.description].index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in cur.fetchall())
+
+
+@needs_data
+def test_mix_comes_near_its_targets(spark, con):
+    source = dict(con.execute("select doc_id, source from documents").fetchall())
+    taken, target = Counter(), {}
+    for r in queries.op1_mixing(spark, DATA).collect():
+        assert r["taken"] in [k * r["size"] for k in range(4)]
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 0.03 * target[s] for s in target)
+
+
+@needs_data
+def test_language_held_out(spark, con):
+    lang = dict(con.execute("select doc_id, lang from documents").fetchall())
+    held = [r for r in queries.op2_language(spark, DATA).collect() if r["held_out"]]
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in held)
+    assert np.mean([lang[r["doc_id"]] == r["lang_pred"] for r in held]) > 0.97
+
+
+def test_toxicity_reads_unseen_misspellings():
+    rng = random.Random(1)
+    syllables = ["the", "an", "er", "ti", "on", "es", "re", "nd", "ou", "ha"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    text = lambda *bad: " ".join(rng.sample(x := [word() for _ in range(80)] + list(bad), len(x)))
+    known, unseen = ["stupid", "pathetic", "worthless"], ["stuppid", "pathetiic", "worthles"]
+    y = np.array([i % 5 == 0 for i in range(400)]).astype(int)
+    model = toxicity.fit([text(rng.choice(known), rng.choice(known)) if t else text() for t in y], y)
+    score = model.scores(pa.array([text(w) for w in unseen * 10] + [text() for _ in range(60)]))
+    assert np.mean([p > n for p in score[:30] for n in score[30:]]) > 0.9
+    assert np.isclose(model.scores(pa.array([None, "", "..."])), model.scores(pa.array([""]))[0]).all()
+
+
+@needs_data
+def test_fingerprint_edits_and_likeness(spark, texts):
+    ids = sorted(texts)
+    nxt = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    near = []
+    for r in queries.op3_fingerprints(spark, DATA).collect():
+        t = texts[r["doc_id"]]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + texts[nxt[r["doc_id"]]][:q]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(t)
+        near.append(r["near_edited"] > r["near_next"])
+    assert np.mean(near) > 0.97
+
+
+def test_fingerprint_is_a_multiset_hash(spark):
+    d = spark.createDataFrame([("a b\nc d\ne f", "e f\na b\nc d", "a b\nc d", "e f")], "x string, y string, s string, t string")
+    for c in "xyst":
+        d = fingerprint.with_lanes(d, c, f"v{c}")
+    r = d.select("vx", "vy", fingerprint.add(F.col("vs"), F.col("vt")).alias("sum"), "vs", fingerprint.subtract(F.col("vx"), F.col("vt")).alias("cut")).first()
+    assert r["vx"] == r["vy"] == r["sum"] and r["vs"] == r["cut"]
+
+
+@needs_data
+def test_shards(spark, texts):
+    got = queries.op8_sharding(spark, DATA).collect()
+    size, slots, of = Counter(), defaultdict(list), defaultdict(set)
+    for r in got:
+        b = texts[r["doc_id"]].encode()
+        assert r["size"] == len(b) + 16 and r["text_crc32"] == zlib.crc32(b) and r["law"] == "bytes" and r["grown_shard"] is None
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        of[texts[r["doc_id"]]].add(r["shard"])
+    biggest = max(r["size"] for r in got)
+    assert set(size) <= set(range(40)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(size.values()) - sum(size.values()) / 40 <= biggest
+    group = Counter()
+    for t in texts.values():
+        group[t] += len(t.encode()) + 16
+    assert all(len(of[t]) == 1 for t in of if group[t] <= biggest)
+
+
+def test_word_hashes_by_brute_force():
+    rows = ["", None, "One two  THREE", "one two three four", "é É x", "x" * 3, " lead", "a\x0bb"]
+    seen: dict[str, int] = {}
+    for first, counts, h in kernel.word_hashes(pa.array(rows)):
+        at = 0
+        for r, c in enumerate(counts):
+            want = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), rows[first + r] or ""))
+            assert len(want) == c
+            for w, x in zip(want, h[at : at + c], strict=True):
+                assert seen.setdefault(w, int(x)) == int(x)
+            at += c
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_long_text_hashes_like_short_ones():
+    words = [f"w{i % 1000}" for i in range(400_000)]
+    (_, n, h), = kernel.word_hashes(pa.array([" ".join(words)]))
+    (_, _, s), = kernel.word_hashes(pa.array([" ".join(words[:1000])]))
+    assert n[0] == len(words) and (h.reshape(-1, 1000) == s).all()
+
+
+def test_link_forest_and_blocks_by_brute_force():
+    rng = random.Random(3)
+    t = setjoin.Threshold(90, 100)
+    for _ in range(30):
+        base = [rng.getrandbits(60) for _ in range(rng.choice([12, 60, 200]))]
+        sets = []
+        for _ in range(25):
+            s = {x for x in base if rng.random() > rng.choice([0, 0.02, 0.06])} | {rng.getrandbits(60) for _ in range(rng.choice([0, 1, 3]))}
+            sets.append(np.unique(np.array(sorted(s), np.uint64)))
+        u = {i: i for i in range(25)}
+
+        def root(u, a):
+            while u[a] != a:
+                a = u[a]
+            return a
+
+        v = dict(u)
+        for a, b in setjoin.link_forest(sets, t):
+            v[root(v, a)] = root(v, b)
+        for a in range(25):
+            for b in range(a):
+                n = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * n >= 90 * (len(sets[a]) + len(sets[b]) - n):
+                    u[root(u, a)] = root(u, b)
+                    if list(sets[a]) != list(sets[b]):
+                        assert np.intersect1d(setjoin.set_blocks(sets[a], t), setjoin.set_blocks(sets[b], t)).size
+        assert {(a, b) for a in range(25) for b in range(25) if root(u, a) == root(u, b)} == {(a, b) for a in range(25) for b in range(25) if root(v, a) == root(v, b)}
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300), (None, 5)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(e).collect()}
+    assert all(got[i] == 0 for i in [*range(41), 100]) and got[201] == got[200] == 200 and 300 not in got
+
+
+def test_decontam_finds_short_items_in_long_documents(spark):
+    rng = random.Random(5)
+    item = " ".join(f"q{rng.randrange(10**6)}" for _ in range(30))
+    filler = [f"w{rng.randrange(10**6)}" for _ in range(50_000)]
+    hit = " ".join([*filler[:31_001], item.upper().replace(" ", ", "), *filler[31_001:]])
+    docs = spark.createDataFrame([(1, hit), (2, " ".join(filler)), (3, " ".join(item.split()[:15]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert [tuple(r) for r in decontam.contaminated(docs, bench).collect()] == [(1, 9, 26, 26, 1.0)]
+
+
+def test_line_dedup_keeps_one_of_each_group(spark):
+    line = " ".join(f"term{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, f"Head one\n{line}"), (2, f"{line.replace('term40', 'term4o')}\ntail"), (3, f"  {line.upper()}!\nHead two"), (4, "***\n***")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_kept"]) for r in linededup.dedup_report(docs).collect()}
+    assert got == {1: (2, 2), 2: (2, 1), 3: (2, 1), 4: (2, 2)}
+
+
+def test_licenses_are_inherited_from_the_nearest_directory(spark):
+    files = spark.createDataFrame(
+        [("/a/LICENSE", "Released under the MIT License.", True), ("/a/b/LICENSE", "Licensed under the Apache License, Version 2.0.", True), ("/a/x.c", "code", False), ("/a/b/c/y.c", "code", False), ("/a/b/z.c", "x\nThis work is licensed under the GNU General Public License, version 3.", False), ("/q/w.c", "licensed to nobody", False), (None, None, None)],
+        "path string, text string, is_license boolean",
+    )
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(files).collect()}
+    assert got["/a/x.c"] == ("MIT", "dir:/a") and got["/a/b/c/y.c"] == ("Apache-2.0", "dir:/a/b") and got["/a/b/z.c"] == ("GPL-3.0", "own") and got["/q/w.c"] == got[None] == (None, "none")
+
+
+PAGE = "<html><head><title>x</title></head><body><header><h1>Site</h1></header><div class='cookie-notice'><p>{f}</p></div><ul class=menu><li><a>One</a></li></ul><main><article><h1>T &amp; t</h1><p>{f} <b>bo</b>ld.</p><p>Short.</p><div class='ad-slot'>{f}</div><p>End.</p></article><section id='comments'><p>{f}</p></section></main><aside><p>{f}</p></aside><form>{f}</form><footer>c</footer></body></html>"
+
+
+def test_html_keeps_the_article():
+    f = "Some words that go on for long enough to surge over the limit of a block of text."
+    assert htmlmain.extract(PAGE.format(f=f)) == f"T & t {f} bold. Short. End."
+
+
+@needs_data
+def test_html_of_the_table(con):
+    import html
+
+    good = 0
+    rows = con.execute("select html from pages").fetchall()
+    for (page,) in rows:
+        art = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"<(?!/?b>)[^>]*>", art))
+        good += htmlmain.extract(page) == " ".join(p for p in parts if p)
+    assert good == len(rows)

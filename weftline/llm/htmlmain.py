@@ -166,10 +166,13 @@ def extract(page: str | None) -> str:
             start -= 1
         while stop < e and _adjoins(all_lines[stop]):
             stop += 1
+        first, last = start, stop
         while start < stop and _stray(all_lines[start]):
             start += 1
         while stop > start and _stray(all_lines[stop - 1]):
             stop -= 1
+        if start == stop and not any(x.linked * 2 > len(x.text) for x in all_lines[first:last]):
+            start, stop = first, last  # nothing but short lines: they are the text
         kept += [x.text for x in all_lines[start:stop]]
     return " ".join(kept)
 

@@ -102,7 +102,7 @@ def set_blocks(u: np.ndarray, t: Threshold) -> np.ndarray:
         d, p = t.blocks(k)
         if d == 0:
             continue
-        salt = np.uint64(k + 1) * np.uint64(0xA24BAED4963EE407)
+        salt = np.uint64((k + 1) * 0xA24BAED4963EE407 % (1 << 64))
         part = (K.mix(u ^ salt) >> np.uint64(16)) % np.uint64(p)
         order = np.argsort(part, kind="stable")
         part, v = part[order], K.mix(u[order] + np.uint64(11))

@@ -25,6 +25,8 @@ from weftline.llm.common import small_arrow_batches
 TRAIN_DOCS, TRAIN_CHARS, LONGEST_TRAIN = 6000, 20_000_000, 20_000
 BUCKETS_LOG2, DIM, BLOCK_WORDS, GRAMS = 16, 16, 12, (3, 4, 5, 6)
 EPOCHS, MEAN_EPOCHS, BATCH, RATE, DECAY = 24, 4, 500, 0.03, 1e-5
+#: n-grams of fewer training texts than this have no vector.
+LEAST_TEXTS = 5
 CUT = 0.3
 _SEP = K.PUNCT | K.SPACE
 
@@ -105,8 +107,13 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     for a in range(0, len(texts), BATCH):
         parts = [x[1:] for x in features(pa.array(texts[a : a + BATCH]))]
         batches.append((*(np.concatenate(c) for c in zip(*parts, strict=True)), y[a : a + BATCH]))
+    seen = np.zeros(size, np.int64)
+    for words, n, g, _ in batches:
+        text = np.repeat(np.repeat(np.arange(len(words), dtype=np.int64), words), n)
+        seen += np.bincount(np.unique(text << BUCKETS_LOG2 | g) & (size - 1), minlength=size)
+    common = seen >= LEAST_TEXTS
     rng = np.random.default_rng(7)
-    emb = rng.normal(0, 0.1, (size, DIM))
+    emb = rng.normal(0, 0.1, (size, DIM)) * common[:, None]
     soft = rng.normal(0, 0.1, (DIM, 2))
     bias = np.array([0.0, np.log(y.mean() / (1 - y.mean()))])
     state = [(p, np.zeros_like(p), np.zeros_like(p)) for p in (emb, soft, bias)]
@@ -131,7 +138,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
             per_block = d[row] * share / bs
             hot = np.repeat(per_block, bs) / np.maximum(n, 1)
             used = np.repeat(hot != 0, n)
-            dt = np.bincount(g[used], weights=np.repeat(hot, n)[used], minlength=size)
+            dt = np.bincount(g[used], weights=np.repeat(hot, n)[used], minlength=size) * common
             dw = emb.T @ dt
             grads = (np.outer(dt, w) + DECAY * emb, np.stack([-dw, dw], 1), np.array([-d.sum(), d.sum()]))
             for (q, m, v), gr in zip(state, grads, strict=True):
