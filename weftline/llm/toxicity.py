@@ -103,10 +103,10 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
         return Model(np.zeros(size), 0.0, False)
     order = np.random.default_rng(5).permutation(len(texts))
     texts, y = [texts[i] for i in order], y[order].astype(np.float64)
-    batches = []
-    for a in range(0, len(texts), BATCH):
-        parts = [x[1:] for x in features(pa.array(texts[a : a + BATCH]))]
-        batches.append((*(np.concatenate(c) for c in zip(*parts, strict=True)), y[a : a + BATCH]))
+    batches, batch = [], min(BATCH, max(20, len(texts) // 12))
+    for a in range(0, len(texts), batch):
+        parts = [x[1:] for x in features(pa.array(texts[a : a + batch]))]
+        batches.append((*(np.concatenate(c) for c in zip(*parts, strict=True)), y[a : a + batch]))
     seen = np.zeros(size, np.int64)
     for words, n, g, _ in batches:
         text = np.repeat(np.repeat(np.arange(len(words), dtype=np.int64), words), n)
