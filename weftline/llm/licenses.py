@@ -61,7 +61,7 @@ def own_license(files: DataFrame) -> DataFrame:
     weight = F.create_map(*[F.lit(x) for t in VOCAB for x in (t, idf[t])])
     # Only a line with one of a template's telling terms can reach SIMILARITY; which terms tell follows from the weights.
     telling = sorted({t for x in TEMPLATES.values() for t in _telling(x, idf)})
-    lines = F.filter(F.split(F.coalesce(files["text"], F.lit("")), "\n"), lambda x: F.lower(x).rlike("(" + "|".join(telling) + ")"))
+    lines = F.filter(F.split(F.coalesce(files["text"], F.lit("")), "\n"), lambda x: F.lower(x).rlike("(?<![a-z0-9])(?:" + "|".join(telling) + ")(?![a-z0-9])"))
 
     def scored(line):
         words = _words(line)
