@@ -217,3 +217,29 @@ def test_html_of_the_table(con):
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"<(?!/?b>)[^>]*>", art))
         good += htmlmain.extract(page) == " ".join(p for p in parts if p)
     assert good == len(rows)
+
+
+def test_edit_bound_equals_brute_force(spark):
+    r, rows = random.Random(3), [("a", "ab"), ("ab", "a"), ("x" * 30, "x" * 31), ("x" * 9, "x" * 10), ("x" * 30, "y" * 30)]
+    for _ in range(400):
+        w = ["".join(r.choices("abé", k=r.randint(1, 4))) for _ in range(r.randint(1, 14))]
+        v = list(w)
+        for _ in range(r.randint(1, 3)):
+            i = r.randrange(len(v))
+            v[i : i + r.randint(0, 1)] = ["".join(r.choices("abé", k=r.randint(1, 4)))] * r.randint(0, 1) or v[i : i + 1]
+        if w != v:
+            rows.append((" ".join(w), " ".join(v)))
+
+    def distance(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        return p[-1]
+
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", linededup.within_edits(F.col("a"), F.col("b")).alias("w")).collect()
+    assert 20 < sum(x["w"] for x in got) < len(got)
+    for x in got:
+        assert x["w"] == (10 * distance(x["a"], x["b"]) <= max(len(x["a"]), len(x["b"])))
