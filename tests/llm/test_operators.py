@@ -243,3 +243,21 @@ def test_edit_bound_equals_brute_force(spark):
     assert 20 < sum(x["w"] for x in got) < len(got)
     for x in got:
         assert x["w"] == (10 * distance(x["a"], x["b"]) <= max(len(x["a"]), len(x["b"])))
+
+
+def test_line_simhash_counts_every_word(spark):
+    """Bits against a count in Python, for lines below, at and beyond the words counted together, and repeated rows."""
+    sizes = (1, 2, 126, 127, 128, 254, 400)
+    texts = {n: " ".join(f"w{(i * i + n) % 97}x{i % 7}" for i in range(n)) for n in sizes}
+    docs = spark.createDataFrame([(n, texts[n]) for n in sizes] + [(400, texts[400])] * 2 + [(2, texts[2])], "doc_id long, text string")
+    parts = linededup.parts_of(docs)
+    got = {r["len"]: (r["sim"], r["c"]) for r in linededup._distinct_lines(parts).collect()}
+    words = sorted({w for t in texts.values() for w in t.split()})
+    frame = spark.createDataFrame([(w,) for w in words], "w string")
+    known = {r["w"]: r["h"] % 2**64 for r in frame.select("w", F.xxhash64("w").alias("h")).collect()}
+    for n in sizes:
+        hashes = [known[w] for w in texts[n].split()]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
+        sim, c = got[len(texts[n])]
+        assert sim % 2**64 == want, n
+        assert c == {400: 3, 2: 2}.get(n, 1)
