@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.split import _cut
+
 
 def tolerance_join(left: DataFrame, right: DataFrame, by: list[str], key: str, offsets: list[int]) -> DataFrame:
     """For each left row the right row at key + the first offset that has one; adds prio (null: none)."""
@@ -46,6 +48,42 @@ def jaccard_pairs(sets: DataFrame, owner: str, element: str, max_df: int, least:
     return p.withColumn("jaccard", F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).where(F.col("jaccard") >= least).select("a", "b", "inter", "jaccard")
 
 
+def similar_pairs(sets: DataFrame, owner: str, element: str, least: float) -> DataFrame:
+    """(a, b, inter, jaccard) of all pairs of owners with Jaccard least (above 0) of their full sets, by an exact prefix filter.
+
+    Owners of identical sets are one class, for which its smallest owner stands. Elements are put in one order, rare ones
+    first; two sets of Jaccard t share one of the first n - ceil(t n) + 1 elements of each, so classes are joined on those.
+    Candidates that their places in the order still allow are settled by the full sets.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    s = sets.select(owner, element).where(F.col(element).isNotNull() & F.col(owner).isNotNull()).distinct()
+    own = s.groupBy(F.col(owner).alias("o")).agg(F.array_sort(F.collect_list(element)).alias("es"))
+    own = _cut(own.withColumn("k", F.sha2(F.to_json("es"), 256)))
+    rep = own.groupBy("k").agg(F.min("o").alias("rep"))
+    member = _cut(own.select("k", "o", F.size("es").cast("long").alias("n")).join(rep, "k").select("rep", "o", "n"))
+    full = _cut(own.join(rep.select(F.col("rep").alias("o")), "o").select(F.col("o").alias("rep"), "es"))
+    e = full.select("rep", F.size("es").alias("n"), F.explode("es").alias("e"))
+    e = e.join(e.groupBy("e").agg(F.count("*").alias("df")), "e")
+    e = e.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    first = F.slice("es", F.lit(1), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))
+    e = _cut(e.select("rep", "n", F.posexplode(first).alias("at", "x")).select("rep", "n", "at", F.col("x.e").alias("e")))
+    x = e.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), "e")
+    y = e.select(F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), "e")
+    met = x.join(y, "e").where((F.col("x") < F.col("y")) & (F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y") - 1e-9))
+    met = met.groupBy("x", "y", "n_x", "n_y").agg(F.count("*").alias("c"), F.max("at_x").alias("at_x"), F.max("at_y").alias("at_y"))
+    # All shared elements up to the last met one are met; behind it each side has so many more at most.
+    most = F.col("c") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) - 1
+    met = met.where(most >= least / (1 + least) * (F.col("n_x") + F.col("n_y")) - 1e-9).select("x", "y", "n_x", "n_y")
+    both = met.join(full.select(F.col("rep").alias("x"), F.col("es").alias("es_x")), "x").join(full.select(F.col("rep").alias("y"), F.col("es").alias("es_y")), "y")
+    both = both.withColumn("inter", F.size(F.array_intersect("es_x", "es_y")).cast("long")).drop("es_x", "es_y")
+    both = both.withColumn("jaccard", F.col("inter") / (F.col("n_x") + F.col("n_y") - F.col("inter"))).where(F.col("jaccard") >= least)
+    a, b = member.select(F.col("rep").alias("x"), F.col("o").alias("a"), "n"), member.select(F.col("rep").alias("y"), F.col("o").alias("b"))
+    same = a.join(b, F.col("x") == F.col("y")).where("a < b").select("a", "b", F.col("n").alias("inter"), F.lit(1.0).alias("jaccard"))
+    near = both.join(a.drop("n"), "x").join(b, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "inter", "jaccard")
+    return same.union(near)
+
+
 def nearest(left: DataFrame, right: DataFrame, by: str, lkey: str, rkey: str, rid: str) -> DataFrame:
     """Adds near (right rid) and delta: the closest right key of the same group; ties go to the earlier key, then the smaller id.
 

@@ -62,6 +62,13 @@ def set_sim_join(t):
     return J.jaccard_pairs(s, "doc_id", "e", 30, 0.5).select("a", "b", "inter", F.round("jaccard", 9).alias("jaccard"))
 
 
+@query()
+def set_sim_join_full(t):
+    """Jaccard of the full word sets; set_sim_join and its SQL leave out words of more than 30 documents."""
+    s = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("e"))
+    return J.similar_pairs(s, "doc_id", "e", 0.5).select("a", "b", "inter", F.round("jaccard", 9).alias("jaccard"))
+
+
 @query("SELECT a.l_orderkey, count(*) AS pairs, count(*) FILTER (a.l_partkey = b.l_partkey) AS same_part FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_returnflag <> b.l_returnflag GROUP BY a.l_orderkey")
 def pairs_self(t):
     a = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey")
