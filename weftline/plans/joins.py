@@ -56,6 +56,13 @@ def overlap_pairs(t):
     return p.select("a", "b", "inter", F.round("coef", 9).alias("coef"))
 
 
+@query()
+def overlap_pairs_all(t):
+    """All suppliers and their real parts; overlap_pairs and its SQL take suppliers under 60 and parts modulo 200."""
+    p = J.overlap_pairs(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("e")), "l_suppkey", "e", 0.35, 20)
+    return p.select("a", "b", "inter", F.round("coef", 9).alias("coef"))
+
+
 @query("WITH s AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS e FROM documents), f AS (SELECT e FROM s GROUP BY e HAVING count(*) <= 30), r AS (SELECT s.* FROM s JOIN f USING (e)), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM r a JOIN r b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT a, b, inter, round(inter::DOUBLE / (x.n + y.n - inter), 9) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE inter::DOUBLE / (x.n + y.n - inter) >= 0.5")
 def set_sim_join(t):
     s = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("e"))

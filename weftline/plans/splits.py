@@ -61,6 +61,12 @@ def families(t):
     return P.components(J.overlap_pairs(s, "l_suppkey", "e", 0.95, 20))
 
 
+@query()
+def families_all(t):
+    """All suppliers and their real parts; families and its SQL take suppliers under 60 and parts modulo 200."""
+    return P.components(J.overlap_pairs(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("e")), "l_suppkey", "e", 0.95, 20))
+
+
 @query()
 def dup_builds(t):
     rows = t.lineitem.select((F.col("l_suppkey") % 10).alias("program"), F.col("l_suppkey").alias("build"), (F.col("l_partkey") % 20).alias("tok")).groupBy("program", "build", "tok").agg(F.count("*").alias("cnt"))
