@@ -97,6 +97,20 @@ def test_fingerprint_is_a_multiset_hash(spark):
     assert r["vx"] == r["vy"] == r["sum"] and r["vs"] == r["cut"]
 
 
+def test_fingerprint_likeness_of_very_long_texts(spark):
+    """100,000 pieces: far more than a counter of 16 bits holds."""
+    n = 100_000
+    x, other = [f"x{i}" for i in range(n)], [f"y{i}" for i in range(n)]
+    d = spark.createDataFrame([("\n".join(x), "\n".join(x[: 3 * n // 4] + other[: n // 4]), "\n".join(other))], "x string, kept string, other string")
+    d = d.repartition(1)  # else the optimizer computes the vectors
+    for c in d.columns:
+        d = fingerprint.with_lanes(d, c, f"v{c}")
+    r = d.select("vx", "vkept", "vother").withColumns({c: fingerprint.likeness(F.col("vx"), F.col(f"v{c}")) for c in ("kept", "other")}).first()
+    bits = lambda v: [v[fingerprint.EQUAL + i] >> 32 * k & 0xFFFFFFFF for k in range(2) for i in range(fingerprint.LIKE)]
+    assert r["vx"][-1] == n and all(abs(2 * c - n) < 6 * n**0.5 for c in bits(r["vx"]))
+    assert r["kept"] > 0.6 and r["other"] < 0.5
+
+
 @needs_data
 def test_shards(spark, texts):
     got = queries.op8_sharding(spark, DATA).collect()

@@ -2,10 +2,9 @@
 
 A text is a multiset of pieces: its paragraphs (lines), cut into runs of six words. Each piece is hashed into
 a wide vector, and the fingerprint is the sum of the vectors, modulo powers of two: EQUAL lanes of 32 bits of
-the paragraphs' own hashes decide equality whatever their order; LIKE longs hold four 16-bit counters each of
-single hash bits of the pieces, whose centred values approximate the cosine of two multisets (the likeness
-blurs where counters wrap, beyond 32,767 pieces; equality does not). Sums and
-differences of vectors insert and delete paragraphs (add, subtract) without reading the rest.
+the paragraphs' own hashes decide equality whatever their order; LIKE longs hold two 32-bit counters each of
+single hash bits of the pieces, whose centred values approximate the cosine of two multisets (the upper counter has
+31 bits; no text has so many pieces, as a string holds less than 2^31 bytes). Sums and differences of vectors insert and delete paragraphs (add, subtract) without reading the rest.
 
 Defined results: a null text counts as empty; the empty text has no pieces and the zero fingerprint, and two
 zero fingerprints are alike (1), a zero and another not (0); rows that repeat a doc_id are ordered by a hash of
@@ -19,9 +18,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import lookup_join, stage
 
-EQUAL, LIKE = 8, 16
-_FIELD = (1 << 16) - 1
-_BITS = 1 | (1 << 16) | (1 << 32) | (1 << 48)
+EQUAL, LIKE = 8, 32
+_FIELD = (1 << 32) - 1
+_BITS = 1 | (1 << 32)
 _TOP = (1 << 63) - 1
 #: About so many rows share a bucket of neighbouring ids.
 BUCKET_ROWS, HISTOGRAM = 2000, 4096
@@ -72,11 +71,11 @@ def likeness(a: Column, b: Column) -> Column:
 
     def centred(v, k):
         n = F.element_at(v, -1)
-        return F.transform(F.slice(v, EQUAL + 1, LIKE), lambda x: (2 * F.shiftrightunsigned(x, 16 * k).bitwiseAND(_FIELD) - n).cast("double"))
+        return F.transform(F.slice(v, EQUAL + 1, LIKE), lambda x: (2 * F.shiftrightunsigned(x, 32 * k).bitwiseAND(_FIELD) - n).cast("double"))
 
     def dot(x, y):
         s = None
-        for k in range(4):
+        for k in range(2):
             part = F.aggregate(F.zip_with(centred(x, k), centred(y, k), lambda p, q: p * q), F.lit(0.0), lambda t, z: t + z)
             s = part if s is None else s + part
         return s
