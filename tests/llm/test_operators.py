@@ -212,6 +212,16 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert got["/a/x.c"] == ("MIT", "dir:/a") and got["/a/b/c/y.c"] == ("Apache-2.0", "dir:/a/b") and got["/a/b/z.c"] == ("GPL-3.0", "own") and got["/q/w.c"] == got[None] == (None, "none")
 
 
+def test_license_of_a_line_with_common_words_at_any_size(spark):
+    line = "This file is released under the MIT License."
+    for n in (30, 3000):
+        common = [(f"/c/{i}.c", "this file is not\nlong", False) for i in range(n)]
+        named = [(f"/l/{i}.c", f"x\n{line}", False) for i in range(max(1, n // 100))]
+        files = spark.createDataFrame(common + named, "path string, text string, is_license boolean")
+        got = [(r["license"], r["similarity"]) for r in licenses.scan(files).where("path like '/l/%'").collect()]
+        assert len(got) == len(named) and all(x == "MIT" and s > 0.9 for x, s in got)
+
+
 PAGE = "<html><head><title>x</title></head><body><header><h1>Site</h1></header><div class='cookie-notice'><p>{f}</p></div><ul class=menu><li><a>One</a></li></ul><main><article><h1>T &amp; t</h1><p>{f} <b>bo</b>ld.</p><p>Short.</p><div class='ad-slot'>{f}</div><p>End.</p></article><section id='comments'><p>{f}</p></section></main><aside><p>{f}</p></aside><form>{f}</form><footer>c</footer></body></html>"
 
 

@@ -1,8 +1,7 @@
 """License scan: sparse TF-IDF cosine of lines to templates, then the nearest ancestor directory's licence.
 
 A file's licence is that of its line with the largest cosine to a template, SIMILARITY at least. Weights are
-tf times idf; document frequencies of template terms are counted over all files, and terms outside the templates have
-the idf of a term seen nowhere. A licence file (is_license) also gives its licence to its directory; a file
+tf times idf; document frequencies of all words of the lines compared are counted over all files. A licence file (is_license) also gives its licence to its directory; a file
 without one of its own takes that of the nearest directory above it, by a join on ancestor paths.
 
 Defined results: null and empty texts and null paths have no licence of their own, null paths inherit none;
@@ -46,34 +45,55 @@ def _words(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9]+|[^\x00-\x7F]+"), F.lit(0))
 
 
-def term_weights(files: DataFrame) -> tuple[dict[str, float], float]:
-    """idf of each template term over all files, and of a term seen nowhere."""
+def _idf(n: int, df: int) -> float:
+    return math.log((n + 1) / (df + 1)) + 1
+
+
+def term_weights(files: DataFrame) -> tuple[dict[str, float], int]:
+    """idf of each template term over all files, and the number of files."""
     n = files.count()
     own = F.array_intersect(_words(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, VOCAB)))
     df = {r["t"]: r["count"] for r in files.select(F.explode(own).alias("t")).groupBy("t").count().collect()}
-    idf = lambda k: math.log((n + 1) / (k + 1)) + 1
-    return {t: idf(df.get(t, 0)) for t in VOCAB}, idf(0)
+    return {t: _idf(n, df.get(t, 0)) for t in VOCAB}, n
 
 
 def own_license(files: DataFrame) -> DataFrame:
-    """Adds license string and similarity double of each row's own text (null and 0 if none)."""
-    idf, unknown = term_weights(files)
-    weight = F.create_map(*[F.lit(x) for t in VOCAB for x in (t, idf[t])])
+    """The files without text, with __row, license string and similarity double of each row's own text (null and 0 if none)."""
+    idf, n = term_weights(files)
     # Only a line with one of a template's telling terms can reach SIMILARITY; which terms tell follows from the weights.
     telling = sorted({t for x in TEMPLATES.values() for t in _telling(x, idf)})
     lines = F.filter(F.split(F.coalesce(files["text"], F.lit("")), "\n"), lambda x: F.lower(x).rlike("(?<![a-z0-9])(?:" + "|".join(telling) + ")(?![a-z0-9])"))
-
-    def scored(line):
-        words = _words(line)
-        return F.transform(F.array(words), lambda w: _best(w, idf, weight, unknown))
-
-    best = F.array_max(F.flatten(F.transform(lines, scored)))
-    out = files.withColumn("__best", best)
+    rows = stage(files.withColumns({"__row": F.monotonically_increasing_id(), "__lines": F.array_distinct(lines)}).drop("text"), "rows")
+    own = rows.select("__row", F.explode("__lines").alias("line"))
+    scores = _scores(own.select("line").distinct(), files, idf, n)
+    best = stage(lookup_join(own, scores, "line", "inner").groupBy("__row").agg(F.max("best").alias("__best")), "best")
+    out = lookup_join(rows.drop("__lines"), best, "__row")
     hit = F.col("__best.s") >= SIMILARITY
     names = F.array(*map(F.lit, TEMPLATES))
     return out.withColumns({"license": F.when(hit, F.element_at(names, -F.col("__best.i"))), "similarity": F.coalesce("__best.s", F.lit(0.0))}).drop("__best")
 
 
+def _scores(lines: DataFrame, files: DataFrame, idf: dict[str, float], n: int) -> DataFrame:
+    """(line, best): the largest cosine s of each line to a template and -i of that template.
+
+    Document frequencies are counted over all files for all words of the lines.
+    """
+    tf = stage(lines.select("line", F.explode(_words(F.col("line"))).alias("t")).groupBy("line", "t").agg(F.count("*").alias("tf")), "tf")
+    words = stage(tf.select("t").distinct(), "words")
+    held = files.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("t"))
+    df = stage(lookup_join(held, words, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df")), "df")
+    weight = F.log((n + 1) / (F.col("df") + 1)) + 1
+    dots, sizes = [], []
+    for i, x in enumerate(TEMPLATES.values(), 1):
+        own = Counter(tokens(x))
+        sizes.append(math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items())))
+        mine = F.create_map(*[F.lit(y) for t, c in own.items() for y in (t, c * idf[t] ** 2)])
+        dots.append(F.sum(F.col("tf") * F.coalesce(F.try_element_at(mine, F.col("t")), F.lit(0.0))).alias(f"d{i}"))
+    sums = lookup_join(tf, df, "t", "inner").groupBy("line").agg(F.sqrt(F.sum(F.pow(F.col("tf") * weight, F.lit(2.0)))).alias("norm"), *dots)
+    cands = [F.struct(F.round(F.col(f"d{i}") / (F.col("norm") * size), 12).alias("s"), F.lit(-i).alias("i")) for i, size in enumerate(sizes, 1)]
+    return stage(sums.select("line", F.array_max(F.array(*cands)).alias("best")), "scores")
+
+
 def _telling(template: str, idf: dict[str, float]) -> set[str]:
     """The fewest heaviest terms without which a line's cosine to the template stays below SIMILARITY."""
     tf = Counter(tokens(template))
@@ -87,24 +107,6 @@ def _telling(template: str, idf: dict[str, float]) -> set[str]:
     return out
 
 
-def _best(w: Column, idf: dict[str, float], weight: Column, unknown: float) -> Column:
-    distinct = F.array_distinct(w)
-    tf = lambda t: F.size(F.filter(w, lambda x: x == t)).cast("double")
-    norm = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda s, t: s + F.pow(tf(t) * F.coalesce(F.try_element_at(weight, t), F.lit(unknown)), F.lit(2.0))))
-    cands = []
-    for i, x in enumerate(TEMPLATES.values(), 1):
-        own = Counter(tokens(x))
-        size = math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items()))
-        mine = F.create_map(*[F.lit(y) for t, c in own.items() for y in (t, c * idf[t] ** 2)])
-        dot = _dot(w, mine)
-        cands.append(F.struct(F.round(dot / (norm * size), 12).alias("s"), F.lit(-i).alias("i")))
-    return F.array_max(F.array(*cands))
-
-
-def _dot(w: Column, weights: Column) -> Column:
-    return F.aggregate(w, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(weights, t), F.lit(0.0)))
-
-
 def ancestors(path: Column) -> Column:
     """Directories above a path /a/b/file, as structs (depth, dir): /a/b, /a and the root."""
     part = F.split(path, "/")
@@ -114,7 +116,7 @@ def ancestors(path: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """Licences of files(path, text, is_license): all their columns but text, with license, similarity, origin."""
     keep = [c for c in files.columns if c not in ("text", "license", "similarity", "origin")]
-    own = stage(own_license(files.select(*keep, "text")).drop("text").withColumn("__row", F.monotonically_increasing_id()), "own")
+    own = stage(own_license(files.select(*keep, "text")), "own")
     parent = F.element_at(ancestors(F.col("path")), -1)["dir"]
     given = own.where("is_license and license is not null and path is not null")
     dirs = stage(given.groupBy(parent.alias("dir")).agg(F.min_by("license", F.struct(-F.col("similarity"), "path")).alias("given")), "dirs")
