@@ -203,6 +203,22 @@ def test_line_dedup_keeps_one_of_each_group(spark):
     assert got == {1: (2, 2), 2: (2, 1), 3: (2, 1), 4: (2, 2)}
 
 
+def test_line_dedup_meets_every_pair_of_one_word(spark):
+    """One word changed, added or left out in lines of all lengths: SimHash alone misses most of the short ones."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(60):
+        w = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3 + i)]
+        at = rng.randrange(len(w))
+        long = "".join(rng.choices("qrstuvwxyz", k=max(0, len(w) // 2 - 1)))
+        other = w[:at] + [[w[at][:-1] + "z"], [w[at], "qq"], [w[at] + long]][i % 3] + w[at + 1 :]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    within = [i for i in range(60) if len(docs[2 * i + 1][1]) - len(docs[2 * i][1]) <= 0.1 * len(docs[2 * i + 1][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_kept"] for r in linededup.dedup_report(df).collect()}
+    assert len(within) > 50 and all(got[2 * i] == 1 and got[2 * i + 1] == 0 for i in within)
+
+
 def test_licenses_are_inherited_from_the_nearest_directory(spark):
     files = spark.createDataFrame(
         [("/a/LICENSE", "Released under the MIT License.", True), ("/a/b/LICENSE", "Licensed under the Apache License, Version 2.0.", True), ("/a/x.c", "code", False), ("/a/b/c/y.c", "code", False), ("/a/b/z.c", "x\nThis work is licensed under the GNU General Public License, version 3.", False), ("/q/w.c", "licensed to nobody", False), (None, None, None)],
