@@ -8,17 +8,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A look-up side of at most this many rows (a few dozen bytes each) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: A look-up side is broadcast within this many rows and bytes of its columns; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (local tests) a temporary one."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
@@ -29,7 +31,16 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later plan reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._staged_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -45,16 +56,41 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "left", rows: int | None = None) -> DataFrame:
-    """Joins with a staged small side, broadcast only when its counted rows are within BROADCAST_ROWS."""
-    rows = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+def _width(dt) -> int:
+    """Bytes of a value of a fixed-width type with its overhead in a row, or 0 for types of any length."""
+    if dt.typeName() == "struct":
+        inside = [_width(f.dataType) for f in dt.fields]
+        return 16 + sum(inside) if all(inside) else 0
+    return 0 if dt.typeName() in ("string", "binary", "array", "map", "variant") else 16
+
+
+def fits_broadcast(small: DataFrame) -> bool:
+    """Counts the rows of a staged table, and the bytes of its columns of any length, against the two bounds."""
+    fixed, loose = 16, []
+    for f in small.schema.fields:
+        w = _width(f.dataType)
+        fixed += w
+        if not w:
+            loose.append(F.octet_length(F.col(f.name)) if f.dataType.typeName() in ("string", "binary") else F.octet_length(F.to_json(F.array(f.name))))
+    size = sum((F.coalesce(x, F.lit(0)) for x in loose), F.lit(0))
+    r = small.agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("b")).first()
+    return r["n"] <= BROADCAST_ROWS and r["n"] * fixed + (r["b"] or 0) <= BROADCAST_BYTES
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "left", rows: int | None = None, fits: bool | None = None) -> DataFrame:
+    """Joins with a staged small side, broadcast only when it is within the bounds of rows and bytes.
+
+    rows: its row count where that is known and all columns are of fixed width; fits: the answer where it is known.
+    """
+    if fits is None:
+        fits = fits_broadcast(small) if rows is None else rows <= BROADCAST_ROWS
+    return big.join(F.broadcast(small) if fits else small, on, how)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node that has an edge.
 
-    edges(a long, b long); self-loops, repeats and nulls are dropped. Returns (node, component). Alternates
+    edges(a, b) of one orderable type; self-loops, repeats and nulls are dropped. Returns (node, component). Alternates
     large-star and small-star steps, each round written to the shared folder; a hot node is a skewed
     join key that adaptive execution splits, and its minimum is a partial aggregate.
     """
@@ -71,7 +107,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("a"), F.col("m"), "u")
         small = small.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        e = stage(small.where("u <> v").distinct(), "cc")
+        before, e = e, stage(small.where("u <> v").distinct(), "cc")
+        unstage(before)
         after = _mark(e)
         if after == mark:
             break
