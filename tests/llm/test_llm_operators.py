@@ -246,17 +246,31 @@ def test_html_keeps_the_article():
     assert htmlmain.extract(PAGE.format(f=f)) == f"T & t {f} bold. Short. End."
 
 
+def test_html_of_unknown_markup():
+    """No article, no known names: long lines with short ones between them stay, links and short ends go."""
+    f = "Some words that go on for long enough to surge over the limit of a block of text."
+    menu = "".join(f"<div class=q{i}><a href=x>Entry {i}</a></div>" for i in range(9))
+    page = f"<body><div id=k1>{menu}</div><div class=zz><div>{f}</div><div>Tiny.</div><div>{f} more</div></div><div>{menu}</div><div>(c) 2020 Someone</div></body>"
+    assert htmlmain.extract(page) == f"{f} Tiny. {f} more"
+    assert htmlmain.extract(f"<form><div class='content has-sidebar'><article><p>{f}</p><p>x</p></article></div><div class='sidebar'>{f}</div></form>") == f"{f} x"
+
+
 @needs_data
-def test_html_of_the_table(con):
+def test_html_of_the_table(con, monkeypatch):
+    """Articles of the table, also without article tags, section names and known words; not without the line blocks."""
     import html
 
-    good = 0
-    rows = con.execute("select html from pages").fetchall()
-    for (page,) in rows:
+    rows = [r[0] for r in con.execute("select html from pages").fetchall()]
+    want = []
+    for page in rows:
         art = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"<(?!/?b>)[^>]*>", art))
-        good += htmlmain.extract(page) == " ".join(p for p in parts if p)
-    assert good == len(rows)
+        want.append(" ".join(p for p in parts if p))
+    good = lambda pages: sum(htmlmain.extract(p) == w for p, w in zip(pages, want, strict=True))
+    plain = [re.sub(r"(</?)(article|main|footer|nav|aside|header)>", r"\1div>", p).replace('class="ad"', 'class="k7"') for p in rows]
+    assert good(rows) == good(plain) == len(rows)
+    monkeypatch.setattr(htmlmain, "stretches", lambda weight: [(0, len(weight))])
+    assert good(rows) < len(rows) / 4 and good(plain) == 0
 
 
 def test_edit_bound_equals_brute_force(spark):
