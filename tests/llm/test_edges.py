@@ -49,6 +49,19 @@ OPS = {
 ROWS_OUT = {"mix_documents": None, "keep_clean": 10, "decontam": 7, "keep_one": 8}
 
 
+def test_repeated_ids_with_different_texts_are_kept_apart(spark):
+    rows = [(1, "one two three four five six seven", "a"), (1, "eight nine ten eleven twelve thirteen", "a"), (1, "one two three four five six seven", "b"), (2, "eight nine ten eleven twelve thirteen", "c"), (None, "x", "d")]
+    got = setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string, size string")).collect()
+    assert len(got) == 3 and {r["text"] for r in got} == {rows[0][1], rows[1][1], "x"}
+
+
+def test_short_items_are_found_where_they_are_the_whole_text(spark):
+    bench = spark.createDataFrame([(1, "Four words of it"), (2, "five words are in it"), (3, "!!")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "four words, of it"), (2, "here four words of it are"), (3, "now five words are in it too"), (4, None), (5, "...")], "doc_id long, text string")
+    got = decontam.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_shingles"]) for r in got) == [(1, 1, 1), (3, 2, 1)]
+
+
 @pytest.mark.parametrize("name", OPS)
 def test_odd_rows(spark, docs, labels, name):
     got = OPS[name](spark, docs, labels).collect()

@@ -228,6 +228,45 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert got["/a/x.c"] == ("MIT", "dir:/a") and got["/a/b/c/y.c"] == ("Apache-2.0", "dir:/a/b") and got["/a/b/z.c"] == ("GPL-3.0", "own") and got["/q/w.c"] == got[None] == (None, "none")
 
 
+def test_licenses_of_headers_and_whole_files(spark):
+    from weftline.llm import notices
+
+    words = lambda t, mark: "\n".join(f"{mark} {' '.join(w)}" for w in (t.split()[i : i + 9] for i in range(0, len(t.split()), 9)))
+    rows = [
+        ("/a/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + words(notices._MIT, "") + "\n\n" + words(notices._MIT_REST, ""), True, "MIT"),
+        ("/b/LICENSE", "Copyright 2001 X\n\n" + words(f"{notices._BSD} {notices._BSD_NAME} {notices._BSD_REST}", ""), True, "BSD-3-Clause"),
+        ("/c/LICENSE", "Copyright 2001 X\n\n" + words(f"{notices._BSD} {notices._BSD_REST}", ""), True, "BSD-2-Clause"),
+        ("/d/x.c", "/*\n" + words(notices._APACHE, " *") + "\n */\n\nint main() { return 0; }", False, "Apache-2.0"),
+        ("/e/x.py", "#!/bin/python\n\n" + words(notices._gnu("General Public License", "3"), "#") + "\n\nimport os", False, "GPL-3.0"),
+        ("/f/x.py", "# SPDX-License-Identifier: WTFPL\nimport os", False, "WTFPL"),
+        ("/g/x.py", "the software is provided to the user\n\nand the license of the car\nis in the bag", False, None),
+        ("/a/y/z.c", "code", False, "MIT"),
+    ]
+    files = spark.createDataFrame([r[:3] for r in rows] + [(f"/z/{i}.c", "the one of the two and to", False) for i in range(40)], "path string, text string, is_license boolean")
+    got = {r["path"]: r["license"] for r in licenses.scan(files).collect()}
+    assert {r[0]: got[r[0]] for r in rows} == {r[0]: r[3] for r in rows}
+
+
+def test_license_cosines_equal_brute_force(spark):
+    import math
+
+    from weftline.llm import notices
+
+    texts = ["Released under the MIT License", "This file is licensed under the Apache License, Version 2.0", "nothing here of it", "Licensed to the GNU\nLicensed under CC BY-NC 4.0 by me"]
+    files = spark.createDataFrame([(f"/{i}", t, False) for i, t in enumerate(texts * 3)], "path string, text string, is_license boolean")
+    bag = lambda t: Counter(re.findall(r"[a-z0-9]+", t.lower()))
+    df = Counter(w for t in texts * 3 for w in set(bag(t)))
+    idf = lambda w: math.log((len(texts) * 3 + 1) / (df[w] + 1)) + 1
+    norm = lambda b: math.sqrt(sum((c * idf(w)) ** 2 for w, c in b.items()))
+    cos = lambda a, b: sum(c * b[w] * idf(w) ** 2 for w, c in a.items()) / (norm(a) * norm(b))
+    for r in licenses.scan(files).collect():
+        best = max((cos(bag(x), bag(t)) for x in texts[int(r["path"][1:]) % 4].split("\n") for _, t in notices.TEMPLATES))
+        if best >= licenses.SIMILARITY:
+            assert abs(r["similarity"] - best) < 1e-9
+        else:
+            assert r["license"] is None
+
+
 def test_license_of_a_line_with_common_words_at_any_size(spark):
     line = "This file is released under the MIT License."
     for n in (30, 3000):
@@ -337,7 +376,7 @@ def test_line_pairs_grow_with_lines(spark):
     count = {}
     for n in (200, 800):
         lines = linededup.occurrences(docs.where(f"n = {n}")).cache()
-        short = lines.where("few is not null").select("h", "k", F.explode("few").alias("key"))
+        short = lines.where("few is not null").select("h", "k", "len", F.explode("few").alias("key"))
         count[n] = linededup.candidate_pairs(lines, short).count()
     assert count[800] < 5 * count[200] and count[800] < 12 * 1600
     got = linededup.dedup_report(docs.where("n = 800").drop("n")).agg(F.sum("n_kept")).first()[0]

@@ -9,7 +9,8 @@ partitions cost one pass. Each candidate is verified against the shingle set of
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text; a shingle is five of them.
 
-Defined results: items with fewer than five words and null texts match nothing; an item_id with several texts
+Defined results: a text of fewer than five words has its whole sequence as one shingle, so a short item is found in
+documents that are nothing else; wordless and null texts match nothing; an item_id with several texts
 counts as several items, of which the fullest match is returned; rows that repeat a doc_id are searched one by
 one and give one row an item.
 """
@@ -37,7 +38,7 @@ class Items:
         self.ids, self.sets, self.threshold, by = [], [], threshold, {}
         self.mult = K.multipliers(MINHASHES, 3)
         for first, counts, words in K.word_hashes(pa.array(texts, pa.string()), _SEP):
-            n, h = K.shingles(counts, words, SHINGLE, short=False)
+            n, h = K.shingles(counts, words, SHINGLE)
             at = np.cumsum(n) - n
             low = K.minima(n, h, self.mult)
             for r in np.flatnonzero(n > 0):
@@ -91,7 +92,7 @@ class Items:
 
     def matches(self, col: pa.Array):
         for first, counts, words in K.word_hashes(col, _SEP):
-            n, h = K.shingles(counts, words, SHINGLE, short=False)
+            n, h = K.shingles(counts, words, SHINGLE)
             at = np.cumsum(n) - n
             doc = None
             for r, i in sorted(self.candidates(n, h)):
@@ -137,9 +138,9 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, threshold: float = 0.8)
 
 DECONTAM_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM b)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared::DOUBLE / n_shingles AS containment

@@ -5,8 +5,8 @@ in DIMS hashed dimensions, weighted 1 + ln(count) times idf and normalised. Each
 centroids, found by spherical k-means; a text takes the language of the centroid with the largest cosine. A
 text farther from its centroid than nearly all training texts is marked as rejected.
 
-The model is fitted on a bounded hash sample of labelled rows (SAMPLE a language, LANGS languages at most by
-count); every whole text is classified.
+The model is fitted on a bounded hash sample of labelled rows of every language (some SAMPLE rows a language, fewer where
+that would be more than TOTAL rows, LEAST at least); every whole text is classified.
 
 Defined results: und and score 0 for null texts and texts without a letter, and for all texts when nothing
 could be learned; equal cosines go to the language first by code point.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from weftline.llm import kernel as K
 from weftline.llm.common import small_arrow_batches
 
-SAMPLE, LANGS, CENTROIDS, DIMS_LOG2, ROUNDS = 800, 200, 4, 12, 12
+SAMPLE, LEAST, TOTAL, CENTROIDS, DIMS_LOG2, ROUNDS = 800, 40, 32_000, 4, 12, 12
 DIMS = 1 << DIMS_LOG2
 REJECT_SHARE = 0.005
 _LETTER = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
@@ -103,10 +103,11 @@ def train(docs: DataFrame) -> Model | None:
     small_arrow_batches(docs.sparkSession)
     usable = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     known = docs.where(usable)
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    if not most:
+    langs = known.groupBy("lang").count().collect()
+    if not langs:
         return None
-    share = F.create_map(*[F.lit(x) for r in most for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])
+    each = max(LEAST, min(SAMPLE, TOTAL // len(langs)))
+    share = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, each / r["count"]))])
     u = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
     rows = known.where(u < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", "lang", F.lower("text").alias("text"))
 

@@ -1,12 +1,16 @@
-"""License scan: sparse TF-IDF cosine of lines to templates, then the nearest ancestor directory's licence.
+"""License scan: sparse TF-IDF cosine of lines, blocks and licence files to templates, then the nearest ancestor's licence.
 
-A file's licence is that of its line with the largest cosine to a template, SIMILARITY at least. Weights are
-tf times idf; document frequencies of all words of the lines compared are counted over all files. A licence file (is_license) also gives its licence to its directory; a file
-without one of its own takes that of the nearest directory above it, by a join on ancestor paths.
+What is compared with the templates (notices, headers and licence texts) are the lines of a file, its blocks (lines
+between blank ones, joined, without comment marks) and, of licence files (is_license), the whole text. A file's licence is
+that of its part with the largest cosine to a template, SIMILARITY at least; an SPDX tag names it outright. Weights are
+tf times idf; document frequencies of all words of the parts compared are counted over all files. A licence file also
+gives its licence to its directory; a file without one of its own takes that of the nearest directory above it, by a
+join on ancestor paths.
 
 Defined results: null and empty texts and null paths have no licence of their own, null paths inherit none;
 equal cosines go to the template first in order, equal licence files of a directory to the larger cosine, then
-the smaller path; rows that repeat a path are scanned one by one.
+the smaller path; rows that repeat a path are scanned one by one. Licences without a template and bare names
+in running text are not recognised.
 """
 
 from __future__ import annotations
@@ -18,18 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import lookup_join, stage
+from weftline.llm.notices import TEMPLATES
 
-# SPDX names and short notices that stand for them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
-}
 SIMILARITY = 0.75
+#: What comments begin their lines with.
+_MARK = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--)?[ \t]*"
 
 
 def tokens(text: str) -> list[str]:
@@ -38,7 +35,7 @@ def tokens(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-VOCAB = sorted({t for x in TEMPLATES.values() for t in tokens(x)})
+VOCAB = sorted({t for _, x in TEMPLATES for t in tokens(x)})
 
 
 def _words(line: Column) -> Column:
@@ -57,20 +54,33 @@ def term_weights(files: DataFrame) -> tuple[dict[str, float], int]:
     return {t: _idf(n, df.get(t, 0)) for t in VOCAB}, n
 
 
+def parts(files: DataFrame, telling: list[str]) -> Column:
+    """The lines, blocks and (of licence files) whole text that hold a telling term, each once; null for texts without any."""
+    text = F.coalesce(files["text"], F.lit(""))
+    told = "(?<![a-z0-9])(?:" + "|".join(telling) + ")(?![a-z0-9])"
+    plain = F.regexp_replace(text, _MARK, "")
+    blocks = F.filter(F.split(plain, r"\n[ \t\r]*\n"), lambda b: F.btrim(b, F.lit(" \t\r\n")).contains("\n"))
+    whole = F.when(F.coalesce(files["is_license"], F.lit(False)), F.array(plain)).otherwise(F.array().cast("array<string>")) if "is_license" in files.columns else F.array().cast("array<string>")
+    some = F.filter(F.concat(F.split(text, "\n"), blocks, whole), lambda x: F.lower(x).rlike(told))
+    return F.when(F.lower(text).rlike(told), F.array_distinct(some))
+
+
 def own_license(files: DataFrame) -> DataFrame:
     """The files without text, with __row, license string and similarity double of each row's own text (null and 0 if none)."""
     idf, n = term_weights(files)
-    # Only a line with one of a template's telling terms can reach SIMILARITY; which terms tell follows from the weights.
-    telling = sorted({t for x in TEMPLATES.values() for t in _telling(x, idf)})
-    lines = F.filter(F.split(F.coalesce(files["text"], F.lit("")), "\n"), lambda x: F.lower(x).rlike("(?<![a-z0-9])(?:" + "|".join(telling) + ")(?![a-z0-9])"))
-    rows = stage(files.withColumns({"__row": F.monotonically_increasing_id(), "__lines": F.array_distinct(lines)}).drop("text"), "rows")
-    own = rows.select("__row", F.explode("__lines").alias("line"))
+    # Only a part with one of a template's telling terms can reach SIMILARITY; which terms tell follows from the weights.
+    telling = sorted({t for _, x in TEMPLATES for t in _telling(x, idf)})
+    tag = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)", 1), F.lit(""))
+    rows = stage(files.withColumns({"__row": F.monotonically_increasing_id(), "__parts": parts(files, telling), "__tag": tag}).drop("text"), "rows")
+    own = rows.where("__parts is not null").select("__row", F.explode("__parts").alias("line"))
     scores = _scores(own.select("line").distinct(), files, idf, n)
     best = stage(lookup_join(own, scores, "line", "inner").groupBy("__row").agg(F.max("best").alias("__best")), "best")
-    out = lookup_join(rows.drop("__lines"), best, "__row")
+    out = lookup_join(rows.drop("__parts"), best, "__row")
     hit = F.col("__best.s") >= SIMILARITY
-    names = F.array(*map(F.lit, TEMPLATES))
-    return out.withColumns({"license": F.when(hit, F.element_at(names, -F.col("__best.i"))), "similarity": F.coalesce("__best.s", F.lit(0.0))}).drop("__best")
+    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
+    near = F.when(hit, F.element_at(names, -F.col("__best.i")))
+    score = F.when(F.col("__tag").isNotNull(), 1.0).otherwise(F.coalesce("__best.s", F.lit(0.0)))
+    return out.withColumns({"license": F.coalesce("__tag", near), "similarity": score}).drop("__best", "__tag")
 
 
 def _scores(lines: DataFrame, files: DataFrame, idf: dict[str, float], n: int) -> DataFrame:
@@ -84,7 +94,7 @@ def _scores(lines: DataFrame, files: DataFrame, idf: dict[str, float], n: int) -
     df = stage(lookup_join(held, words, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df")), "df")
     weight = F.log((n + 1) / (F.col("df") + 1)) + 1
     dots, sizes = [], []
-    for i, x in enumerate(TEMPLATES.values(), 1):
+    for i, (_, x) in enumerate(TEMPLATES, 1):
         own = Counter(tokens(x))
         sizes.append(math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items())))
         mine = F.create_map(*[F.lit(y) for t, c in own.items() for y in (t, c * idf[t] ** 2)])
@@ -95,9 +105,9 @@ def _scores(lines: DataFrame, files: DataFrame, idf: dict[str, float], n: int) -
 
 
 def _telling(template: str, idf: dict[str, float]) -> set[str]:
-    """The fewest heaviest terms without which a line's cosine to the template stays below SIMILARITY."""
+    """Terms, rare ones first, without which a part's cosine to the template stays below SIMILARITY."""
     tf = Counter(tokens(template))
-    sq = sorted((((c * idf[t]) ** 2, t) for t, c in tf.items()), reverse=True)
+    sq = [((c * idf[t]) ** 2, t) for t, c in sorted(tf.items(), key=lambda x: (-idf[x[0]], -x[1], x[0]))]
     total, left, out = sum(x for x, _ in sq), sum(x for x, _ in sq), set()
     for x, t in sq:
         if math.sqrt(left / total) < SIMILARITY - 1e-9:

@@ -4,7 +4,7 @@ Method: set-relation skipping. Each set is cut by a hash of its elements into bl
 index lists are kept by (size class, block position, content of the block): when two sets differ in at most d
 elements, more blocks than d cannot all be hit, so a linked pair meets in the list of an untouched block, and
 every list of other positions or contents is skipped whole. Inside a list, MinHash bytes drop pairs far below
-the threshold (by 6.5 standard deviations). In the groups that remain, a set's overlaps are derived from the
+the threshold (a linked one with a chance of 1e-15). In the groups that remain, a set's overlaps are derived from the
 computed overlaps of a highly similar set (its leader): bounds skip it entirely, or only the few elements in
 which the two differ are counted.
 
@@ -18,17 +18,20 @@ equal sets are always linked. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import kernel as K
 from weftline.llm.common import connected_components, lookup_join, shuffle_partitions, small_arrow_batches, stage
 
 MINHASHES = 64
+#: Chance that MinHash bytes drop a linked pair, below that of two of 1e9 shingles having one 64-bit hash.
+LOST = 1e-15
 #: Members of a list or group compared in one task; larger ones are compared as pairs of such blocks.
 BLOCK = 2048
 
@@ -39,8 +42,16 @@ class Threshold:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.ends = [self._largest(1)]
-        t = num / den
-        self.cut = int(MINHASHES * (t - 6.5 * (t * (1 - t) / MINHASHES) ** 0.5))
+        self.cut = self._bytes()
+
+    def _bytes(self) -> int:
+        """The most equal MinHash bytes that a pair at the threshold reaches but for a chance of LOST."""
+        t, below = self.num / self.den, 0.0
+        for c in range(MINHASHES + 1):
+            below += math.comb(MINHASHES, c) * t**c * (1 - t) ** (MINHASHES - c)
+            if below > LOST:
+                return c
+        return MINHASHES
 
     def _largest(self, a: int) -> int:
         return a * self.den // self.num
@@ -335,15 +346,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs with one document of each group left: its smallest doc_id, and of rows that repeat an id one.
+    """The rows of docs with one document of each group left: its smallest doc_id.
 
-    Rows with a null doc_id or an empty set stay.
+    Rows with a null doc_id or an empty set stay. Rows that repeat a doc_id with different texts are documents of their own,
+    told apart by a hash of id and text; of rows equal in both the least by their other columns stays.
     """
-    comp = stage(jaccard_components(docs, k, num, den), "comp")
-    gone = stage(comp.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    repeated = stage(comp.where("doc_id is not null and component_id = doc_id").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "again")
-    kept = lookup_join(docs, gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    if repeated.isEmpty():
-        return kept
-    lone = lookup_join(kept, repeated, kept["doc_id"] == repeated["again_id"], "left_anti")
-    return lone.unionByName(lookup_join(kept, repeated, kept["doc_id"] == repeated["again_id"], "left_semi").dropDuplicates(["doc_id"]))
+    again = stage(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("c")).where("c > 1").select("again_id"), "again")
+    if again.isEmpty():
+        comp = stage(jaccard_components(docs, k, num, den), "comp")
+        gone = stage(comp.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")), "gone")
+        return lookup_join(docs, gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    named = lookup_join(docs, again, docs["doc_id"] == again["again_id"])
+    named = named.withColumn("__key", F.when(F.col("again_id").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
+    first = Window.partitionBy("__key").orderBy(*[F.col(c) for c in docs.columns])
+    named = named.withColumn("__n", F.when(F.col("again_id").isNotNull(), F.row_number().over(first)).otherwise(1)).where("__n = 1")
+    comp = stage(jaccard_components(named.select(F.col("__key").alias("doc_id"), "text"), k, num, den), "comp")
+    gone = stage(comp.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")), "gone")
+    return lookup_join(named, gone, named["__key"] == gone["gone_id"], "left_anti").select(*docs.columns)
