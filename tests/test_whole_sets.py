@@ -21,7 +21,7 @@ def test_full_jaccard_equals_brute_force(spark):
 
 def test_copies_beyond_the_cap_meet(spark, tmp_path):
     spark.createDataFrame([(i, "one common text") for i in range(31)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert registry.QUERIES["set_sim_join_full"](spark, str(tmp_path)).count() == 31 * 30 // 2
+    assert registry.QUERIES["set_sim_join"](spark, str(tmp_path)).count() == 31 * 30 // 2
 
 
 def test_overlap_and_families_of_all_suppliers_and_parts(spark, tmp_path):

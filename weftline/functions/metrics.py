@@ -64,6 +64,26 @@ def top_k_match(candidates: Column, true: Column, k: int) -> Column:
 
 
 def reward(pred: Column, true: Column) -> Column:
-    parts = F.size(F.split(pred, "[^A-Za-z0-9]+"))
+    # Every letter and digit is part of a word, accented ones too; underscores part words.
+    parts = F.size(F.split(pred, r"[^\p{L}\p{N}]+"))
     length = F.greatest(F.lit(0.0), 1.0 - 0.02 * F.greatest(parts - 10, F.lit(0)))
     return 0.6 * prf(pred, true)["f1"] + 0.2 * char_ngram_dice(pred, true) + 0.1 * (pred == true).cast("double") + 0.1 * length
+
+
+def cluster_f1(pred: Column, true: Column, clusters: Column) -> Column:
+    """Sub-token F1 after a predicted token that shares a cluster with a true one is replaced by the first such.
+
+    clusters is a map of token to array of cluster ids.
+    """
+    a, b = split_name(pred), split_name(true)
+    of = lambda t: F.coalesce(F.try_element_at(clusters, t), F.array().cast("array<int>"))
+    swap = lambda p: F.coalesce(F.get(F.filter(b, lambda t: F.arrays_overlap(of(p), of(t))), F.lit(0)), p)
+    rep = F.transform(a, lambda p: F.when(F.array_contains(b, p), p).otherwise(swap(p)))
+    n, m, tp = F.size(a), F.size(b), multiset_overlap(rep, b)
+    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(2.0 * tp / (n + m))
+
+
+def all_metrics(pred: Column, true: Column) -> Column:
+    """struct of precision, recall, f1, exact, ngram and edit."""
+    s = prf(pred, true)
+    return F.struct(s["precision"].alias("precision"), s["recall"].alias("recall"), s["f1"].alias("f1"), exact_match(pred, true).alias("exact"), char_ngram_dice(pred, true).alias("ngram"), edit_similarity(pred, true).alias("edit"))

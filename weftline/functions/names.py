@@ -100,3 +100,107 @@ def program_of(binary: Column) -> Column:
 def opt_of(binary: Column) -> Column:
     got = F.regexp_extract(binary, "_(O[0-3])$", 1)
     return F.when(got == "", "default").otherwise(got)
+
+
+# Patterns of names that carry no meaning, binding ranks, and package groups.
+DISCARD = (
+    "^_start$", "^__libc_", "^_init$", "^_fini$", "^__do_global_", "^frame_dummy$", "^register_tm_clones$", "^deregister_tm_clones$", r"^__x86\.", r"^\.",
+    "^_GLOBAL_", "^__cxa_", "^__stack_chk", "^__assert_fail$", "^__ctype_", "^__errno_", "^__overflow$", r"^\.plt", r"^\.init", r"^\.fini",
+)
+SKIP = (
+    r"^\.plt$", r"^\.init$", r"^\.fini$", r"^\.text$", r"^\._", "^_start$", "^_init$", "^_fini$", "^register_tm_clones$", "^deregister_tm_clones$",
+    "^frame_dummy$", "^__do_global_", "^__libc_csu_", "^_dl_",
+)
+BINDING = {"GLOBAL": 0, "WEAK": 1, "LOCAL": 2}
+CATEGORIES = {
+    "GNU Core Utils": "coreutils coreutils2 findutils findutils2 sed sed2 tar tar2 gzip gzip2 patch patch2 grep grep2 gawk which which2 diffutils",
+    "Text Processing": "m4 make less bison flex enscript texinfo spell indent wdiff gawk2",
+    "Dev Tools": "binutils bash bc",
+    "Networking": "wget inetutils",
+    "Crypto/Security": "openssl nettle",
+    "Compression": "lz4 zlib xz",
+    "Data/Libraries": "sqlite lua jq",
+    "System/Monitoring": "strace screen nano htop time cpio units units2",
+    "Embedded": "busybox",
+    "Typography": "groff",
+    "Other GNU": "hello direvent cppi csplit2 combinatorics rush gcal sharutils gnuchess gperf datamash ed",
+}
+
+
+def discarded(name: Column) -> Column:
+    """True for missing, one-character and start-up names."""
+    return F.coalesce(F.length(name) < 2, F.lit(True)) | name.rlike("|".join(DISCARD))
+
+
+def skipped(name: Column) -> Column:
+    """True for missing and section names; functions named by address are never skipped."""
+    return F.coalesce(F.length(name) < 1, F.lit(True)) | (~name.rlike("^sub_[0-9a-fA-F]+(sub_|$)") & name.rlike("|".join(SKIP)))
+
+
+def canonical_alias(aliases: Column) -> Column:
+    """Best of an array of struct(name, binding): by binding, no leading underscore, length, then text."""
+    rank = F.create_map(*[F.lit(x) for kv in BINDING.items() for x in kv])
+    key = lambda a: F.struct(F.coalesce(F.try_element_at(rank, a["binding"]), F.lit(3)).alias("r"), a["name"].startswith("_").alias("u"), F.length(a["name"]).alias("n"), a["name"].alias("name"))
+    return F.array_min(F.transform(aliases, key))["name"]
+
+
+def normal_address(address: Column) -> Column:
+    """0x and the digits without leading zeros; zero is 0x0."""
+    digits = F.ltrim(F.regexp_replace(address, "^0x", ""), F.lit("0"))
+    return F.concat(F.lit("0x"), F.when(digits == "", "0").otherwise(digits))
+
+
+def project_of(version: Column) -> Column:
+    """A project name without its version."""
+    return F.regexp_replace(F.replace(F.lower(version), F.lit("openssl-openssl"), F.lit("openssl")), r"[-_]\d[\d.]*[a-z]?$", "")
+
+
+def has_prefix(name: Column, packages: list[str], sep: str = "_") -> Column:
+    """True when name starts with one of the packages and the separator."""
+    return F.substring_index(name, sep, 1).isin(packages) & name.contains(sep) if all(sep not in p for p in packages) else name.rlike("^(" + "|".join(p.replace(".", "\\.") for p in packages) + ")" + sep)
+
+
+def package_category(package: Column) -> Column:
+    pairs = [F.lit(x) for cat, names in CATEGORIES.items() for n in names.split() for x in (n, cat)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), package), F.lit("Other"))
+
+
+def bucket(value: Column, edges: list, labels: list[str]) -> Column:
+    """Label of the first edge that value does not exceed; the last label beyond all edges."""
+    out = F.when(value <= edges[0], labels[0])
+    for e, x in zip(edges[1:], labels[1:], strict=False):
+        out = out.when(value <= e, x)
+    return out.otherwise(labels[-1])
+
+
+def call_bucket(n: Column) -> Column:
+    return F.when(n == 0, "0 ext").when(n <= 3, "1-3 ext").otherwise("4+ ext")
+
+
+def block_bucket(n: Column) -> Column:
+    """0 to 6: at most 1, 2, 4, 8, 16, 32 blocks, and more."""
+    return bucket(n, [1, 2, 4, 8, 16, 32], list("0123456")).cast("int")
+
+
+def mask_first_word(text: Column, name: Column, mask: str) -> Column:
+    """The first whole-word occurrence only."""
+    at = F.regexp_instr(text, _whole(name))
+    return F.when((F.length(name) > 0) & (at > 0), F.overlay(text, F.lit(mask), at, F.length(name))).otherwise(text)
+
+
+def answer_first_word(text: Column) -> Column:
+    """First word of a generated answer without end marks and the leading phrase; empty if none."""
+    plain = F.btrim(F.replace(text, F.lit("</s>"), F.lit("")), F.lit(" \t\n\r"))
+    rest = F.btrim(F.regexp_replace(plain, r"^The predicted function name is\s*", ""), F.lit(" \t\n\r"))
+    return F.coalesce(F.regexp_extract(rest, r"^(\S+)", 1), F.lit(""))
+
+
+def answer_identifier(text: Column) -> Column:
+    """First identifier of a generated answer, marks around it stripped; empty if none, and for null."""
+    plain = F.replace(F.replace(text, F.lit("The predicted function name is"), F.lit(" ")), F.lit("</s>"), F.lit(" "))
+    return F.coalesce(F.regexp_extract(F.btrim(F.btrim(plain, F.lit(" \t\n\r")), F.lit("`\"' .")), "[A-Za-z_][A-Za-z0-9_]*", 0), F.lit(""))
+
+
+def demangled(name: Column, table: Column) -> Column:
+    """Canonical name after a look-up in a map of mangled names."""
+    return canonical_name(F.coalesce(F.try_element_at(table, name), name))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.code import ARGUMENTS, FLAGS, instruction_class
+from weftline.operators.split import _cut
+
 # Literals with names, and intrinsic name parts with their classes, in order.
 MAGIC = {"7fffffff": "INT_MAX", "ffffffff": "U32_MAX", "7fffffffffffffff": "I64_MAX", "ffffffffffffffff": "U64_MAX", "1000": "PAGE", "ff": "BYTE_MASK", "3f": "MASK6", "1f": "MASK5", "f": "MASK4", "100": "K256", "400": "K1024", "10000": "K64K"}
 INTRINSICS = [
@@ -12,8 +15,6 @@ INTRINSICS = [
     ("fsqrt", "FP_SQRT"), ("cast_sfloat", "FP_CAST_TO_FLOAT"), ("cast_sint", "FP_CAST_TO_INT"), ("cast_uint", "FP_CAST_TO_INT"),
     ("fconvert", "FP_CONVERT"), ("fround", "FP_ROUND"), ("hlt", "TRAP"), ("__ud2", "TRAP"), ("ud2", "TRAP"), ("int3", "TRAP"),
 ]
-FLAGS = ("CF", "OF", "ZF", "SF", "PF", "AF")
-ARGUMENTS = ("RDI", "RSI", "RDX", "RCX", "R8", "R9")
 
 
 def carry_forward(lines: DataFrame, by: list[str], order: str, value: Column, out: str) -> DataFrame:
@@ -58,50 +59,156 @@ def statements(line: Column) -> Column:
     return F.split(F.regexp_replace(line, "(%[0-9a-fA-F]{8})([0-9a-fA-F]{8}: )", "$1\u0001$2"), "\u0001")
 
 
-def call_kind(target: Column, stubs: list[str]) -> Column:
-    """internal_named, internal_sub, external or indirect, of a call target as it is printed."""
-    name = F.regexp_extract(target, "^@(.+)$", 1)
-    return F.when(name == "", "indirect").when(name.rlike("^sub_"), "internal_sub").when(name.isin(stubs), "external").otherwise("internal_named")
+def call_kind(name: Column, external: Column, stub: Column, defined: Column) -> Column:
+    """internal_sub, syscall, import or internal_named, of the name after an at sign."""
+    sub = name.rlike("^sub_[0-9a-fA-F]+(sub_|$)")
+    return F.when(sub, "internal_sub").when(name == "interrupt", "syscall").when(external | stub | ~defined, "import").otherwise("internal_named")
+
+
+# Section and start-up subroutines.
+SECTIONS = (".plt", ".init", ".fini", ".text", ".plt.sec", ".plt.got")
+START_UP = (
+    "_start", "_init", "_fini", "register_tm_clones", "deregister_tm_clones", "frame_dummy", "__do_global_dtors_aux", "__do_global_ctors_aux",
+    "__libc_csu_init", "__libc_csu_fini", "_dl_relocate_static_pie",
+)
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """(binary, line_no, sub, block, stmt, kind) of IR text lines(binary, line_no, value).
+def statements_of(lines: DataFrame) -> DataFrame:
+    """(binary, at, sub_at, sub, block, block_at, addr, sub_addr, stmt) of IR text lines(binary, line_no, value).
 
-    A line "hex: sub name(" opens a function and a bare "hex:" a block; both are carried forward by windows.
+    What a line is decides what is carried forward: an address to the lines after it, a subroutine and a block to their
+    statements, a statement to the indented lines that continue it. Two statements printed as one are parted.
     """
-    s = lines.select("binary", "line_no", F.posexplode(statements(F.col("value"))).alias("part", "stmt"))
-    s = s.withColumn("at", F.col("line_no") * 1024 + F.col("part"))
-    sub = F.nullif(F.regexp_extract("stmt", r"^[0-9a-fA-F]+: sub ([^\s(]+)", 1), F.lit(""))
-    s = carry_forward(s, ["binary"], "at", sub, "sub")
-    block = F.nullif(F.regexp_extract("stmt", r"^([0-9a-fA-F]+):\s*$", 1), F.lit(""))
-    s = carry_forward(s, ["binary", "sub"], "at", block, "block")
-    stmt = F.col("stmt")
+    v = F.col("value")
+    hexa = r"^([0-9a-fA-F]+): "
     kind = (
-        F.when(sub.isNotNull(), "SUB").when(block.isNotNull(), "BLOCK").when(stmt.rlike(r"\bwhen\b.*\bgoto\b"), branch_token(stmt))
-        .when(stmt.rlike(r"\bcall\b"), "CALL").when(stmt.rlike(r"\breturn\b"), "RETURN").when(stmt.rlike(r"\bgoto\b"), "JUMP")
-        .when(stmt.rlike(r"\bmem\b.*:="), "MEM_WRITE").when(stmt.rlike(r":=.*\bmem\b"), "MEM_READ").when(stmt.rlike(r":="), "ASSIGN").otherwise("OTHER")
+        F.when(F.trim(v) == "", "blank").when(v.rlike(r"^[0-9a-fA-F]+:\s+program\s*$"), "blank").when(v.rlike(r"^\.address 0x[0-9a-fA-F]+\s*$"), "address")
+        .when(v.rlike(hexa + r"sub (\S+?)\((.*)\)\s*$"), "sub").when(v.rlike(hexa + r"\S+ :: (in out|in|out) "), "param")
+        .when(v.rlike(r"^[0-9a-fA-F]+:\s*$"), "block").when(v.rlike(hexa), "stmt").when(v.rlike(r"^\s"), "more").otherwise("blank")
+    )
+    s = lines.select("binary", "line_no", "value", kind.alias("kind")).where("kind <> 'blank'")
+    w = Window.partitionBy("binary").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.col("line_no")
+    s = s.withColumns({
+        "addr": F.last(F.when(F.col("kind") == "address", F.conv(F.regexp_extract(v, r"0x([0-9a-fA-F]+)", 1), 16, 10).cast("long")), True).over(w),
+        "sub_at": F.max(F.when(F.col("kind") == "sub", at)).over(w),
+        "block_at": F.max(F.when(F.col("kind").isin("block", "sub"), at)).over(w),
+        "head_at": F.max(F.when(F.col("kind") != "more", at)).over(w),
+        "stmt_at": F.max(F.when(F.col("kind") == "stmt", at)).over(w),
+    })
+    return s.where("sub_at is not null")
+
+
+def _pieces(s: DataFrame) -> DataFrame:
+    inside = s.where("kind in ('stmt', 'more') and block_at > sub_at and head_at = stmt_at")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("kind") == "stmt", F.col("value")).otherwise(F.trim("value")).alias("t")))), lambda x: x["t"]), " ")
+    whole = inside.groupBy("binary", "sub_at", "block_at", "stmt_at").agg(text.alias("text"), F.min("addr").alias("addr"))
+    part = whole.select("binary", "sub_at", "block_at", "stmt_at", "addr", F.posexplode(statements(F.col("text"))).alias("part", "raw"))
+    stmt = F.trim(F.regexp_replace(F.regexp_replace("raw", r"^[0-9a-fA-F]+: ", ""), r"\s+", " "))
+    return part.select("binary", "sub_at", "block_at", (F.col("stmt_at") * 1024 + F.col("part")).alias("at"), "addr", stmt.alias("stmt"))
+
+
+class Parsed:
+    """Tables of parsed IR text: functions, blocks, edges, calls, statements."""
+
+    def __init__(self, functions: DataFrame, blocks: DataFrame, edges: DataFrame, calls: DataFrame, statements: DataFrame):
+        self.functions, self.blocks, self.edges, self.calls, self.statements = functions, blocks, edges, calls, statements
+
+
+def parse(lines: DataFrame) -> Parsed:
+    """Functions of IR text lines(binary, line_no, value), by windows over the lines of a binary.
+
+    functions(binary, sub, name_kind, entry, num_blocks, n_stmts, n_import_calls, in_args, has_result, arg_regs),
+    blocks(binary, sub, id, label, addr, tokens, lits, external), edges(binary, sub, src, dst) between block ids,
+    calls(binary, sub, at, kind, name, id, addr, tail), statements(binary, sub, at, id, stmt, token). A subroutine name that
+    comes again in a binary replaces the one before; blocks and functions without statements are left out.
+    """
+    s = _cut(statements_of(lines))
+    name = F.regexp_extract("value", r"^[0-9a-fA-F]+: sub (\S+?)\(", 1)
+    subs = s.where("kind = 'sub'").select("binary", "sub_at", name.alias("sub"), F.col("addr").alias("sub_addr"))
+    subs = subs.withColumn("__n", F.row_number().over(Window.partitionBy("binary", "sub").orderBy(F.desc("sub_at"))))
+    names = subs.select("binary", F.col("sub").alias("callee")).distinct().withColumn("defined", F.lit(True))
+    own = F.regexp_extract("value", r"call @([^\s(]+):external", 1)
+    stubs = s.where(F.col("value").rlike(r"call @[^\s(]+:external")).join(subs.select("binary", "sub_at", "sub"), ["binary", "sub_at"]).where(own == F.col("sub")).select("binary", F.col("sub").alias("callee")).distinct().withColumn("stub", F.lit(True))
+    last = subs.where("__n = 1").drop("__n")
+    p = _pieces(s).join(last, ["binary", "sub_at"])
+    heads = s.where("kind = 'block'").select("binary", F.col("line_no").alias("block_at"), F.lower(F.regexp_extract("value", r"^([0-9a-fA-F]+):", 1)).alias("label"), F.col("addr").alias("block_addr"))
+    held = p.select("binary", "sub", "sub_at", "block_at").distinct().join(heads, ["binary", "block_at"])
+    held = held.withColumn("id", (F.row_number().over(Window.partitionBy("binary", "sub").orderBy("block_at")) - 1).cast("int"))
+    p = p.join(held.select("binary", "sub", "block_at", "id"), ["binary", "sub", "block_at"])
+
+    stmt = F.col("stmt")
+    in_block = Window.partitionBy("binary", "sub", "id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    pop = F.regexp_extract("stmt", r"^(#\d+) := mem\[RSP, el\]:u64$", 1)
+    passes = stmt.startswith("when ") | stmt.startswith("RSP := RSP + 8")
+    target = F.when(stmt.startswith("call"), F.regexp_extract("stmt", r"\bcall\s+(@[^\s(]+|#\d+|mem\b[^\s]*|R[A-Z0-9]+|\S+)", 1))
+    p = p.withColumns({"popped": F.last(F.when(~passes, pop), True).over(in_block), "target": F.nullif(target, F.lit("")), "tail": stmt.contains("noreturn")})
+    p = p.withColumn("callee", F.when(F.col("target").startswith("@") & ~F.col("target").startswith("@intrinsic:"), F.regexp_extract("target", r"^@([^:]+)", 1)))
+    p = p.join(names, ["binary", "callee"], "left").join(stubs, ["binary", "callee"], "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    t = F.col("target")
+    known = call_kind(F.col("callee"), t.contains(":external"), flag("stub"), flag("defined"))
+    back = t.startswith("#") & flag("tail") & (F.coalesce("popped", F.lit("")) == t)
+    kind = F.when(t.isNull() | back, None).when(t.startswith("@intrinsic:"), "intrinsic").when(F.col("callee").isNotNull(), known).otherwise("indirect")
+    p = p.withColumn("kind", kind)
+    of_call = (
+        F.when(F.col("kind") == "intrinsic", intrinsic_token(F.substring(t, 12, 1 << 20))).when(F.col("kind") == "syscall", "SYSCALL")
+        .when(F.col("kind") == "import", F.concat(F.lit("CALL_"), F.col("callee"))).when(F.col("kind").isin("internal_sub", "internal_named"), "CALL_INTERNAL")
+        .when(back, "RETURN").when(flag("tail"), "TAILJUMP_INDIRECT").otherwise("CALL_INDIRECT")
+    )
+    token = F.when(t.isNotNull(), of_call).when(stmt.startswith("when "), branch_token(stmt)).otherwise(instruction_class(stmt))
+    p = _cut(p.withColumn("token", token).withColumn("n", F.row_number().over(Window.partitionBy("binary", "sub").orderBy("at"))))
+
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("x")))), lambda y: y["x"])
+    rows = p.withColumn("lit", literal_tokens(stmt))
+    blocks = rows.groupBy("binary", "sub", "id").agg(F.array_compact(ordered("token")).alias("tokens"), F.flatten(ordered("lit")).alias("lits"), F.min_by(F.when(F.col("kind") == "import", F.col("callee")), F.when(F.col("kind") == "import", F.col("at"))).alias("external"))
+    blocks = held.select("binary", "sub", "id", "label", F.col("block_addr").alias("addr")).join(blocks, ["binary", "sub", "id"])
+    jumps = p.select("binary", "sub", F.col("id").alias("src"), F.explode(F.regexp_extract_all(stmt, F.lit(r"(?:goto|return)\s+%([0-9a-fA-F]+)"), F.lit(1))).alias("to"))
+    edges = jumps.select("binary", "sub", "src", F.lower("to").alias("label")).join(held.select("binary", "sub", "label", F.col("id").alias("dst")), ["binary", "sub", "label"]).select("binary", "sub", "src", "dst").distinct()
+    called = F.when(F.col("kind") == "intrinsic", F.substring(t, 2, 1 << 20)).otherwise(F.col("callee"))
+    calls = p.where("kind is not null").select("binary", "sub", "at", "kind", called.alias("name"), "id", "addr", F.when(F.col("kind") != "intrinsic", F.col("tail")).alias("tail"))
+
+    params = s.where("kind = 'param'").select("binary", "sub_at", F.regexp_extract("value", r" :: (in out|in|out) ", 1).alias("d"), F.regexp_extract("value", r"^[0-9a-fA-F]+: (\S+) ::", 1).alias("p"))
+    params = params.groupBy("binary", "sub_at").agg(F.count_if(F.col("d") != "out").alias("in_args"), F.bool_or((F.col("d") == "out") | F.col("p").endswith("_result")).alias("has_result"))
+    size = p.groupBy("binary", "sub", "sub_at").agg(F.count("*").alias("n_stmts"), F.count_distinct("id").alias("num_blocks"), F.count_if(F.col("kind") == "import").alias("n_import_calls"), F.min("sub_addr").alias("sub_addr"))
+    entry = held.groupBy("binary", "sub").agg(F.min_by("block_addr", "block_at").alias("first_addr"))
+    regs = register_use(p).groupBy("binary", "sub").agg(F.array_sort(F.collect_list("reg")).alias("arg_regs"))
+    f = size.join(entry, ["binary", "sub"]).join(params, ["binary", "sub_at"], "left").join(regs, ["binary", "sub"], "left").join(stubs.withColumnRenamed("callee", "sub"), ["binary", "sub"], "left")
+    what = (
+        F.when(F.col("sub").startswith("intrinsic:"), "intrinsic").when(flag("stub"), "plt_stub").when(F.col("sub").isin(*SECTIONS) | F.col("sub").startswith("."), "section")
+        .when(F.col("sub").isin(*START_UP), "crt").when(F.col("sub").rlike("^sub_[0-9a-fA-F]+(sub_|$)"), "sub_addr").otherwise("named")
     )
-    return s.select("binary", "line_no", "at", "sub", "block", "stmt", kind.alias("kind"))
-
-
-def edges(parsed: DataFrame) -> DataFrame:
-    """(binary, sub, src, dst): jumps between blocks of one function that both exist, and falls into the next block."""
-    blocks = parsed.where("kind = 'BLOCK'").select("binary", "sub", "block", "at")
-    jump = parsed.select("binary", "sub", F.col("block").alias("src"), F.regexp_extract("stmt", r"goto\s+%([0-9a-fA-F]+)", 1).alias("dst")).where("dst <> '' and src is not null")
-    last = parsed.where("block is not null").groupBy("binary", "sub", "block").agg(F.max_by("kind", "at").alias("kind"))
-    following = blocks.withColumn("dst", F.lead("block").over(Window.partitionBy("binary", "sub").orderBy("at")))
-    fall = following.join(last, ["binary", "sub", "block"]).where("dst is not null and kind not in ('JUMP', 'RETURN')").select("binary", "sub", F.col("block").alias("src"), "dst")
-    known = blocks.select("binary", "sub", F.col("block").alias("dst"))
-    return jump.union(fall).distinct().join(known, ["binary", "sub", "dst"], "left_semi").select("binary", "sub", "src", "dst")
-
-
-def register_use(parsed: DataFrame, first: int = 40) -> DataFrame:
-    """(binary, sub, reg) of argument registers read before they are written in the first statements of a function."""
-    s = parsed.where("kind not in ('SUB', 'BLOCK')").withColumn("n", F.row_number().over(Window.partitionBy("binary", "sub").orderBy("at"))).where(F.col("n") <= first)
-    s = s.withColumn("reg", F.explode(F.array(*map(F.lit, ARGUMENTS))))
-    side = lambda part: F.regexp_like(part, F.concat(F.lit("\\b"), F.col("reg"), F.lit("\\b")))
-    has = F.col("stmt").contains(":=")
-    left, right = F.substring_index("stmt", ":=", 1), F.when(has, F.substring_index("stmt", ":=", -1)).otherwise(F.col("stmt"))
-    read, write = F.min(F.when(side(right), F.col("n"))), F.min(F.when(has & side(left), F.col("n")))
-    g = s.groupBy("binary", "sub", "reg").agg(read.alias("r"), write.alias("w"))
-    return g.where("r is not null and (w is null or r <= w)").select("binary", "sub", "reg")
+    none = F.array().cast("array<string>")
+    functions = f.select("binary", "sub", what.alias("name_kind"), F.coalesce("sub_addr", "first_addr").alias("entry"), "num_blocks", "n_stmts", "n_import_calls", F.coalesce("in_args", F.lit(0)).alias("in_args"), flag("has_result").alias("has_result"), F.coalesce("arg_regs", none).alias("arg_regs"))
+    return Parsed(functions, blocks, edges, calls, p.select("binary", "sub", "at", "id", "stmt", "token"))
+
+
+def global_references(parsed: Parsed) -> DataFrame:
+    """(binary, sub, address) of constants of 0x1000 and more outside jumps, once each."""
+    found = F.explode(F.regexp_extract_all("stmt", F.lit(r"(?<![#\w])0x([0-9a-fA-F]+)\b"), F.lit(1)))
+    a = parsed.statements.where(~F.col("stmt").contains("goto")).select("binary", "sub", F.conv(found, 16, 10).cast("decimal(20,0)").alias("address"))
+    return a.where("address >= 4096").distinct()
+
+
+def register_use(statements: DataFrame, first: int = 40) -> DataFrame:
+    """(binary, sub, reg) of argument registers whose first mention in the first statements of a function is not their own assignment."""
+    s = statements.where(F.col("n") <= first).select("binary", "sub", "n", "stmt", F.explode(F.array(*map(F.lit, ARGUMENTS))).alias("reg"))
+    s = s.where(F.regexp_like("stmt", F.concat(F.lit("\\b"), F.col("reg"), F.lit("\\b"))))
+    put = F.col("stmt").contains(":=") & (F.trim(F.substring_index("stmt", ":=", 1)) == F.col("reg"))
+    g = s.groupBy("binary", "sub", "reg").agg(F.min_by(put, "n").alias("put"))
+    return g.where("not put").select("binary", "sub", "reg")
+
+
+def fall_through(parsed: Parsed) -> DataFrame:
+    """(binary, sub, src, dst) from each block to the next one, unless it ends in a jump or return: the older edge rule."""
+    b = parsed.blocks.select("binary", "sub", F.col("id").alias("src"), F.element_at("tokens", -1).alias("token"))
+    n = parsed.functions.select("binary", "sub", "num_blocks")
+    return b.join(n, ["binary", "sub"]).where("src + 1 < num_blocks and coalesce(token, '') not in ('BRANCH', 'RETURN')").select("binary", "sub", "src", (F.col("src") + 1).alias("dst"))
+
+
+def symbol_ranges(lines: DataFrame) -> DataFrame:
+    """(name, start, stop): least start and greatest end of each name in lines(value) of "(name start end)"; other lines count for nothing."""
+    m = r"^\((\S+) (\d+) (\d+)\)"
+    v = F.trim("value")
+    s = lines.where(v.rlike(m)).select(F.regexp_extract(v, m, 1).alias("name"), F.regexp_extract(v, m, 2).cast("long").alias("a"), F.regexp_extract(v, m, 3).cast("long").alias("b"))
+    return s.groupBy("name").agg(F.min("a").alias("start"), F.max("b").alias("stop"))

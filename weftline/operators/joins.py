@@ -9,13 +9,61 @@ from weftline.operators.split import _cut
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, by: list[str], key: str, offsets: list[int]) -> DataFrame:
-    """For each left row the right row at key + the first offset that has one; adds prio (null: none)."""
-    at = F.posexplode(F.array(*map(F.lit, offsets))).alias("prio", "offset")
-    probe = left.select("*", at).withColumn("__key", F.col(key) + F.col("offset"))
+    """For each left row the right row at key + the first offset that has one; adds prio (null: none).
+
+    The right side is laid out once for each offset, so the left side is shuffled once and keeps its other columns,
+    nulls and repeated rows as they are. Several right rows at a key count as one: the smallest by their other columns.
+    """
     other = [c for c in right.columns if c not in (*by, key)]
-    hit = probe.join(right.withColumnRenamed(key, "__key"), [*by, "__key"])
-    best = hit.groupBy(*left.columns).agg(F.min_by(F.struct("prio", *other), "prio").alias("__b"))
-    return left.join(best, left.columns, "left").select(*left.columns, *[F.col(f"__b.{c}").alias(c) for c in ("prio", *other)])
+    at = F.posexplode(F.array(*map(F.lit, offsets))).alias("prio", "offset")
+    spread = right.select("*", at).select(*by, (F.col(key) - F.col("offset")).alias(key), F.struct("prio", *other).alias("__b"))
+    best = spread.groupBy(*by, key).agg(F.min("__b").alias("__b"))
+    return left.join(best, [*by, key], "left").select(*left.columns, *[F.col(f"__b.{c}").alias(c) for c in ("prio", *other)])
+
+
+def with_name_fallback(left: DataFrame, right: DataFrame, by: list[str], key: str, offsets: list[int], names: list[str], value: str) -> DataFrame:
+    """tolerance_join, and for rows without a hit the value of the right row of the same names (the smallest); adds how."""
+    hit = tolerance_join(left, right.select(*by, key, value), by, key, offsets)
+    named = right.groupBy(*names).agg(F.min(value).alias("__v"))
+    j = hit.join(named, names, "left")
+    got = F.coalesce(F.when(F.col("prio").isNotNull(), F.col(value)), F.col("__v"))
+    how = F.when(F.col("prio").isNotNull(), "address").when(F.col("__v").isNotNull(), "name")
+    return j.select(*left.columns, got.alias(value), how.alias("how"))
+
+
+def three_way(left: DataFrame, graphs: DataFrame, by: str, address: str, name: str, graph: str) -> DataFrame:
+    """Adds graph and how: a graph at the address, else at address + 4, else one of the row's name.
+
+    graphs(by, address, name, graph); address or name may be null and then match nothing.
+    """
+    at = graphs.where(F.col(address).isNotNull()).select(by, F.explode(F.array(F.struct(F.lit(0).alias("p"), F.col(address).alias("a")), F.struct(F.lit(1).alias("p"), (F.col(address) - 4).alias("a")))).alias("s"), graph)
+    at = at.groupBy(by, F.col("s.a").alias(address)).agg(F.min(F.struct("s.p", graph)).alias("__a"))
+    named = graphs.where(F.col(name).isNotNull()).groupBy(by, name).agg(F.min(graph).alias("__n"))
+    j = left.join(at, [by, address], "left").join(named, [by, name], "left")
+    how = F.when(F.col("__a.p") == 0, "address").when(F.col("__a.p") == 1, "plus4").when(F.col("__n").isNotNull(), "name")
+    return j.select(*left.columns, F.coalesce(f"__a.{graph}", "__n").alias(graph), how.alias("how"))
+
+
+def prefix_overlap(left: DataFrame, right: DataFrame, name: str, least: int = 5) -> DataFrame:
+    """(left name, right name) that are equal, or one of which starts with the other where the left has at least so many characters.
+
+    All prefixes of the longer name are generated and joined by equality, so no pair of unrelated names is made.
+    """
+    a, b = left.select(F.col(name).alias("a")).distinct(), right.select(F.col(name).alias("b")).distinct()
+    cut = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), F.lit(1), i)))
+    down = b.where("length(b) > 0").select("b", cut("b").alias("a")).join(a, "a").where((F.col("a") == F.col("b")) | (F.length("a") >= least))
+    up = a.where(F.length("a") >= least).select("a", cut("a").alias("b")).join(b, "b")
+    return down.select("a", "b").union(up.select("a", "b")).distinct()
+
+
+def overlap_of(pairs: DataFrame, sets: DataFrame, owner: str, element: str) -> DataFrame:
+    """(a, b, inter, ratio) of given pairs of owners: shared multiset size over the size of a."""
+    c = sets.groupBy(owner, element).agg(F.count("*").alias("k"))
+    a = c.select(F.col(owner).alias("a"), element, F.col("k").alias("ka"))
+    b = c.select(F.col(owner).alias("b"), element, F.col("k").alias("kb"))
+    n = c.groupBy(F.col(owner).alias("a")).agg(F.sum("k").alias("n"))
+    inter = pairs.join(a, "a").join(b, ["b", element]).groupBy("a", "b").agg(F.sum(F.least("ka", "kb")).alias("inter"))
+    return pairs.join(inter, ["a", "b"], "left").join(n, "a").select("a", "b", F.coalesce("inter", F.lit(0)).alias("inter"), (F.coalesce("inter", F.lit(0)) / F.col("n")).alias("ratio"))
 
 
 def band_pairs(rows: DataFrame, by: str, pos: str, k: int) -> DataFrame:
@@ -25,27 +73,29 @@ def band_pairs(rows: DataFrame, by: str, pos: str, k: int) -> DataFrame:
 
 
 def overlap_pairs(sets: DataFrame, owner: str, element: str, least: float, min_size: int) -> DataFrame:
-    """(a, b, inter, coef): pairs of owners by overlap coefficient, by joining on shared elements."""
-    s = sets.select(owner, element).distinct()
+    """(a, b, inter, coef): pairs of owners by overlap coefficient, by an exact prefix filter.
+
+    A pair at the least shares ceil(least * n) of the smaller set, so one of the smaller's first n - ceil(least * n) + 1
+    elements, rare ones first, is in the larger: only those are joined with all elements, and counted candidates are
+    settled on the full sets.
+    """
+    s = sets.select(owner, element).where(F.col(owner).isNotNull() & F.col(element).isNotNull()).distinct()
     n = s.groupBy(owner).agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
-    s = s.join(n, owner)
-    a = s.select(F.col(owner).alias("a"), F.col("n").alias("n_a"), element)
-    b = s.select(F.col(owner).alias("b"), F.col("n").alias("n_b"), element)
-    pairs = a.join(b, element).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("inter"))
-    return pairs.withColumn("coef", F.col("inter") / F.least("n_a", "n_b")).where(F.col("coef") >= least).select("a", "b", "inter", "coef")
-
-
-def jaccard_pairs(sets: DataFrame, owner: str, element: str, max_df: int, least: float) -> DataFrame:
-    """(a, b, inter, jaccard) over elements held by at most max_df owners (rarer elements decide)."""
-    s = sets.select(owner, element).distinct()
-    rare = s.groupBy(element).agg(F.count("*").alias("df")).where(F.col("df") <= max_df).drop("df")
-    s = s.join(rare, element)
-    n = s.groupBy(owner).agg(F.count("*").alias("n"))
-    s = s.join(n, owner)
-    a = s.select(F.col(owner).alias("a"), F.col("n").alias("n_a"), element)
-    b = s.select(F.col(owner).alias("b"), F.col("n").alias("n_b"), element)
-    p = a.join(b, element).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("inter"))
-    return p.withColumn("jaccard", F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).where(F.col("jaccard") >= least).select("a", "b", "inter", "jaccard")
+    df = s.groupBy(element).agg(F.count("*").alias("df"))
+    s = _cut(s.join(n, owner).join(df, element).where("df > 1").withColumn("at", F.row_number().over(Window.partitionBy(owner).orderBy("df", element))))
+    # Elements of one owner are in no pair; leaving them out first only moves the others forward.
+    single = F.col("n") - F.count("*").over(Window.partitionBy(owner))
+    s = s.withColumn("at", F.col("at") + single)
+    first = s.where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    a = first.select(F.col(owner).alias("x"), F.col("n").alias("n_x"), element)
+    b = s.select(F.col(owner).alias("y"), F.col("n").alias("n_y"), element)
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y")))
+    cand = a.join(b, element).where(smaller).select("x", "y", "n_x").distinct()
+    full = s.groupBy(owner).agg(F.collect_list(element).alias("es"))
+    j = cand.join(full.select(F.col(owner).alias("x"), F.col("es").alias("es_x")), "x").join(full.select(F.col(owner).alias("y"), F.col("es").alias("es_y")), "y")
+    inter = F.size(F.array_intersect("es_x", "es_y")).cast("long")
+    j = j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), inter.alias("inter"), (inter / F.col("n_x")).alias("coef"))
+    return j.where(F.col("coef") >= least)
 
 
 def similar_pairs(sets: DataFrame, owner: str, element: str, least: float) -> DataFrame:

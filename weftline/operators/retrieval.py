@@ -7,44 +7,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the index held by one task at a time.
-BLOCK = 8192
+#: Rows of queries and of the index multiplied at a time, and rows of either that a task holds.
+BLOCK, HELD = 2048, 65_536
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def knn(queries: DataFrame, index: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """(q_id, t_id, t_label, sim, rank) for queries(q_id, v) against index(t_id, t_label, v), unit vectors.
 
-    Queries are dealt to blocks, and every block of queries meets every block of the index in a task of its own;
-    each keeps its own k best, so one shuffle of k rows a query and block gives the answer. Ties: lower t_id.
-    Whole rows decide in doubles, summed in index order.
+    Both sides are dealt to blocks of some HELD rows, as many as their counts ask for, and every block of queries meets
+    every block of the index in a task of its own; each keeps its own k best, so one shuffle of k rows a query and
+    block gives the answer. Ties: lower t_id. Matrix products find candidates, doubles summed in order decide.
+    With by, both sides have that column and rows meet only within equal values of it.
     """
-    deal = lambda df, key, c: df.withColumn(c, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = deal(queries, "q_id", "bq").withColumn("bt", every)
-    t = deal(index, "t_id", "bt").withColumn("bq", every)
+    n_q, n_t = max(1, -(-queries.count() // HELD)), max(1, -(-index.count() // HELD))
+    n_q, n_t = max(n_q, min(8, n_q * n_t * 8)), n_t
+    deal = lambda df, key, c, n: df.withColumn(c, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = deal(queries, "q_id", "bq", n_q).withColumn("bt", every(n_t))
+    t = deal(index, "t_id", "bt", n_t).withColumn("bq", every(n_q))
+    keys = ["bq", "bt"] + ([by] if by else [])
 
     def top(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _SCHEMA.empty_table()
-        a, ids = _matrix(left["v"]), right["t_id"].to_numpy()
-        out = []
-        best_s = np.full((len(a), 0), 0.0)
-        best_i = np.zeros((len(a), 0), np.int64)
-        rows = _matrix(right["v"])
-        for at in range(0, len(rows), BLOCK):
-            s = np.hstack([best_s, np.einsum("ij,kj->ik", a, rows[at : at + BLOCK])])
-            i = np.hstack([best_i, np.broadcast_to(np.arange(at, min(at + BLOCK, len(rows))), (len(a), min(BLOCK, len(rows) - at)))])
-            order = np.lexsort((ids[i], -np.round(s, 12)), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        n = best_s.shape[1]
-        out = [pa.array(np.repeat(left["q_id"].to_numpy(), n)), pa.array(ids[best_i].ravel()), right["t_label"].take(pa.array(best_i.ravel())).combine_chunks(), pa.array(best_s.ravel())]
+        a, ids, rows = _matrix(left["v"]), right["t_id"].to_numpy(), _matrix(right["v"])
+        more = min(k + 8, len(rows))
+        parts = []
+        for start in range(0, len(a), BLOCK):
+            x = a[start : start + BLOCK]
+            best_s, best_i = np.full((len(x), 0), 0.0), np.zeros((len(x), 0), np.int64)
+            for at in range(0, len(rows), BLOCK):
+                s = np.hstack([best_s, x @ rows[at : at + BLOCK].T])
+                i = np.hstack([best_i, np.broadcast_to(np.arange(at, min(at + BLOCK, len(rows))), (len(x), min(BLOCK, len(rows) - at)))])
+                order = np.lexsort((ids[i], -np.round(s, 12)), axis=1)[:, :more]
+                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            exact = np.einsum("ij,ikj->ik", x, rows[best_i])
+            order = np.lexsort((ids[best_i], -np.round(exact, 12)), axis=1)[:, :k]
+            parts.append((np.take_along_axis(exact, order, 1), np.take_along_axis(best_i, order, 1)))
+        best_s, best_i = np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
+        out = [pa.array(np.repeat(left["q_id"].to_numpy(), best_s.shape[1])), pa.array(ids[best_i].ravel()), right["t_label"].take(pa.array(best_i.ravel())).combine_chunks(), pa.array(best_s.ravel())]
         return pa.Table.from_arrays(out, schema=_SCHEMA)
 
-    part = q.groupBy("bq", "bt").cogroup(t.groupBy("bq", "bt")).applyInArrow(top, "q_id long, t_id long, t_label int, sim double")
+    part = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(top, "q_id long, t_id long, t_label int, sim double")
     w = Window.partitionBy("q_id").orderBy(F.round("sim", 12).desc(), "t_id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn_masked(queries: DataFrame, index: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
+    """knn among the index rows whose group a query's group allows; the mask is lifted where fewer than k rows survive it.
+
+    queries(q_id, q_group, v), index(t_id, t_label, t_group, v), allowed(q_group, t_group).
+    """
+    size = index.groupBy("t_group").agg(F.count("*").alias("n"))
+    groups = queries.select("q_group").distinct()
+    held = allowed.distinct().join(size, "t_group").groupBy("q_group").agg(F.sum("n").alias("n")).where(F.col("n") >= k).select("q_group")
+    some = allowed.distinct().join(held, "q_group").join(groups, "q_group")
+    masked = index.join(some, "t_group").select("t_id", "t_label", "v", "q_group")
+    near = knn(queries.join(held, "q_group", "left_semi").select("q_id", "v", "q_group"), masked, k, "q_group")
+    return near.unionByName(knn(queries.join(held, "q_group", "left_anti").select("q_id", "v"), index.select("t_id", "t_label", "v"), k))
+
+
+def similar_groups(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(q_group, t_group) whose sets of a(q_group, e) and b(t_group, e) have Jaccard least or more; an empty set is like none."""
+    a, b = a.distinct(), b.distinct()
+    n_a, n_b = a.groupBy("q_group").agg(F.count("*").alias("n_a")), b.groupBy("t_group").agg(F.count("*").alias("n_b"))
+    inter = a.join(b, "e").groupBy("q_group", "t_group").agg(F.count("*").alias("i"))
+    j = inter.join(n_a, "q_group").join(n_b, "t_group")
+    return j.where(F.col("i") / (F.col("n_a") + F.col("n_b") - F.col("i")) >= least).select("q_group", "t_group")
+
+
 _SCHEMA = pa.schema([("q_id", pa.int64()), ("t_id", pa.int64()), ("t_label", pa.int32()), ("sim", pa.float64())])
 
 

@@ -23,6 +23,59 @@ def all_reasons(rules: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules]))
 
 
+def size_filter(rows: DataFrame, group: str, least: int, held_out: Column, least_held_out: int) -> DataFrame:
+    """Rows of groups with enough rows; groups whose rows are held out need fewer."""
+    w = Window.partitionBy(group)
+    return rows.withColumn("__n", F.count("*").over(w)).where(F.col("__n") >= F.when(held_out, least_held_out).otherwise(least)).drop("__n")
+
+
+def role_of(package: Column, lists: dict[str, list[str]], rest: str) -> Column:
+    """The first role whose list has the package, or rest."""
+    return F.coalesce(*[F.when(package.isin(names), F.lit(role)) for role, names in lists.items()], F.lit(rest))
+
+
+def repaired_roles(members: DataFrame, family: str, role: str, far: str, near: str, pool: str, val: str) -> DataFrame:
+    """Adds new_role and warning: a far role whose family has members in the training pool becomes near.
+
+    A family with both a validation and a far or near member gets a warning and no change. Null families stand alone.
+    """
+    w = Window.partitionBy(family)
+    has = lambda r: F.bool_or(F.col(role) == r).over(w) & F.col(family).isNotNull()
+    moved = has(far) & has(pool)
+    warn = F.when(moved, "far_with_pool").when(has(val) & (has(far) | has(near)), "val_with_test")
+    return members.withColumns({"new_role": F.when(moved & (F.col(role) == far), near).otherwise(F.col(role)), "warning": warn})
+
+
+def policy(rows: DataFrame, tier: str, body: str, name: str, exported: Column, order: list[str], train: str = "train") -> DataFrame:
+    """Adds outcome: training rows keep the first of each (body, name), others lose bodies seen in train, then exported ones.
+
+    Outcomes are kept, duplicate, body_in_train and in_dynsym; nothing is removed, so the dropped set stays for strata.
+    """
+    seen = rows.where(F.col(tier) == train).select(F.col(body).alias("__b")).distinct().withColumn("__seen", F.lit(True))
+    j = rows.join(seen, F.col(body) == F.col("__b"), "left").drop("__b")
+    first = F.row_number().over(Window.partitionBy(tier, body, name).orderBy(*order))
+    is_train = F.col(tier) == train
+    out = F.when(is_train & (first > 1), "duplicate").when(~is_train & F.col("__seen"), "body_in_train").when(~is_train & exported, "in_dynsym").otherwise("kept")
+    return j.withColumn("outcome", out).drop("__seen")
+
+
+def policy_counts(judged: DataFrame, tier: str) -> DataFrame:
+    """Per tier: raw, body, dynsym, duplicate and scored rows, which add up."""
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    return judged.groupBy(tier).agg(F.count("*").alias("raw"), n("body_in_train").alias("body"), n("in_dynsym").alias("dynsym"), n("duplicate").alias("duplicate"), n("kept").alias("scored"))
+
+
+def guarded(assignments: DataFrame, ids: DataFrame, key: str, tier: str, bypass: str | None = None) -> DataFrame:
+    """(key, tier) of the ids; raises ValueError on an id in two tiers, and on unassigned ones unless bypass names their tier."""
+    bad = violations(assignments, ids, key, tier)
+    worst = bad.where("problem = 'overlap'" if bypass else "problem in ('overlap', 'unassigned')").groupBy("problem").agg(F.count("*").alias("n"), F.min(key).alias("first")).collect()
+    if worst:
+        raise ValueError("; ".join(f"{r['n']} {r['problem']}, first {r['first']}" for r in worst))
+    one = assignments.groupBy(key).agg(F.min(tier).alias(tier))
+    j = ids.select(key).distinct().join(one, key, "left")
+    return j.withColumn(tier, F.coalesce(tier, F.lit(bypass))) if bypass else j
+
+
 def leakage(train: DataFrame, test: DataFrame, group: str, name: str, body: str, tokens: str, min_tokens: int = 10) -> DataFrame:
     """Per group of the test rows: n, names seen in train, bodies (of min_tokens at least) seen, both seen together."""
     names = train.select(F.col(name)).distinct().withColumn("s_name", F.lit(True))
@@ -58,12 +111,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the folder that spark.checkpoint.dir names; a temporary one only where that is unset and the master is local."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="weftline-"))
+        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            at = tempfile.mkdtemp(prefix="weftline-")
+        spark.sparkContext.setCheckpointDir(at)
     return df.checkpoint()
 
 

@@ -49,31 +49,44 @@ def prefix_join(t):
     return J.longest_prefix(p, known, "u", "prefix", "/").select("page_id", "prefix")
 
 
-@query("WITH s AS (SELECT DISTINCT l_suppkey AS o, l_partkey % 200 AS e FROM lineitem WHERE l_suppkey < 60), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2) SELECT a, b, inter, round(inter::DOUBLE / least(x.n, y.n), 9) AS coef FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.35")
+_SETS = "s AS (SELECT DISTINCT source AS o, unnest(string_split(lower(text), ' ')) AS e FROM documents)"
+
+
+@query(f"WITH {_SETS}, n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2) SELECT a, b, inter, round(inter::DOUBLE / least(x.n, y.n), 9) AS coef FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.35")
 def overlap_pairs(t):
-    s = t.lineitem.where("l_suppkey < 60").select("l_suppkey", (F.col("l_partkey") % 200).alias("e"))
-    p = J.overlap_pairs(s, "l_suppkey", "e", 0.35, 20)
-    return p.select("a", "b", "inter", F.round("coef", 9).alias("coef"))
+    """Sources by the words they share."""
+    s = t.documents.select("source", F.explode(F.split(F.lower("text"), " ")).alias("e"))
+    return J.overlap_pairs(s, "source", "e", 0.35, 20).select("a", "b", "inter", F.round("coef", 9).alias("coef"))
 
 
-@query()
+@query("WITH s AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS e FROM lineitem), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2) SELECT a, b, inter, round(inter::DOUBLE / least(x.n, y.n), 9) AS coef FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.35")
 def overlap_pairs_all(t):
-    """All suppliers and their real parts; overlap_pairs and its SQL take suppliers under 60 and parts modulo 200."""
+    """All suppliers and their real parts."""
     p = J.overlap_pairs(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("e")), "l_suppkey", "e", 0.35, 20)
     return p.select("a", "b", "inter", F.round("coef", 9).alias("coef"))
 
 
-@query("WITH s AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS e FROM documents), f AS (SELECT e FROM s GROUP BY e HAVING count(*) <= 30), r AS (SELECT s.* FROM s JOIN f USING (e)), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM r a JOIN r b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT a, b, inter, round(inter::DOUBLE / (x.n + y.n - inter), 9) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE inter::DOUBLE / (x.n + y.n - inter) >= 0.5")
+@query("WITH s AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS e FROM documents), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT a, b, inter, round(inter::DOUBLE / (x.n + y.n - inter), 9) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE inter::DOUBLE / (x.n + y.n - inter) >= 0.5")
 def set_sim_join(t):
+    """Jaccard of the full word sets of documents; copies are classes until the last join."""
     s = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("e"))
-    return J.jaccard_pairs(s, "doc_id", "e", 30, 0.5).select("a", "b", "inter", F.round("jaccard", 9).alias("jaccard"))
+    return J.similar_pairs(s, "doc_id", "e", 0.5).select("a", "b", "inter", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query()
-def set_sim_join_full(t):
-    """Jaccard of the full word sets; set_sim_join and its SQL leave out words of more than 30 documents."""
-    s = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("e"))
-    return J.similar_pairs(s, "doc_id", "e", 0.5).select("a", "b", "inter", F.round("jaccard", 9).alias("jaccard"))
+@query("WITH c AS (SELECT l_suppkey AS o, l_partkey % 40 AS e, count(*) AS k FROM lineitem GROUP BY 1, 2), n AS (SELECT o, sum(k) AS n FROM c GROUP BY o), p AS (SELECT o AS a, o + 1 AS b FROM n) SELECT a, b, coalesce(sum(least(x.k, coalesce(y.k, 0))), 0)::BIGINT AS inter, round(coalesce(sum(least(x.k, coalesce(y.k, 0))), 0)::DOUBLE / any_value(n.n), 9) AS ratio FROM p JOIN n ON n.o = a LEFT JOIN c x ON x.o = a LEFT JOIN c y ON y.o = b AND y.e = x.e GROUP BY a, b")
+def build_identity(t):
+    """Shared multiset of each supplier with the next one."""
+    s = t.lineitem.select("l_suppkey", (F.col("l_partkey") % 40).alias("e"))
+    pairs = s.select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1).alias("b")).distinct()
+    return J.overlap_of(pairs, s, "l_suppkey", "e").select("a", "b", "inter", F.round("ratio", 9).alias("ratio"))
+
+
+@query("WITH a AS (SELECT DISTINCT replace(p_name, ' ', '') AS a FROM part), b AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS b FROM part UNION SELECT DISTINCT replace(p_name, ' ', '') || 'x' FROM part WHERE p_partkey % 3 = 0) SELECT a, b FROM a, b WHERE a = b OR (length(a) > 4 AND (starts_with(b, a) OR starts_with(a, b)))")
+def prefix_overlap(t):
+    joined = F.replace("p_name", F.lit(" "), F.lit(""))
+    a = t.part.select(joined.alias("nm"))
+    b = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("nm")).union(t.part.where("p_partkey % 3 = 0").select(F.concat(joined, F.lit("x"))))
+    return J.prefix_overlap(a, b, "nm")
 
 
 @query("SELECT a.l_orderkey, count(*) AS pairs, count(*) FILTER (a.l_partkey = b.l_partkey) AS same_part FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_returnflag <> b.l_returnflag GROUP BY a.l_orderkey")

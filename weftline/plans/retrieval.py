@@ -47,13 +47,18 @@ def knn_vote(t):
     return J.vote(_knn(t, 5), "q_id", "t_label", "sim")
 
 
-@query(f"WITH {_S}, a AS (SELECT *, (t_label % 3) = (q_id % 3) AS ok FROM k), c AS (SELECT q_id, count(*) FILTER (ok AND rank <= 50) AS n FROM a GROUP BY q_id), f AS (SELECT a.*, row_number() OVER (PARTITION BY a.q_id ORDER BY rank) AS r2 FROM a JOIN c USING (q_id) WHERE rank <= 50 AND (ok OR c.n < 3)) SELECT q_id, t_id, t_label FROM f WHERE r2 = 1")
-def knn_filtered(t):
-    from pyspark.sql import Window
+_SETS = "fp AS (SELECT label, list_distinct([label % 4, 4 + label % 3, 7 + label % 2, 9 + label % 5]) AS f FROM (SELECT DISTINCT label FROM embeddings)), jac AS (SELECT x.label AS a, y.label AS b, len(list_intersect(x.f, y.f))::DOUBLE / len(list_distinct(list_concat(x.f, y.f))) AS j FROM fp x, fp y)"
+
 
-    k = _knn(t, 50).withColumn("ok", F.col("t_label") % 3 == F.col("q_id") % 3)
-    k = k.withColumn("n", F.count_if("ok").over(Window.partitionBy("q_id"))).where("ok or n < 3")
-    return k.groupBy("q_id").agg(F.min_by(F.struct("t_id", "t_label"), "rank").alias("b")).select("q_id", "b.*")
+@query(f"WITH {_S}, {_SETS}, ok AS (SELECT s.q_id, s.t_id, s.t_label, s.sim, j.j >= 0.3 AS fits FROM s JOIN jac j ON j.a = s.q_id % 7 AND j.b = s.t_label), c AS (SELECT q_id, count(*) FILTER (fits) AS n FROM ok GROUP BY q_id), r AS (SELECT ok.q_id, t_id, t_label, row_number() OVER (PARTITION BY ok.q_id ORDER BY round(sim, 12) DESC, t_id) AS rank FROM ok JOIN c USING (q_id) WHERE fits OR c.n < 3) SELECT q_id, t_id, t_label FROM r WHERE rank <= 3")
+def knn_filtered(t):
+    """Neighbours among labels whose fingerprint is like that of the query's group; the mask is lifted below three survivors."""
+    e = t.embeddings
+    prints = e.select(F.col("label")).distinct().select("label", F.explode(F.array_distinct(F.array(F.col("label") % 4, F.col("label") % 3 + 4, F.col("label") % 2 + 7, F.col("label") % 5 + 9))).alias("e"))
+    allowed = R.similar_groups(prints.select(F.col("label").alias("q_group"), "e"), prints.select(F.col("label").alias("t_group"), "e"), 0.3)
+    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("q_id"), (F.col("vec_id") % 7).cast("int").alias("q_group"), F.col("embedding").alias("v"))
+    i = e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("t_id"), F.col("label").alias("t_label"), F.col("label").alias("t_group"), F.col("embedding").alias("v"))
+    return R.knn_masked(q, i, allowed, 3).select("q_id", "t_id", "t_label")
 
 
 @query(f"WITH {_S}, b AS (SELECT q_id, t_label, sim FROM k WHERE rank = 1) SELECT CASE WHEN round(sim, 9) >= 0.5 THEN 'retrieved' ELSE 'fallback' END AS arm, count(*) AS n, sum(CASE WHEN round(sim, 9) >= 0.5 THEN t_label ELSE q_id % 10 END)::BIGINT AS picks FROM b GROUP BY 1")

@@ -55,16 +55,17 @@ def split_guard(t):
     return P.violations(a, d, "doc_id", "tier").groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@query("WITH RECURSIVE s AS (SELECT DISTINCT l_suppkey AS o, l_partkey % 200 AS e FROM lineitem WHERE l_suppkey < 60), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2), e0 AS (SELECT a, b FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.95), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
+@query("WITH RECURSIVE s AS (SELECT DISTINCT source AS o, unnest(string_split(lower(text), ' ')) AS e FROM documents), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2), e0 AS (SELECT a, b FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.35), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
 def families(t):
-    s = t.lineitem.where("l_suppkey < 60").select("l_suppkey", (F.col("l_partkey") % 200).alias("e"))
-    return P.components(J.overlap_pairs(s, "l_suppkey", "e", 0.95, 20))
+    """Components of the sources that share words."""
+    s = t.documents.select("source", F.explode(F.split(F.lower("text"), " ")).alias("e"))
+    return P.components(J.overlap_pairs(s, "source", "e", 0.35, 20))
 
 
-@query()
+@query("WITH RECURSIVE s AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS e FROM lineitem), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2), e0 AS (SELECT a, b FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.3), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
 def families_all(t):
     """All suppliers and their real parts; families and its SQL take suppliers under 60 and parts modulo 200."""
-    return P.components(J.overlap_pairs(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("e")), "l_suppkey", "e", 0.95, 20))
+    return P.components(J.overlap_pairs(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("e")), "l_suppkey", "e", 0.3, 20))
 
 
 @query()
@@ -82,3 +83,37 @@ def capped_sample(t):
 def paired_slice(t):
     full = t.documents.groupBy("source").agg(F.count_distinct("lang").alias("k")).where("k = 4")
     return t.documents.join(full, "source", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+
+
+_ROLES = {"xproject_FT": ["Brand#1", "Brand#2", "Brand#3"], "xproject_NCT": ["Brand#4"], "val_xproj": ["Brand#5", "Brand#6"]}
+
+
+@query("WITH m AS (SELECT DISTINCT p_brand, substr(p_brand, 7)::INT % 8 AS fam FROM part), r AS (SELECT *, CASE WHEN p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'xproject_FT' WHEN p_brand = 'Brand#4' THEN 'xproject_NCT' WHEN p_brand IN ('Brand#5', 'Brand#6') THEN 'val_xproj' ELSE 'train_pool' END AS role FROM m), f AS (SELECT fam, bool_or(role = 'xproject_FT') AS ft, bool_or(role = 'xproject_NCT') AS nct, bool_or(role = 'train_pool') AS pool, bool_or(role = 'val_xproj') AS val FROM r GROUP BY fam) SELECT p_brand, role, CASE WHEN ft AND pool AND role = 'xproject_FT' THEN 'xproject_NCT' ELSE role END AS new_role, CASE WHEN ft AND pool THEN 'far_with_pool' WHEN val AND (ft OR nct) THEN 'val_with_test' END AS warning FROM r JOIN f USING (fam)")
+def role_repair(t):
+    m = t.part.select("p_brand").distinct().withColumn("fam", F.substring("p_brand", 7, 9).cast("int") % 8)
+    m = m.withColumn("role", P.role_of(F.col("p_brand"), _ROLES, "train_pool"))
+    return P.repaired_roles(m, "fam", "role", "xproject_FT", "xproject_NCT", "train_pool", "val_xproj").select("p_brand", "role", "new_role", "warning")
+
+
+@query("WITH g AS (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id FROM g WHERE n >= CASE WHEN source LIKE '%1%' THEN 5 ELSE 45 END")
+def size_filter(t):
+    return P.size_filter(t.documents.select("doc_id", "source"), "source", 45, F.col("source").contains("1"), 5).select("doc_id")
+
+
+_POLICY = "a AS (SELECT doc_id, md5(text) AS body, lang AS name, doc_id % 13 = 0 AS dyn, CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS tier FROM documents), j AS (SELECT *, CASE WHEN tier = 'train' AND row_number() OVER (PARTITION BY tier, body, name ORDER BY doc_id) > 1 THEN 'duplicate' WHEN tier <> 'train' AND body IN (SELECT body FROM a WHERE tier = 'train') THEN 'body_in_train' WHEN tier <> 'train' AND dyn THEN 'in_dynsym' ELSE 'kept' END AS outcome FROM a)"
+
+
+def _judged(t):
+    tier = F.when(F.col("doc_id") % 5 == 0, "test").when(F.col("doc_id") % 5 == 1, "val").otherwise("train")
+    a = t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("body"), F.col("lang").alias("name"), tier.alias("tier"))
+    return P.policy(a, "tier", "body", "name", F.col("doc_id") % 13 == 0, ["doc_id"])
+
+
+@query(f"WITH {_POLICY} SELECT tier, count(*) AS raw, count(*) FILTER (outcome = 'body_in_train') AS body, count(*) FILTER (outcome = 'in_dynsym') AS dynsym, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'kept') AS scored FROM j GROUP BY tier")
+def policy_accounting(t):
+    return P.policy_counts(_judged(t), "tier")
+
+
+@query(f"WITH {_POLICY} SELECT doc_id, tier, outcome FROM j WHERE outcome <> 'kept'")
+def policy_dropped(t):
+    return _judged(t).where("outcome <> 'kept'").select("doc_id", "tier", "outcome")

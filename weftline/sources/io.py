@@ -93,7 +93,103 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; more than most rows are an error, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the result has more than {most} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+
+
+def markdown_report(parts: list[tuple[str, DataFrame]]) -> str:
+    """Titled small results, one below the other."""
+    return "\n\n".join(f"## {title}\n\n{markdown_table(df)}" for title, df in parts) + "\n"
+
+
+def read_objects(spark: SparkSession, folder: str, schema: T.StructType, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): one JSON object a file, named by its key; wanted keys without a readable file are counted by reason.
+
+    rows has the wanted keys that were read; rejects(reason, n) counts missing and malformed ones.
+    """
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    got = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)
+    got = got.withColumn("__file", file_key("_metadata.file_path")).withColumn("__bad", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+    j = wanted.select(F.col(key).alias("__file")).distinct().join(got, "__file", "left")
+    reason = F.when(F.col("__bad").isNull(), "missing").when(F.col("__bad"), "malformed")
+    rejects = j.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    return j.where("not __bad").drop("__bad").withColumnRenamed("__file", "file_key"), rejects
+
+
+def read_positional(spark: SparkSession, path: str, names: list[str], header: bool = False, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
+    """(rows, ragged): headerless text by position; rows with another number of cells go to ragged(value, cells)."""
+    lines = spark.read.text(path).withColumn("__c", F.split("value", sep))
+    good = lines.where(F.size("__c") == len(names))
+    rows = good.select(*[F.get("__c", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    if header:
+        rows = rows.where(F.col(names[0]) != names[0])
+    return rows, lines.where(F.size("__c") != len(names)).select("value", F.size("__c").alias("cells"))
+
+
+def counts_by_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(folder, n): files below a folder, listed by the reader and counted by their parent."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count("*").alias("n"))
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, v) of .npy matrices, read by Arrow batches of one file; the row is its place in the file."""
+    import pyarrow as pa
+
+    def run(batches):
+        import io as _io
+
+        import numpy as np
+
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                m = np.load(_io.BytesIO(raw), allow_pickle=False)
+                m = m.reshape(len(m), -1).astype(np.float32)
+                for at in range(0, len(m), 4096):
+                    part = m[at : at + 4096]
+                    v = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, max(1, part.shape[1])), pa.int32()), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), v], names=["file", "row", "v"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, row long, v array<float>")
+
+
+def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
+    """One scan to many outputs: a JSON folder for each mode and tier, rows dealt by them first so that each has few files."""
+    df.repartition(*by).write.partitionBy(*by).json(path)
+
+
+def fingerprint(spark: SparkSession, folder: str, *args) -> str:
+    """sha256 of the names, sizes and times of the files below a folder and of the arguments, whatever their order of listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", F.unix_micros("modificationTime").alias("t"))
+    one = files.select(F.sha2(F.concat_ws("|", "path", "length", "t"), 256).alias("h")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("h"))), 256).alias("h")).first()["h"]
+    return spark.range(1).select(F.sha2(F.concat_ws("|", F.lit(one), *[F.lit(repr(a)) for a in args]), 256).alias("h")).first()["h"]
+
+
+def cached(spark: SparkSession, source: str, cache: str, build, *args) -> DataFrame:
+    """The table that build() gives for the files of source, written once for each state of them and the arguments.
+
+    It is written beside its place and renamed, so a reader sees a whole table or none.
+    """
+    at = f"{cache.rstrip('/')}/{fingerprint(spark, source, *args)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(path(at)):
+        build().write.mode("overwrite").parquet(at + ".part")
+        if not fs.rename(path(at + ".part"), path(at)) and not fs.exists(path(at)):
+            raise OSError(f"cannot rename to {at}")
+    return spark.read.parquet(at)
+
+
+def read_config(path: str) -> dict:
+    """A YAML file of settings; needs the yaml package."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the yaml package") from e
+    with open(path) as f:
+        return yaml.safe_load(f)

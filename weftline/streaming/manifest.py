@@ -18,11 +18,11 @@ def append_new(spark: SparkSession, folder: str, schema: T.StructType, key: str,
 
     def add(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(out).select(key), key, "left_anti")
-        except Exception as e:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            # Only the key column is read, and only keys that arrive again come back from the table.
+            seen = spark.read.schema(schema).parquet(out).select(key).join(F.broadcast(fresh.select(key)) if fresh.count() <= 100_000 else fresh.select(key), key, "left_semi")
+            fresh = fresh.join(seen, key, "left_anti")
         fresh.write.mode("append").parquet(out)
 
     return spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
