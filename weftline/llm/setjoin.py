@@ -4,7 +4,7 @@ Method: set-relation skipping. Each set is cut by a hash of its elements into bl
 index lists are kept by (size class, block position, content of the block): when two sets differ in at most d
 elements, more blocks than d cannot all be hit, so a linked pair meets in the list of an untouched block, and
 every list of other positions or contents is skipped whole. Inside a list, MinHash bytes drop pairs far below
-the threshold (a linked one with a chance of 1e-15). In the groups that remain, a set's overlaps are derived from the
+the threshold (a linked one with a chance of 1e-9 at most). In the groups that remain, a set's overlaps are derived from the
 computed overlaps of a highly similar set (its leader): bounds skip it entirely, or only the few elements in
 which the two differ are counted.
 
@@ -30,8 +30,8 @@ from weftline.llm import kernel as K
 from weftline.llm.common import connected_components, lookup_join, shuffle_partitions, small_arrow_batches, stage
 
 MINHASHES = 64
-#: Chance that MinHash bytes drop a linked pair, below that of two of 1e9 shingles having one 64-bit hash.
-LOST = 1e-15
+#: Most chance that MinHash bytes drop a pair at the threshold; a smaller one lets passages chain documents into large groups.
+LOST = 1e-9
 #: Members of a list or group compared in one task; larger ones are compared as pairs of such blocks.
 BLOCK = 2048
 
