@@ -186,7 +186,8 @@ def parse(lines: DataFrame) -> Parsed:
 def global_references(parsed: Parsed) -> DataFrame:
     """(binary, sub, address) of constants of 0x1000 and more outside jumps, once each."""
     found = F.explode(F.regexp_extract_all("stmt", F.lit(r"(?<![#\w])0x([0-9a-fA-F]+)\b"), F.lit(1)))
-    a = parsed.statements.where(~F.col("stmt").contains("goto")).select("binary", "sub", F.conv(found, 16, 10).cast("decimal(20,0)").alias("address"))
+    a = parsed.statements.where(~F.col("stmt").contains("goto")).select("binary", "sub", found.alias("h"))
+    a = a.select("binary", "sub", F.conv("h", 16, 10).cast("decimal(20,0)").alias("address"))
     return a.where("address >= 4096").distinct()
 
 

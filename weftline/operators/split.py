@@ -67,8 +67,10 @@ def policy_counts(judged: DataFrame, tier: str) -> DataFrame:
 
 def guarded(assignments: DataFrame, ids: DataFrame, key: str, tier: str, bypass: str | None = None) -> DataFrame:
     """(key, tier) of the ids; raises ValueError on an id in two tiers, and on unassigned ones unless bypass names their tier."""
-    bad = violations(assignments, ids, key, tier)
-    worst = bad.where("problem = 'overlap'" if bypass else "problem in ('overlap', 'unassigned')").groupBy("problem").agg(F.count("*").alias("n"), F.min(key).alias("first")).collect()
+    twice = assignments.groupBy(key).agg(F.count_distinct(tier).alias("n")).where("n > 1").select(key, F.lit("overlap").alias("problem"))
+    lone = ids.select(key).distinct().join(assignments.select(key), key, "left_anti").select(key, F.lit("unassigned").alias("problem"))
+    bad = twice if bypass else twice.unionByName(lone)
+    worst = bad.groupBy("problem").agg(F.count("*").alias("n"), F.min(key).alias("first")).collect()
     if worst:
         raise ValueError("; ".join(f"{r['n']} {r['problem']}, first {r['first']}" for r in worst))
     one = assignments.groupBy(key).agg(F.min(tier).alias(tier))

@@ -142,7 +142,7 @@ def budget_digest(t):
 _PRED = "pr AS (SELECT source, pos, token, 2 * count(*) AS cnt FROM (SELECT source, pos, unnest(string_split_regex(lower(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')), '[^a-z0-9]+')) AS token FROM (SELECT source, pos, unit || 'Reader' AS s FROM d)) WHERE " + _TOKEN + " GROUP BY ALL)"
 
 
-@query(f"WITH {_D}, {_EV}, {_PRED}, both AS (SELECT source, pos, token, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM ev UNION ALL SELECT * FROM pr) GROUP BY ALL), g AS (SELECT a.source, a.pos, e.token, count(*) AS df, sum(e.cnt)::BIGINT AS tot FROM d a JOIN both e ON e.source = a.source AND e.pos BETWEEN a.pos - 2 AND a.pos + 2 AND e.pos <> a.pos GROUP BY 1, 2, 3), k AS ({_RANKED.format(extra='')} g) SELECT source, pos, string_agg(token, ' ' ORDER BY rank) AS digest FROM k WHERE rank <= 40 GROUP BY 1, 2")
+@query(f"WITH {_D}, {_EV}, {_PRED}, bt AS (SELECT source, pos, token, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM ev UNION ALL SELECT * FROM pr) GROUP BY ALL), g AS (SELECT a.source, a.pos, e.token, count(*) AS df, sum(e.cnt)::BIGINT AS tot FROM d a JOIN bt e ON e.source = a.source AND e.pos BETWEEN a.pos - 2 AND a.pos + 2 AND e.pos <> a.pos GROUP BY 1, 2, 3), k AS ({_RANKED.format(extra='')} g) SELECT source, pos, string_agg(token, ' ' ORDER BY rank) AS digest FROM k WHERE rank <= 40 GROUP BY 1, 2")
 def second_pass_digest(t):
     d, ev = _evidence(t)
     pred = d.select("source", "pos", F.concat("unit", F.lit("Reader")).alias("p"))

@@ -62,10 +62,10 @@ def families(t):
     return P.components(J.overlap_pairs(s, "source", "e", 0.35, 20))
 
 
-@query("WITH RECURSIVE s AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS e FROM lineitem), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2), e0 AS (SELECT a, b FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.3), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
+@query("WITH RECURSIVE s AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS e FROM lineitem), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2), e0 AS (SELECT a, b FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.95), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
 def families_all(t):
     """All suppliers and their real parts; families and its SQL take suppliers under 60 and parts modulo 200."""
-    return P.components(J.overlap_pairs(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("e")), "l_suppkey", "e", 0.3, 20))
+    return P.components(J.overlap_pairs(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("e")), "l_suppkey", "e", 0.95, 20))
 
 
 @query()

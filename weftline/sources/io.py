@@ -112,8 +112,9 @@ def read_objects(spark: SparkSession, folder: str, schema: T.StructType, wanted:
     rows has the wanted keys that were read; rejects(reason, n) counts missing and malformed ones.
     """
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    got = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)
-    got = got.withColumn("__file", file_key("_metadata.file_path")).withColumn("__bad", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+    whole = spark.read.option("wholetext", True).text(folder).select(file_key("_metadata.file_path").alias("__file"), "value")
+    got = whole.select("__file", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("o"))
+    got = got.select("__file", *[F.col(f"o.{f.name}").alias(f.name) for f in schema.fields], F.col("o._corrupt_record").isNotNull().alias("__bad"))
     j = wanted.select(F.col(key).alias("__file")).distinct().join(got, "__file", "left")
     reason = F.when(F.col("__bad").isNull(), "missing").when(F.col("__bad"), "malformed")
     rejects = j.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
