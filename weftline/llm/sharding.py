@@ -4,8 +4,8 @@ The key of a row is the hash of its text, so equal texts are neighbours. Splitte
 all partitions, the exact bytes below candidate keys; each round probes only the bucket that holds a splitter
 256 times finer, until it holds a single unit, and the cut goes to the nearer side of it. A group of equal texts
 is one unit, and stays in one shard, unless it is larger than both the largest document and a twentieth of a
-shard; then its rows are units of their own, ordered by the hash of doc_id. Four sub-ranges a shard bound what
-one task sorts.
+shard; then its rows are units of their own, ordered by the hash of doc_id. Sub-ranges of a shard, four at least and so
+many that each has some RANGE_BYTES, bound what one task sorts.
 
 Defined results: a null text counts as empty (16 bytes); rows equal in doc_id and text are one unit; fewer
 documents than shards leave shards empty.
@@ -13,6 +13,7 @@ documents than shards leave shards empty.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,8 @@ from weftline.llm.common import stage
 
 BITS, FIRST, STEP = 60, 12, 8
 TOLERANCE = 0.05
-SUB = 4
+#: Least sub-ranges of a shard, and the bytes that one should have at most.
+SUB, RANGE_BYTES = 4, 256 << 20
 
 
 def _key(*cols: Column) -> Column:
@@ -83,20 +85,32 @@ def cuts(base: DataFrame, shards: int, sub: int = SUB) -> list[tuple[int, int]]:
     return bounds, heavy
 
 
+def _below(bounds: list[tuple[int, int]], g: Column, e: Column) -> Column:
+    """How many bounds lie at or below (g, e): a look-up by the first bits of g, then a count of the few bounds that share them."""
+    inside: list[list[dict]] = [[] for _ in range(1 << FIRST)]
+    for bg, be in bounds:
+        inside[bg >> (BITS - FIRST)].append({"g": bg, "e": be})
+    table, before = [], 0
+    for cell in inside:
+        table.append({"b": before, "in": cell})
+        before += len(cell)
+    cells = F.from_json(F.lit(json.dumps(table)), "array<struct<b:int,in:array<struct<g:bigint,e:bigint>>>>")
+    own = F.get(cells, F.shiftright(g, BITS - FIRST).cast("int"))
+    return own["b"] + F.size(F.filter(own["in"], lambda x: (x["g"] < g) | ((x["g"] == g) & (x["e"] <= e))))
+
+
 def place(docs: DataFrame, shards: int = 40, sub: int = SUB) -> DataFrame:
-    """docs with its columns, shard int and slot long; the rows cross one exchange."""
+    """docs with its columns, shard int and slot long (columns of these names are replaced); the rows cross one exchange."""
     text = F.coalesce(docs["text"], F.lit(""))
     keyed = {"__size": F.octet_length(text).cast("long") + 16, "__g": _key(text), "__d": _key(docs["doc_id"])}
     base = stage(docs.select(*[c.alias(n[2:]) for n, c in keyed.items()]), "keys")
+    total = base.agg(F.sum("size").alias("t")).first()["t"] or 0
+    sub = max(sub, -(-total // (shards * RANGE_BYTES)))
     bounds, heavy = cuts(base, shards, sub)
-    if bounds:
-        ends = F.array(*[F.struct(F.lit(g).cast("long").alias("g"), F.lit(e).cast("long").alias("e")) for g, e in bounds])
-    else:
-        ends = F.expr("cast(array() as array<struct<g:bigint,e:bigint>>)")
 
     def ranged(df: DataFrame, g: str, d: str) -> Column:
         e = F.when(F.col(g).isin(heavy), F.col(d)).otherwise(F.lit(0).cast("long")) if heavy else F.lit(0).cast("long")
-        return F.size(F.filter(ends, lambda x: (x["g"] < F.col(g)) | ((x["g"] == F.col(g)) & (x["e"] <= e))))
+        return _below(bounds, F.col(g), e)
 
     rows = sorted((r["p"], r["count"]) for r in base.select(ranged(base, "g", "d").alias("p")).groupBy("p").count().collect())
     start, offset = {}, {}
