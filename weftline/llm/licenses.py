@@ -54,14 +54,35 @@ def term_weights(files: DataFrame) -> tuple[dict[str, float], int]:
     return {t: _idf(n, df.get(t, 0)) for t in VOCAB}, n
 
 
-def parts(files: DataFrame, telling: list[str]) -> Column:
-    """The lines, blocks and (of licence files) whole text that hold a telling term, each once; null for texts without any."""
+def _enough(part: Column, idf: dict[str, float]) -> Column:
+    """True when the terms that a part shares with some template have weight enough for SIMILARITY.
+
+    A cosine is at most the length of the template's part that is shared, over the template's length.
+    """
+    shared = F.array_intersect(_words(part), F.array(*map(F.lit, VOCAB)))
+
+    def adding(weight):
+        return lambda s, t: s + F.coalesce(F.try_element_at(weight, t), F.lit(0.0))
+
+    def any_of(own):
+        out = F.lit(False)
+        for _, x in TEMPLATES:
+            sq = {t: (c * idf[t]) ** 2 for t, c in Counter(tokens(x)).items()}
+            weight = F.create_map(*[F.lit(y) for kv in sq.items() for y in kv])
+            out = out | (F.aggregate(own, F.lit(0.0), adding(weight)) >= SIMILARITY**2 * sum(sq.values()) * (1 - 1e-9))
+        return out
+
+    return F.transform(F.array(shared), any_of)[0]
+
+
+def parts(files: DataFrame, telling: list[str], idf: dict[str, float]) -> Column:
+    """The lines, blocks and (of licence files) whole text that can reach SIMILARITY, each once; null for texts without a telling term."""
     text = F.coalesce(files["text"], F.lit(""))
     told = "(?<![a-z0-9])(?:" + "|".join(telling) + ")(?![a-z0-9])"
     plain = F.regexp_replace(text, _MARK, "")
     blocks = F.filter(F.split(plain, r"\n[ \t\r]*\n"), lambda b: F.btrim(b, F.lit(" \t\r\n")).contains("\n"))
     whole = F.when(F.coalesce(files["is_license"], F.lit(False)), F.array(plain)).otherwise(F.array().cast("array<string>")) if "is_license" in files.columns else F.array().cast("array<string>")
-    some = F.filter(F.concat(F.split(text, "\n"), blocks, whole), lambda x: F.lower(x).rlike(told))
+    some = F.filter(F.concat(F.split(text, "\n"), blocks, whole), lambda x: F.lower(x).rlike(told) & _enough(x, idf))
     return F.when(F.lower(text).rlike(told), F.array_distinct(some))
 
 
@@ -71,8 +92,8 @@ def own_license(files: DataFrame) -> DataFrame:
     # Only a part with one of a template's telling terms can reach SIMILARITY; which terms tell follows from the weights.
     telling = sorted({t for _, x in TEMPLATES for t in _telling(x, idf)})
     tag = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)", 1), F.lit(""))
-    rows = stage(files.withColumns({"__row": F.monotonically_increasing_id(), "__parts": parts(files, telling), "__tag": tag}).drop("text"), "rows")
-    own = rows.where("__parts is not null").select("__row", F.explode("__parts").alias("line"))
+    rows = stage(files.withColumns({"__row": F.monotonically_increasing_id(), "__parts": parts(files, telling, idf), "__tag": tag}).drop("text"), "rows")
+    own = rows.where("size(__parts) > 0").select("__row", F.explode("__parts").alias("line"))
     scores = _scores(own.select("line").distinct(), files, idf, n)
     best = stage(lookup_join(own, scores, "line", "inner").groupBy("__row").agg(F.max("best").alias("__best")), "best")
     out = lookup_join(rows.drop("__parts"), best, "__row")
