@@ -1,7 +1,8 @@
 """License scan: sparse TF-IDF cosine of lines, blocks and licence files to templates, then the nearest ancestor's licence.
 
-What is compared with the templates (notices, headers and licence texts) are the lines of a file, its blocks (lines
-between blank ones, joined, without comment marks) and, of licence files (is_license), the whole text. A file's licence is
+What is compared with the templates (notices, headers and licence texts) are the lines of a file and, with all but the
+notices, its blocks (lines between blank ones, joined, without comment marks) and, of licence files (is_license), the
+whole text. A file's licence is
 that of its part with the largest cosine to a template, SIMILARITY at least; an SPDX tag names it outright. Weights are
 tf times idf; document frequencies of all words of the parts compared are counted over all files. A licence file also
 gives its licence to its directory; a file without one of its own takes that of the nearest directory above it, by a
@@ -9,8 +10,8 @@ join on ancestor paths.
 
 Defined results: null and empty texts and null paths have no licence of their own, null paths inherit none;
 equal cosines go to the template first in order, equal licence files of a directory to the larger cosine, then
-the smaller path; rows that repeat a path are scanned one by one. Licences without a template and bare names
-in running text are not recognised.
+the smaller path; rows that repeat a path are scanned one by one. Licences without a template, bare names and
+titles, and one-line notices wrapped over lines are not recognised.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ def tokens(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
+#: Templates of at most so many words are notices, which single lines are compared with; blocks and files are compared with longer ones.
+NOTICE = 25
 VOCAB = sorted({t for _, x in TEMPLATES for t in tokens(x)})
 
 
@@ -54,8 +57,17 @@ def term_weights(files: DataFrame) -> tuple[dict[str, float], int]:
     return {t: _idf(n, df.get(t, 0)) for t in VOCAB}, n
 
 
+def _texts(long: bool) -> list[str]:
+    return [x for _, x in TEMPLATES if (len(tokens(x)) > NOTICE) == long]
+
+
+def _told(idf: dict[str, float], long: bool) -> str:
+    """A pattern of the telling terms: only a part with one of a template's can reach SIMILARITY; the weights say which they are."""
+    return "(?<![a-z0-9])(?:" + "|".join(sorted({t for x in _texts(long) for t in _telling(x, idf)})) + ")(?![a-z0-9])"
+
+
 def _enough(part: Column, idf: dict[str, float]) -> Column:
-    """True when the terms that a part shares with some template have weight enough for SIMILARITY.
+    """True when the terms that a part shares with some longer template have weight enough for SIMILARITY.
 
     A cosine is at most the length of the template's part that is shared, over the template's length.
     """
@@ -66,7 +78,7 @@ def _enough(part: Column, idf: dict[str, float]) -> Column:
 
     def any_of(own):
         out = F.lit(False)
-        for _, x in TEMPLATES:
+        for x in _texts(long=True):
             sq = {t: (c * idf[t]) ** 2 for t, c in Counter(tokens(x)).items()}
             weight = F.create_map(*[F.lit(y) for kv in sq.items() for y in kv])
             out = out | (F.aggregate(own, F.lit(0.0), adding(weight)) >= SIMILARITY**2 * sum(sq.values()) * (1 - 1e-9))
@@ -75,24 +87,26 @@ def _enough(part: Column, idf: dict[str, float]) -> Column:
     return F.transform(F.array(shared), any_of)[0]
 
 
-def parts(files: DataFrame, telling: list[str], idf: dict[str, float]) -> Column:
-    """The lines, blocks and (of licence files) whole text that can reach SIMILARITY, each once; null for texts without a telling term."""
+def parts(files: DataFrame, idf: dict[str, float]) -> Column:
+    """The lines, blocks and (of licence files) whole text that can reach SIMILARITY, each once."""
     text = F.coalesce(files["text"], F.lit(""))
-    told = "(?<![a-z0-9])(?:" + "|".join(telling) + ")(?![a-z0-9])"
+    short, long = _told(idf, False), _told(idf, True)
     plain = F.regexp_replace(text, _MARK, "")
+    none = F.array().cast("array<string>")
     blocks = F.filter(F.split(plain, r"\n[ \t\r]*\n"), lambda b: F.btrim(b, F.lit(" \t\r\n")).contains("\n"))
-    whole = F.when(F.coalesce(files["is_license"], F.lit(False)), F.array(plain)).otherwise(F.array().cast("array<string>")) if "is_license" in files.columns else F.array().cast("array<string>")
-    some = F.filter(F.concat(F.split(text, "\n"), blocks, whole), lambda x: F.lower(x).rlike(told) & _enough(x, idf))
-    return F.when(F.lower(text).rlike(told), F.array_distinct(some))
+    whole = F.when(F.coalesce(files["is_license"], F.lit(False)), F.array(plain)).otherwise(none) if "is_license" in files.columns else none
+    near = lambda x: F.lower(x).rlike(long) & _enough(x, idf)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(short) | near(x))
+    # A block or file shares no more with a template than the text that holds it.
+    large = F.when(near(text), F.filter(F.concat(blocks, whole), near)).otherwise(none)
+    return F.array_distinct(F.concat(lines, large))
 
 
 def own_license(files: DataFrame) -> DataFrame:
     """The files without text, with __row, license string and similarity double of each row's own text (null and 0 if none)."""
     idf, n = term_weights(files)
-    # Only a part with one of a template's telling terms can reach SIMILARITY; which terms tell follows from the weights.
-    telling = sorted({t for _, x in TEMPLATES for t in _telling(x, idf)})
     tag = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)", 1), F.lit(""))
-    rows = stage(files.withColumns({"__row": F.monotonically_increasing_id(), "__parts": parts(files, telling, idf), "__tag": tag}).drop("text"), "rows")
+    rows = stage(files.withColumns({"__row": F.monotonically_increasing_id(), "__parts": parts(files, idf), "__tag": tag}).drop("text"), "rows")
     own = rows.where("size(__parts) > 0").select("__row", F.explode("__parts").alias("line"))
     scores = _scores(own.select("line").distinct(), files, idf, n)
     best = stage(lookup_join(own, scores, "line", "inner").groupBy("__row").agg(F.max("best").alias("__best")), "best")

@@ -89,7 +89,6 @@ TEMPLATES: list[tuple[str, str]] = [
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
-    ("MIT", "The MIT License (MIT)"),
     ("MIT", _MIT),
     ("MIT", f"MIT License {_MIT} {_MIT_REST}"),
     ("BSD-2-Clause", _BSD),
@@ -105,12 +104,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("LGPL-2.1", _gnu("Lesser General Public License", "2.1", "library")),
     ("LGPL-3.0", _gnu("Lesser General Public License", "3", "library")),
     ("AGPL-3.0", _gnu("Affero General Public License", "3")),
-    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("MPL-2.0", _MPL),
-    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", _UNLICENSE),
     ("Zlib", _ZLIB),
 ]
