@@ -96,10 +96,10 @@ def parts(files: DataFrame, idf: dict[str, float]) -> Column:
     blocks = F.filter(F.split(plain, r"\n[ \t\r]*\n"), lambda b: F.btrim(b, F.lit(" \t\r\n")).contains("\n"))
     whole = F.when(F.coalesce(files["is_license"], F.lit(False)), F.array(plain)).otherwise(none) if "is_license" in files.columns else none
     near = lambda x: F.lower(x).rlike(long) & _enough(x, idf)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(short) | near(x))
-    # A block or file shares no more with a template than the text that holds it.
-    large = F.when(near(text), F.filter(F.concat(blocks, whole), near)).otherwise(none)
-    return F.array_distinct(F.concat(lines, large))
+    lines = F.split(text, "\n")
+    # No part shares more with a template than the text that holds it.
+    every = F.concat(F.filter(lines, lambda x: F.lower(x).rlike(short) | near(x)), F.filter(F.concat(blocks, whole), near))
+    return F.array_distinct(F.when(near(text), every).otherwise(F.filter(lines, lambda x: F.lower(x).rlike(short))))
 
 
 def own_license(files: DataFrame) -> DataFrame:
