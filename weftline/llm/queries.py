@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, fingerprint, htmlmain, langid, licenses, linededup, mixing, packing, rolling, setjoin, sharding, toxicity
+from weftline.llm import codes, decontam, fingerprint, htmlmain, langid, licenses, linededup, mixing, packing, rolling, setjoin, sharding, toxicity
 from weftline.llm.common import load
 
 
@@ -48,6 +48,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(load(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(load(spark, sf_dir, "embeddings"))
+
+
 def op12_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_report(load(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_report(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_language, op3_fingerprints, op4_toxicity, op5_lines, op6_licenses, op7_html, op8_sharding, op9_decontamination, op10_jaccard, op12_rolling, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_language, op3_fingerprints, op4_toxicity, op5_lines, op6_licenses, op7_html, op8_sharding, op9_decontamination, op10_jaccard, op11_codes, op12_rolling, op13_packing)}
 
 JACCARD_SQL = r"""
 WITH RECURSIVE t AS (
@@ -75,4 +79,4 @@ SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(m.c, t
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
-ORACLES = {"op1_mixing": mixing.MIX_SQL, "op9_decontamination": decontam.DECONTAM_SQL, "op10_jaccard": JACCARD_SQL, "op12_rolling": rolling.ROLLING_SQL}
+ORACLES = {"op1_mixing": mixing.MIX_SQL, "op9_decontamination": decontam.DECONTAM_SQL, "op10_jaccard": JACCARD_SQL, "op11_codes": codes.CODES_SQL, "op12_rolling": rolling.ROLLING_SQL}
