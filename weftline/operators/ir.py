@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.code import ARGUMENTS, FLAGS, instruction_class
+from weftline.operators.ranges import carried
 from weftline.operators.split import _cut
 
 # Literals with names, and intrinsic name parts with their classes, in order.
@@ -17,10 +18,9 @@ INTRINSICS = [
 ]
 
 
-def carry_forward(lines: DataFrame, by: list[str], order: str, value: Column, out: str) -> DataFrame:
-    """The last non-null value at or before each row."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(out, F.last(value, ignorenulls=True).over(w))
+def carry_forward(lines: DataFrame, by: list[str], order: str | list[str], value: Column, out: str) -> DataFrame:
+    """The last non-null value at or before each row of its group, whatever the size of the group; order tells its rows apart."""
+    return carried(lines, [order] if isinstance(order, str) else order, {out: value}, by=by)
 
 
 def literal_token(h: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranges import carried
 from weftline.operators.split import _cut
 
 
@@ -137,19 +138,19 @@ def similar_pairs(sets: DataFrame, owner: str, element: str, least: float) -> Da
 def nearest(left: DataFrame, right: DataFrame, by: str, lkey: str, rkey: str, rid: str) -> DataFrame:
     """Adds near (right rid) and delta: the closest right key of the same group; ties go to the earlier key, then the smaller id.
 
-    One union, sorted once: the last right key at or before and the first after, carried by windows.
+    Both sides are one order of (group, key), dealt by ranges: the last right key at or before a row and the first behind it are carried
+    within a range and from range to range, so that a group of any size is shared by many tasks.
     """
-    side = lambda df, key, cols: df.select(F.col(by), F.col(key).alias("__k"), *cols)
-    payload = F.struct(*[F.col(c) for c in left.columns])
-    u = side(left, lkey, [payload.alias("__l"), F.lit(None).cast(right.schema[rid].dataType).alias("__r")]).unionByName(side(right, rkey, [F.lit(None).cast(left.select(payload.alias("p")).schema["p"].dataType).alias("__l"), F.col(rid).alias("__r")]))
-    hit = F.when(F.col("__r").isNotNull(), F.struct("__k", "__r"))
-    back = Window.partitionBy(by).orderBy("__k", F.col("__r").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy("__k", F.col("__r").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    before, after = F.last(hit, True).over(back), F.first(hit, True).over(ahead)
-    u = u.withColumns({"__p": before, "__n": after}).where("__l is not null")
-    dp, dn = F.col("__k") - F.col("__p.__k"), F.col("__n.__k") - F.col("__k")
-    first = F.col("__n").isNull() | (dp <= dn)
-    return u.select("__l.*", F.when(first, F.col("__p.__r")).otherwise(F.col("__n.__r")).alias("near"), F.when(first, dp).otherwise(dn).alias("delta"))
+    one = right.where(F.col(rkey).isNotNull()).groupBy(by, rkey).agg(F.min(rid).alias("__id"))
+    l_kind = left.select(F.struct(*left.columns).alias("p")).schema["p"].dataType
+    r = one.select(by, F.col(rkey).alias("__k"), F.lit(0).alias("__side"), F.lit(None).cast("long").alias("__n"), F.lit(None).cast(l_kind).alias("__l"), F.struct(F.col(rkey).alias("k"), F.col("__id").alias("r")).alias("__hit"))
+    hit_kind = r.schema["__hit"].dataType
+    s = _cut(left.withColumn("__n", F.monotonically_increasing_id()))
+    u = s.select(by, F.col(lkey).cast(r.schema["__k"].dataType).alias("__k"), F.lit(1).alias("__side"), "__n", F.struct(*left.columns).alias("__l"), F.lit(None).cast(hit_kind).alias("__hit"))
+    u = carried(r.unionByName(u), ["__k", "__side", "__n"], {"__p": F.col("__hit")}, {"__a": F.col("__hit")}, [by]).where("__side = 1")
+    dp, dn = F.col("__k") - F.col("__p.k"), F.col("__a.k") - F.col("__k")
+    first = F.col("__a").isNull() | (dp <= dn)
+    return u.select("__l.*", F.when(first, F.col("__p.r")).otherwise(F.col("__a.r")).alias("near"), F.when(first, dp).otherwise(dn).alias("delta"))
 
 
 def interval_join(points: DataFrame, ranges: DataFrame, point: str, width: int) -> DataFrame:

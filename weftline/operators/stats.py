@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranges import at_ranks, running
+
 
 def micro_macro(rows: DataFrame, group: str, value: str) -> DataFrame:
     """One row: n, micro mean, groups, macro mean (mean of group means) and the size-weighted mean of group means."""
@@ -12,33 +16,43 @@ def micro_macro(rows: DataFrame, group: str, value: str) -> DataFrame:
     return g.agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("micro"), F.count("*").alias("groups"), F.avg("m").alias("macro"), (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("weighted"))
 
 
-def upper_median(value: Column) -> Column:
-    s = F.sort_array(F.collect_list(value))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, upper_median): sorted[n // 2] of each group's values."""
+    return at_ranks(rows, group, value, {"upper_median": F.floor(F.col("n") / 2) + 1})
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
-    """Per group sorted[min(n - 1, int(q n))] for each share q, picked by row number."""
-    w = Window.partitionBy(group)
-    r = rows.where(F.col(value).isNotNull()).select(group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda q: F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
-    return r.groupBy(group).agg(*[F.max(F.when(F.col("i") == at(q), F.col(value))).alias(f"p{round(q * 100)}") for q in shares])
+    """Per group sorted[min(n - 1, int(q n))] for each share q, from counts of distinct values."""
+    return at_ranks(rows, group, value, {f"p{round(q * 100)}": F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))) + 1 for q in shares})
+
+
+def ranked_curve(rows: DataFrame, score: str, outcome: str, tie: str) -> DataFrame:
+    """Rows with i, their place by falling score (equal ones by tie), and kept, risk and gain: the outcomes up to and with the row, their mean loss and sum."""
+    r = rows.select(score, outcome, tie)
+    known = F.when(F.col(outcome).isNotNull(), 1)
+    c = running(r, [F.desc(score), tie], {"kept": known, "gain": F.col(outcome).cast("double")})
+    return c.withColumn("risk", 1.0 - F.try_divide("gain", "kept"))
+
 
+#: How many of n rows a share c keeps: the nearest whole number (halves to even), the whole part, or whole per cents of n.
+CUTS = {
+    "round": lambda n, c: F.bround(n * F.lit(c)),
+    "int": lambda n, c: F.floor(n * F.lit(c)),
+    "percent": lambda n, c: F.floor(n * F.lit(round(c * 100)) / 100),
+}
 
-def selective(rows: DataFrame, score: str, outcome: str, tie: str, shares: list[float]) -> DataFrame:
-    """Mean outcome of the best-scored part of the rows, at each share; ties by a key."""
-    w = Window.partitionBy(F.lit(1))
-    r = rows.select(outcome, F.row_number().over(w.orderBy(F.desc(score), tie)).alias("i"), F.count("*").over(w).alias("n"))
-    cut = F.floor(F.col("share") * F.col("n"))
-    grid = F.explode(F.array(*map(F.lit, shares))).alias("share")
-    return r.select("*", grid).where(F.col("i") <= F.greatest(cut, F.lit(1))).groupBy("share").agg(F.count("*").alias("kept"), F.avg(outcome).alias("mean"))
+
+def selective(rows: DataFrame, score: str, outcome: str, tie: str, shares: list[float], cut: str = "int") -> DataFrame:
+    """(share, kept, mean): mean outcome of the best-scored rows that each share keeps by a rule of CUTS, one row at least."""
+    at = F.explode(F.array(*[F.struct(F.lit(c).alias("share"), F.greatest(CUTS[cut](F.col("n"), c).cast("long"), F.lit(1)).alias("k")) for c in shares]))
+    cuts = rows.agg(F.count("*").alias("n")).select(at.alias("c")).select("c.*")  # a row for each share
+    j = ranked_curve(rows, score, outcome, tie).join(F.broadcast(cuts), F.col("i") == F.col("k"))
+    return j.select("share", F.col("i").alias("kept"), F.try_divide("gain", "kept").alias("mean"))
 
 
 def aurc(rows: DataFrame, score: str, outcome: str, tie: str) -> DataFrame:
     """Area under the risk-coverage curve: the mean of running risks, best scores first."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(score), tie)
-    run = F.avg(1.0 - F.col(outcome)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(run.alias("risk")).agg(F.avg("risk").alias("aurc"), F.count("*").alias("n"))
+    return ranked_curve(rows, score, outcome, tie).agg(F.avg("risk").alias("aurc"), F.count("*").alias("n"))
 
 
 def ece(rows: DataFrame, conf: str, outcome: str, bins: int = 10) -> DataFrame:
@@ -54,12 +68,33 @@ def auc(rows: DataFrame, score: str, outcome: str) -> DataFrame:
     return s.agg(F.sum("u").alias("twice_u"), F.sum("p").alias("pos"), F.sum("q").alias("neg"), F.try_divide(F.sum("u"), 2.0 * F.sum("p") * F.sum("q")).alias("auc"))
 
 
+def erfc(x: Column) -> Column:
+    """The complementary error function to some 14 digits: below 2 by the series of erf, above by its continued fraction."""
+    z = F.abs(x.cast("double"))
+    term = F.lit(0.0)
+    for k in range(50, 0, -1):  # 2z/sqrt(pi) exp(-z²) (1 + 2z²/3 (1 + 2z²/5 (1 + ...)))
+        term = (1.0 + term) * (2.0 * z * z / (2 * k + 1))
+    near = 1.0 - 2.0 / math.sqrt(math.pi) * z * F.exp(-z * z) * (1.0 + term)
+    rest = F.lit(0.0)
+    for k in range(60, 0, -1):
+        rest = (k / 2.0) / (z + rest)
+    far = F.exp(-z * z) / math.sqrt(math.pi) / (z + rest)
+    tail = F.when(z < 2.0, near).otherwise(far)
+    return F.when(x < 0, 2.0 - tail).otherwise(tail)
+
+
+def chi2_tail(chi2: Column) -> Column:
+    """Probability that chi-squared with one degree of freedom is at least this."""
+    return erfc(F.sqrt(chi2 / 2.0))
+
+
 def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Discordant counts and chi-squared with continuity correction."""
+    """Discordant counts, chi-squared with continuity correction and its p-value (1 without discordant rows)."""
     only = lambda x, y: F.count_if((F.col(x) == 1) & (F.col(y) == 0))
     r = rows.agg(only(a, b).alias("only_a"), only(b, a).alias("only_b"), F.count_if((F.col(a) == 1) & (F.col(b) == 1)).alias("both"), F.count_if((F.col(a) == 0) & (F.col(b) == 0)).alias("neither"))
     n = F.col("only_a") + F.col("only_b")
-    return r.withColumn("chi2", F.when(n > 0, F.pow(F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0)).cast("double"), F.lit(2.0)) / n).otherwise(0.0))
+    r = r.withColumn("chi2", F.when(n > 0, F.pow((F.abs(F.col("only_a") - F.col("only_b")) - 1).cast("double"), F.lit(2.0)) / n).otherwise(0.0))
+    return r.withColumn("p_value", F.when(n > 0, chi2_tail(F.col("chi2"))).otherwise(1.0))
 
 
 def bootstrap_means(groups: DataFrame, key: str, value: str, reps: int, seed: int = 42) -> DataFrame:
@@ -75,6 +110,40 @@ def bootstrap_means(groups: DataFrame, key: str, value: str, reps: int, seed: in
     return draw.withColumn("g", pick).join(numbered, "g").groupBy("rep").agg(F.avg("v").alias("mean"))
 
 
+#: Of 65,536 equally likely draws, those that give a Poisson weight (of mean 1) of at least 1, 2, ...
+POISSON = [round(65536 * (1 - sum(math.exp(-1) / math.factorial(j) for j in range(k)))) for k in range(1, 9)]
+
+
+def bootstrap_rows(rows: DataFrame, key: str, value: str, reps: int, seed: int = 42) -> DataFrame:
+    """(rep, mean): means of reps resamples of rows, in one pass.
+
+    A row weighs in each repetition a Poisson number of mean 1, drawn by eight repetitions from one hash of (seed, key, block): the
+    limit of drawing rows with replacement. Weighted sums are added up within tasks, so reps rows leave each.
+    """
+    block = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 8))).alias("b")
+    r = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), block)
+    h = F.md5(F.concat_ws(":", F.lit(seed), "k", "b").cast("binary"))
+    r = r.select("v", "b", h.alias("h")).select("v", "b", "h", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
+    u = F.conv(F.substring(F.col("h"), F.col("j") * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    w = sum((F.when(u < t, 1).otherwise(0) for t in POISSON), F.lit(0))
+    r = r.select((F.col("b") * 8 + F.col("j")).alias("rep"), "v", w.alias("w")).where(F.col("rep") < reps)
+    return r.groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
+
+
+def paired_bootstrap(rows: DataFrame, group: str, a: str, b: str, reps: int = 10_000, seed: int = 0) -> DataFrame:
+    """One row: the mean over groups of (mean a - mean b), its interval, and groups of a positive difference.
+
+    The interval's ends are the sorted resampled means at places reps / 40 and reps - reps / 40 - 1, counted from 0 (250 and 9749 of
+    10,000). Only group differences and the reps means are numbered or sorted.
+    """
+    d = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(group).agg((F.avg(a) - F.avg(b)).alias("d"))
+    means = F.sort_array(F.collect_list("mean"))
+    low = reps // 40
+    ends = bootstrap_means(d, group, "d", reps, seed).agg(means.alias("m")).select(F.get("m", F.lit(low)).alias("low"), F.get("m", F.lit(reps - low - 1)).alias("high"))
+    top = d.agg(F.avg("d").alias("delta"), F.count_if(F.col("d") > 0).alias("higher"), F.count("*").alias("groups"))
+    return top.join(F.broadcast(ends))
+
+
 def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
     return means.agg(F.count("*").alias("reps"), F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(high)).alias("high"))
 

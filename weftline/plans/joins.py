@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.operators import ir as I
 from weftline.operators import joins as J
 from weftline.plans.base import registry
 
@@ -119,9 +120,12 @@ def set_ops(t):
 
 @query("WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, CASE WHEN l_returnflag = 'R' THEN l_linenumber END AS mark, l_partkey, l_suppkey, l_extendedprice FROM lineitem), w AS (SELECT l_orderkey, pos, last_value(mark IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section, lead(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY pos) AS nxt, lag(l_returnflag, 2) OVER (PARTITION BY l_orderkey ORDER BY pos) AS prev2 FROM l) SELECT coalesce(section, 0) AS section, coalesce(nxt, '-') AS nxt, coalesce(prev2, '-') AS prev2, count(*) AS n FROM w GROUP BY 1, 2, 3")
 def carry_forward(t):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = t.lineitem.select("l_orderkey", "l_returnflag", *order)
+    w = Window.partitionBy("l_orderkey").orderBy(*order)
+    lines = lines.withColumns({"nxt": F.lead("l_returnflag").over(w), "prev2": F.lag("l_returnflag", 2).over(w)})
     mark = F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))
-    r = t.lineitem.select(F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("section"), F.lead("l_returnflag").over(w).alias("nxt"), F.lag("l_returnflag", 2).over(w).alias("prev2"))
+    r = I.carry_forward(lines, ["l_orderkey"], order, mark, "section")
     return r.groupBy(F.coalesce("section", F.lit(0)).alias("section"), F.coalesce("nxt", F.lit("-")).alias("nxt"), F.coalesce("prev2", F.lit("-")).alias("prev2")).agg(F.count("*").alias("n"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import stats as S
@@ -43,7 +46,10 @@ def nearest_rank_pct(t):
 
 @query("SELECT lang, list_sort(list(n_chars))[(count(*) // 2 + 1)::INT] AS upper_median, quantile_cont(n_chars::DOUBLE, 0.5) AS median, round(stddev_pop(n_chars::DOUBLE), 6) AS std FROM documents GROUP BY lang")
 def medians(t):
-    return t.documents.groupBy("lang").agg(S.upper_median(F.col("n_chars")).alias("upper_median"), F.percentile("n_chars", F.lit(0.5)).alias("median"), F.round(F.stddev_pop(F.col("n_chars").cast("double")), 6).alias("std"))
+    d = t.documents.select("lang", "n_chars")
+    rest = d.groupBy("lang").agg(F.percentile("n_chars", F.lit(0.5)).alias("median"), F.round(F.stddev_pop(F.col("n_chars").cast("double")), 6).alias("std"))
+    u = S.upper_median(d, "lang", "n_chars").withColumnRenamed("lang", "l")
+    return rest.join(u, F.col("lang").eqNullSafe(F.col("l"))).drop("l")
 
 
 @query("SELECT CASE WHEN n_chars < 100 THEN '0-99' WHEN n_chars < 1000 THEN '100-999' WHEN n_chars < 5000 THEN '1000-4999' ELSE '5000+' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
@@ -52,10 +58,17 @@ def hist(t):
     return t.documents.groupBy(F.when(c < 100, "0-99").when(c < 1000, "100-999").when(c < 5000, "1000-4999").otherwise("5000+").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH r AS (SELECT quality, row_number() OVER (ORDER BY {_SCORE} DESC, doc_id) AS i, count(*) OVER () AS n FROM labels), g AS (SELECT unnest([0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS share) SELECT share, count(*) AS kept, round(avg(quality), 9) AS mean FROM r JOIN g ON i <= greatest(floor(share * n), 1) GROUP BY share")
+@query(f"WITH r AS (SELECT quality, row_number() OVER (ORDER BY {_SCORE} DESC, doc_id) AS i, count(*) OVER () AS n FROM labels), g AS (SELECT unnest([0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS share, unnest([5, 10, 20, 50, 100]) AS q), m AS (SELECT count(*) AS n FROM labels), k AS (SELECT 'round' AS rule, share, greatest(round_even(share * n, 0), 1) AS k FROM g, m UNION ALL SELECT 'int', share, greatest(floor(share * n), 1) FROM g, m UNION ALL SELECT 'percent', share, greatest(n * q // 100, 1) FROM g, m) SELECT rule, share, count(*) AS kept, round(avg(quality), 9) AS mean FROM r JOIN k ON i <= k GROUP BY rule, share")
 def selective(t):
-    r = S.selective(_scored(t), "score", "quality", "doc_id", [0.05, 0.1, 0.2, 0.5, 1.0])
-    return r.select("share", "kept", F.round("mean", 9).alias("mean"))
+    """Mean quality of the best-scored rows at each share, by the three rules that say how many rows a share keeps."""
+    s, shares = _scored(t), [0.05, 0.1, 0.2, 0.5, 1.0]
+    out = [S.selective(s, "score", "quality", "doc_id", shares, rule).withColumn("rule", F.lit(rule)) for rule in S.CUTS]
+    return reduce(DataFrame.unionByName, out).select("rule", "share", "kept", F.round("mean", 9).alias("mean"))
+
+
+@query(f"WITH s AS (SELECT doc_id, quality, {_SCORE} AS score FROM labels) SELECT doc_id, row_number() OVER w AS i, round(avg(1.0 - quality) OVER (w ROWS UNBOUNDED PRECEDING), 9) AS risk FROM s WINDOW w AS (ORDER BY score DESC, doc_id)")
+def risk_curve(t):
+    return S.ranked_curve(_scored(t), "score", "quality", "doc_id").select("doc_id", "i", F.round("risk", 9).alias("risk"))
 
 
 @query(f"WITH s AS (SELECT doc_id, quality, {_SCORE} AS score FROM labels), r AS (SELECT avg(1.0 - quality) OVER (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS risk FROM s) SELECT round(avg(risk), 9) AS aurc, count(*) AS n FROM r")
@@ -73,9 +86,18 @@ def auc(t):
     return S.auc(_scored(t), "score", "quality").select("twice_u", "pos", "neg")
 
 
-@query("WITH r AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (quality = 0 AND toxic = 1) AS only_b, count(*) FILTER (quality = 1 AND toxic = 1) AS both, count(*) FILTER (quality = 0 AND toxic = 0) AS neither FROM labels) SELECT *, round(CASE WHEN only_a + only_b > 0 THEN pow(greatest(abs(only_a - only_b) - 1, 0)::DOUBLE, 2) / (only_a + only_b) ELSE 0.0 END, 9) AS chi2 FROM r")
+_P_VALUE = "CASE WHEN z < 2 THEN 1 - 2 / sqrt(pi()) * z * exp(-z * z) * (1 + list_reduce(list_prepend(0::DOUBLE, range(50, 0, -1)::DOUBLE[]), lambda a, k: (1 + a) * (2 * z * z / (2 * k + 1)))) ELSE exp(-z * z) / sqrt(pi()) / (z + list_reduce(list_prepend(0::DOUBLE, range(60, 0, -1)::DOUBLE[]), lambda a, k: (k / 2) / (z + a))) END"
+
+
+@query(f"WITH r AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (quality = 0 AND toxic = 1) AS only_b, count(*) FILTER (quality = 1 AND toxic = 1) AS both, count(*) FILTER (quality = 0 AND toxic = 0) AS neither FROM labels), c AS (SELECT *, CASE WHEN only_a + only_b > 0 THEN pow((abs(only_a - only_b) - 1)::DOUBLE, 2) / (only_a + only_b) ELSE 0.0 END AS x FROM r), z AS (SELECT *, sqrt(x / 2) AS z FROM c) SELECT only_a, only_b, \"both\", neither, round(x, 9) AS chi2, round(CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE {_P_VALUE} END, 9) AS p_value FROM z")
 def mcnemar(t):
-    return S.mcnemar(t.labels, "quality", "toxic").withColumn("chi2", F.round("chi2", 9))
+    return S.mcnemar(t.labels, "quality", "toxic").withColumns({"chi2": F.round("chi2", 9), "p_value": F.round("p_value", 9)})
+
+
+@query(f"WITH g AS (SELECT unnest(range(0, 4001))::DOUBLE / 100 AS chi2), z AS (SELECT *, sqrt(chi2 / 2) AS z FROM g), q AS (SELECT min(chi2) AS chi2, {_P_VALUE} AS p FROM z GROUP BY z), o AS (SELECT o_orderkey, (o_custkey % 4001)::DOUBLE / 100 AS chi2 FROM orders) SELECT o_orderkey, round(p, 9) AS p_value FROM o JOIN q USING (chi2)")
+def chi2_tails(t):
+    """The tail probability of a chi-squared value from 0 to 40 for every order."""
+    return t.orders.select("o_orderkey", F.round(S.chi2_tail((F.col("o_custkey") % 4001) / 100.0), 9).alias("p_value"))
 
 
 @query(f"WITH s AS (SELECT doc_id, quality, toxic, {_SCORE} AS score FROM labels) SELECT count(*) AS n, count(*) FILTER (greatest(quality, toxic) = 1) AS oracle, count(*) FILTER (quality = toxic) AS ties, count(*) FILTER (CASE WHEN score >= 0.5 THEN quality ELSE toxic END = greatest(quality, toxic)) AS routed_right, count(*) FILTER (quality <> toxic) AS contested, count(*) FILTER (quality <> toxic AND CASE WHEN score >= 0.5 THEN quality ELSE toxic END = 1) AS contested_right FROM s")
@@ -94,13 +116,30 @@ def tau_sweep(t):
     return test.groupBy("tau").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("score") >= F.col("tau"), F.col("quality")).otherwise(F.col("toxic"))), 9).alias("mean"))
 
 
-@query("WITH g AS (SELECT label, avg(embedding[1]::DOUBLE) AS v, row_number() OVER (ORDER BY label) - 1 AS g, count(*) OVER () AS n FROM embeddings GROUP BY label), d AS (SELECT rep, ('0x' || substr(md5('42:' || rep || ':' || i), 1, 12))::BIGINT % (SELECT max(n) FROM g) AS g FROM range(200) r(rep), (SELECT unnest(range(0, (SELECT max(n) FROM g))) AS i)), m AS (SELECT rep, avg(v) AS mean FROM d JOIN g USING (g) GROUP BY rep) SELECT count(*) AS reps, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM m")
+@query("WITH g AS (SELECT label, avg(embedding[1]::DOUBLE) AS v, row_number() OVER (ORDER BY label) - 1 AS g, count(*) OVER () AS n FROM embeddings GROUP BY label), d AS (SELECT rep, ('0x' || substr(md5('42:' || rep || ':' || i), 1, 12))::BIGINT % (SELECT max(n) FROM g) AS g FROM range(1000) r(rep), (SELECT unnest(range(0, (SELECT max(n) FROM g))) AS i)), m AS (SELECT rep, avg(v) AS mean FROM d JOIN g USING (g) GROUP BY rep) SELECT count(*) AS reps, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM m")
 def bootstrap_ci(t):
     g = t.embeddings.groupBy("label").agg(F.avg(F.col("embedding")[0].cast("double")).alias("v"))
-    r = S.interval(S.bootstrap_means(g, "label", "v", 200))
+    r = S.interval(S.bootstrap_means(g, "label", "v", 1000))
     return r.select("reps", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
+_POISSON = " + ".join(f"(u < {x})::INT" for x in S.POISSON)
+
+
+@query(f"WITH d AS (SELECT quality::DOUBLE AS v, b, md5('42:' || doc_id || ':' || b) AS h FROM labels, range(125) r(b) WHERE quality IS NOT NULL), u AS (SELECT b * 8 + j AS rep, v, ('0x' || substr(h, (j * 4 + 1)::INT, 4))::INT AS u FROM d, range(8) s(j)), m AS (SELECT rep, sum(v * ({_POISSON})) / sum({_POISSON}) AS mean FROM u GROUP BY rep) SELECT count(*) AS reps, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM m")
+def bootstrap_rows_ci(t):
+    """Interval of the mean quality over all labelled rows, 1,000 resamples of rows."""
+    r = S.interval(S.bootstrap_rows(t.labels, "doc_id", "quality", 1000))
+    return r.select("reps", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query("WITH g AS (SELECT source, avg(quality) - avg(toxic) AS d, row_number() OVER (ORDER BY source) - 1 AS g, count(*) OVER () AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY source), p AS (SELECT rep, ('0x' || substr(md5('0:' || rep || ':' || i), 1, 12))::BIGINT % (SELECT max(n) FROM g) AS g FROM range(10000) r(rep), (SELECT unnest(range(0, (SELECT max(n) FROM g))) AS i)), m AS (SELECT list_sort(list(mean)) AS m FROM (SELECT rep, avg(d) AS mean FROM p JOIN g USING (g) GROUP BY rep)) SELECT round(avg(d), 9) AS delta, count(*) FILTER (d > 0) AS higher, count(*) AS groups, round(any_value(m[251]), 9) AS low, round(any_value(m[9750]), 9) AS high FROM g, m")
+def paired_bootstrap_ci(t):
+    """Quality against toxicity by source, 10,000 resamples of sources."""
+    r = S.paired_bootstrap(t.documents.select("doc_id", "source").join(t.labels, "doc_id"), "source", "quality", "toxic")
+    return r.select("higher", "groups", *[F.round(c, 9).alias(c) for c in ("delta", "low", "high")])
+
+
 @query("SELECT event_type, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () > 0.1 AS collapsed, rank() OVER (ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY event_type ORDER BY n DESC LIMIT 3")
 def top_values(t):
     from pyspark.sql import Window
