@@ -27,7 +27,7 @@ def same(spark, con, frame, sql):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split():
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 

@@ -24,11 +24,12 @@ def test_copies_beyond_the_cap_meet(spark, tmp_path):
     assert registry.QUERIES["set_sim_join"](spark, str(tmp_path)).count() == 31 * 30 // 2
 
 
-def test_overlap_and_families_of_all_suppliers_and_parts(spark, tmp_path):
-    """Suppliers from 60 on are met, and parts that are equal modulo 200 stay apart."""
+def test_overlap_and_families_of_all_vendors_and_items(spark, tmp_path):
+    """Large ids are met, items that are equal modulo 200 stay apart, nulls are in no set."""
     parts = {5: range(0, 30), 70: range(0, 31), 900: range(15, 45), 901: range(200, 230), 950: range(205, 235), 951: range(0, 10)}
     rows = [(s, p) for s, ps in parts.items() for p in ps for _ in range(2)]
-    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows += [(None, 3), (5, None)]
+    spark.createDataFrame(rows, "vendor_id long, item_id long").write.parquet(f"{tmp_path}/sale_lines.parquet")
     pairs = {(r["a"], r["b"]): (r["inter"], r["coef"]) for r in registry.QUERIES["overlap_pairs_all"](spark, str(tmp_path)).collect()}
     assert pairs == {(5, 70): (30, 1.0), (5, 900): (15, 0.5), (70, 900): (16, 0.533333333), (901, 950): (25, 0.833333333)}
-    assert sorted(map(tuple, registry.QUERIES["families_all"](spark, str(tmp_path)).collect())) == [(5, 5), (70, 5)]
+    assert sorted(map(tuple, registry.QUERIES["families_all"](spark, str(tmp_path)).collect())) == [(5, 5), (70, 5), (901, 901), (950, 901)]

@@ -77,8 +77,8 @@ def overlap_pairs(sets: DataFrame, owner: str, element: str, least: float, min_s
     """(a, b, inter, coef): pairs of owners by overlap coefficient, by an exact prefix filter.
 
     A pair at the least shares ceil(least * n) of the smaller set, so one of the smaller's first n - ceil(least * n) + 1
-    elements, rare ones first, is in the larger: only those are joined with all elements, and counted candidates are
-    settled on the full sets.
+    elements, rare ones first, is in the larger: only those are joined with all elements, and the shared elements of candidates are
+    counted by joins.
     """
     s = sets.select(owner, element).where(F.col(owner).isNotNull() & F.col(element).isNotNull()).distinct()
     n = s.groupBy(owner).agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
@@ -92,13 +92,20 @@ def overlap_pairs(sets: DataFrame, owner: str, element: str, least: float, min_s
     b = s.select(F.col(owner).alias("y"), F.col("n").alias("n_y"), element)
     smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y")))
     cand = a.join(b, element).where(smaller).select("x", "y", "n_x").distinct()
-    full = s.groupBy(owner).agg(F.collect_list(element).alias("es"))
-    j = cand.join(full.select(F.col(owner).alias("x"), F.col("es").alias("es_x")), "x").join(full.select(F.col(owner).alias("y"), F.col("es").alias("es_y")), "y")
-    inter = F.size(F.array_intersect("es_x", "es_y")).cast("long")
-    j = j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), inter.alias("inter"), (inter / F.col("n_x")).alias("coef"))
+    j = shared(cand, s.select(owner, element), owner, element).join(cand, ["x", "y"])
+    j = j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "inter", (F.col("inter") / F.col("n_x")).alias("coef"))
     return j.where(F.col("coef") >= least)
 
 
+def shared(pairs: DataFrame, sets: DataFrame, owner: str, element: str) -> DataFrame:
+    """(x, y, inter): how many elements the owners of each pair share (no row: none).
+
+    An element of x meets y by equality on (y, element) and is added up within tasks, so no set is ever a single row.
+    """
+    x = pairs.select("x", "y").join(sets.select(F.col(owner).alias("x"), element), "x")
+    return x.join(sets.select(F.col(owner).alias("y"), element), ["y", element]).groupBy("x", "y").agg(F.count("*").alias("inter"))
+
+
 def similar_pairs(sets: DataFrame, owner: str, element: str, least: float) -> DataFrame:
     """(a, b, inter, jaccard) of all pairs of owners with Jaccard least (above 0) of their full sets, by an exact prefix filter.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.metrics import edit_similarity
 from weftline.functions.names import split_name
+from weftline.operators.split import _cut
 
 
 def first_writer(rows: DataFrame, by: list[str], key: str, offsets: list[int], order: list[str]) -> DataFrame:
@@ -168,32 +169,85 @@ def vocabulary_oracle(rows: DataFrame, train: DataFrame, key: str, name: str) ->
     return mine.join(best, "a", "left").select(key, F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
-def best_in_other_group(names: DataFrame, train: DataFrame, name: str, group: str, max_df: int) -> DataFrame:
-    """(name, group, best): highest Jaccard of full sub-token sets to a training name that another group holds.
+#: Sets of at most so many shared sub-tokens are met by their subsets (1,023 at most), larger ones by pairs.
+SUBSET_TOKENS = 10
 
-    A training name equal to the row's own counts 1 if another group has it. Sub-tokens of more than max_df training
-    names raise no candidates, but count in the sets.
+
+def best_in_other_group(names: DataFrame, train: DataFrame, name: str, group: str) -> DataFrame:
+    """(name, group, best): highest Jaccard of full sub-token sets to a training name that another group holds; exact.
+
+    A training name equal to the row's own counts 1 if another group has it. Names of equal sets are one class.
+
+    The best match of a set S over all sets T is the best of |U| / (|S| + |T| - |U|) over the subsets U of S and the smallest T
+    that contains U: a T that shares more than U is met again by the larger U. So classes send each of their subsets once with their
+    size, and no pair of names is ever made, however common a sub-token is. Equal sets score 1 by themselves; sub-tokens of one set only
+    are in no subset. Sets with many shared sub-tokens have too many subsets; they are compared pair by pair (see _best_pairs).
     """
     key = names.select(F.col(name).alias("x"), F.col(group).alias("g")).distinct()
     held = train.select(F.col(name).alias("y"), F.col(group).alias("h")).distinct()
+    bag = lambda c: F.array_sort(F.array_distinct(split_name(F.col(c))))
     spread = held.groupBy("y").agg(F.count("*").alias("n_h"), F.min("h").alias("only"))
-    toks = lambda df, c: df.select(c).distinct().select(c, F.array_distinct(split_name(F.col(c))).alias(f"t_{c}"))
-    ty = toks(held, "y")
-    rare = ty.select(F.explode("t_y").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") <= max_df).select("t")
-    tx = toks(key, "x")
-    met = tx.select("x", F.explode("t_x").alias("t")).join(rare, "t").join(ty.select("y", F.explode("t_y").alias("t")), "t").where("x <> y").select("x", "y").distinct()
-    j = met.join(tx, "x").join(ty, "y").join(spread, "y")
-    j = j.select("x", "n_h", "only", (F.size(F.array_intersect("t_x", "t_y")) / F.size(F.array_union("t_x", "t_y"))).alias("j"))
-    # The best of names in several groups, and the two best sole holders, answer for every group of x.
-    several = j.where("n_h > 1").groupBy("x").agg(F.max("j").alias("j1"))
-    sole = j.where("n_h = 1").groupBy("x", "only").agg(F.max("j").alias("j")).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("j"), "only"))).where("r <= 2")
-    two = sole.groupBy("x").agg(F.max(F.when(F.col("r") == 1, F.col("only"))).alias("g1"), F.max(F.when(F.col("r") == 1, F.col("j"))).alias("s1"), F.max(F.when(F.col("r") == 2, F.col("j"))).alias("s2"))
     same = spread.select(F.col("y").alias("x"), "n_h", "only")
-    k = key.join(several, "x", "left").join(two, "x", "left").join(same, "x", "left")
-    exact = (F.col("n_h") > 1) | (F.col("only") != F.col("g"))
-    lone = F.when(F.col("g1") != F.col("g"), F.col("s1")).otherwise(F.col("s2"))
-    best = F.when(F.coalesce(exact, F.lit(False)), 1.0).otherwise(F.greatest(F.coalesce("j1", F.lit(0.0)), F.coalesce(lone, F.lit(0.0))))
-    return k.select(F.col("x").alias(name), F.col("g").alias(group), best.alias("best"))
+    k = _cut(key.join(same, "x", "left").withColumns({"s": bag("x"), "exact": F.coalesce((F.col("n_h") > 1) | ~F.col("only").eqNullSafe(F.col("g")), F.lit(False)) & F.col("n_h").isNotNull()}).select("x", "g", "s", "exact"))
+    # A class is held by several groups, or by one.
+    owners = _cut(held.select(bag("y").alias("s"), F.struct(F.col("h")).alias("h")).distinct().where(F.size("s") > 0))
+    classes = owners.groupBy("s").agg(F.count("*").alias("n_h"), F.min("h").alias("only"))
+    asked = k.where(~F.col("exact") & (F.size("s") > 0)).select("s", F.struct("g").alias("g")).distinct()
+    df = classes.select("s").union(asked.select("s")).distinct().select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    classes, asked = _cut(_shared(classes, df)), _cut(_shared(asked, df))
+    equal = asked.join(classes.select("s", "n_h", "only"), "s").where((F.col("n_h") > 1) | (F.col("only") != F.col("g"))).select("s", "g", F.lit(1.0).alias("j"))
+    short = F.size("c") <= SUBSET_TOKENS
+    found = equal.unionByName(_best_subsets(asked.where(short), classes.where(short))).unionByName(_best_pairs(asked, classes))
+    best = found.groupBy("s", "g").agg(F.max("j").alias("j"))
+    out = k.withColumn("h", F.struct("g")).join(best.withColumnRenamed("g", "h"), ["s", "h"], "left")
+    return out.select(F.col("x").alias(name), F.col("g").alias(group), F.when(F.col("exact"), 1.0).otherwise(F.coalesce("j", F.lit(0.0))).alias("best"))
+
+
+def _shared(sets: DataFrame, df: DataFrame) -> DataFrame:
+    """Adds c: the sub-tokens of s that other sets hold too, rare ones first, as (df, t)."""
+    kept = sets.select("s").distinct().select("s", F.explode("s").alias("t")).join(df.where(F.col("df") > 1), "t")
+    c = kept.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("c"))
+    return sets.join(c, "s", "left").withColumn("c", F.coalesce("c", F.array().cast(c.schema["c"].dataType)))
+
+
+def _subsets(c: Column) -> Column:
+    """Each non-empty subset of an array of (df, t), by the bits of a number."""
+    t = F.array_sort(F.transform(c, lambda x: x["t"]))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
+    return F.explode(F.transform(F.sequence(F.lit(1), bit(F.size(c)) - 1), lambda m: F.filter(t, lambda _, i: m.bitwiseAND(bit(i)) != 0)))
+
+
+def _best_subsets(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """(s, g, j): the best score over the subsets of s, of sets that a group other than g holds."""
+    size = F.size("s").alias("n")
+    u = classes.where(F.size("c") > 0).select(_subsets(F.col("c")).alias("u"), size, "n_h", "only")
+    by = u.groupBy("u", F.when(F.col("n_h") == 1, F.col("only")).alias("only"), (F.col("n_h") > 1).alias("many")).agg(F.min("n").alias("n"))
+    by = _cut(by)
+    first = by.groupBy("u").agg(F.min(F.when(F.col("many"), F.col("n"))).alias("several"), F.min(F.when(~F.col("many"), F.struct("n", "only"))).alias("sole"))
+    # The second best sole holder answers those who are the first one themselves.
+    other = by.join(first.where("sole is not null").select("u", F.col("sole.only").alias("o")), "u").where(~F.col("many") & (F.col("only") != F.col("o"))).groupBy("u").agg(F.min("n").alias("second"))
+    index = first.join(other, "u", "left")
+    q = asked.where(F.size("c") > 0).select("s", "g", _subsets(F.col("c")).alias("u")).join(index, "u")
+    lone = F.when(F.col("sole.only") != F.col("g"), F.col("sole.n")).otherwise(F.col("second"))
+    n = F.least("several", lone)
+    return q.select("s", "g", (F.size("u") / (F.size("s") + n - F.size("u"))).alias("j")).where("j is not null")
+
+
+def _best_pairs(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """The same for pairs of which one side is larger, in two rounds of an exact prefix filter: scores of a half, then the rest."""
+    big = F.size("c") > SUBSET_TOKENS
+    long, rest, out = asked.where(big), asked.where(~big), []
+    for least in (0.5, 0.0):
+        first = lambda d: F.slice("c", F.lit(1), F.greatest(F.least(F.size("c"), F.size("s") - F.ceil(least * F.size("s") - 1e-9) + 1), F.lit(0)).cast("int"))  # noqa: E731, ARG005, B023
+        ask = lambda d: d.select("s", "g", F.explode(F.transform(first(d), lambda x: x["t"])).alias("t"))  # noqa: E731, B023
+        have = lambda d: d.select(F.col("s").alias("v"), "n_h", "only", F.explode(F.transform(first(d), lambda x: x["t"])).alias("t"))  # noqa: E731, B023
+        met = ask(long).join(have(classes), "t").unionByName(ask(rest).join(have(classes.where(big)), "t"))
+        met = met.where((F.col("n_h") > 1) | (F.col("only") != F.col("g"))).select("s", "g", "v").distinct()
+        inter = F.size(F.array_intersect("s", "v"))
+        got = _cut(met.select("s", "g", (inter / (F.size("s") + F.size("v") - inter)).alias("j")).where(F.col("j") >= least).groupBy("s", "g").agg(F.max("j").alias("j")))
+        out.append(got)
+        long, rest = long.join(got, ["s", "g"], "left_anti"), rest.join(got, ["s", "g"], "left_anti")
+    return out[0].unionByName(out[1])
 
 
 def f1_pairs(names: DataFrame, name: str) -> DataFrame:

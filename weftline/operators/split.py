@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,22 +93,37 @@ def violations(assignments: DataFrame, ids: DataFrame, key: str, tier: str) -> D
     return j.select(key, why.alias("problem")).where("problem is not null")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) of edges(a, b): minimum labels spread until nothing changes; lineage is cut by checkpoint()."""
-    e = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    label = e.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    e, label = _cut(e), _cut(label)
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) of edges(a, b): the smallest node that each node reaches. Nulls are dropped; a loop is a node by itself.
+
+    Edges are drawn to smaller nodes in two steps a round: every node hands its larger neighbours its smallest one, then its smaller neighbours
+    and itself. Stars are left, after some log of the longest path; a round is known to change nothing by a count and
+    a sum of hashes of its edges.
+    """
+    e = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    every = _cut(e)
+    e = _cut(every.where("u <> v"))
+    mark = _mark(e)
     for _ in range(rounds):
-        low = e.join(label, e["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("low"))
-        step = label.join(low, label["node"] == low["a"], "left").select("node", F.least("component", F.coalesce("low", "component")).alias("c"))
-        up = step.select(F.col("node").alias("root"), F.col("c").alias("up"))
-        new = _cut(step.join(up, step["c"] == up["root"]).select("node", F.col("up").alias("component")))
-        if new.exceptAll(label).isEmpty():
-            return new
-        label = new
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
+        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = e.groupBy("u").agg(F.min("v").alias("low"))
+        down = e.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        e = _cut(down.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
+        now = _mark(e)
+        if now == mark:
+            nodes = every.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            lead = e.select(F.col("u").alias("node"), F.col("v").alias("lead"))
+            return nodes.join(lead, "node", "left").select("node", F.coalesce("lead", "node").alias("component"))
+        mark = now
     raise RuntimeError("components did not settle")
 
 
+def _mark(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts lineage in the folder that spark.checkpoint.dir names; a temporary one only where that is unset and the master is local."""
     spark = df.sparkSession
@@ -127,25 +139,45 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def contained_builds(rows: DataFrame, least: float, min_total: int) -> DataFrame:
+    """(program, build, in_build): builds of which a share of least of the multiset lies in an earlier build of their program.
+
+    rows(program, build, tok, cnt), one row a token. Tokens go in order of the builds that hold them. An earlier build without any of a
+    build's first tokens, before which more than 1 - least of it lies, cannot hold enough of it, so only those are joined.
+    """
+    group = ["program", "build"]
+    df = rows.groupBy("program", "tok").agg(F.count("*").alias("df"))
+    upto = Window.partitionBy(*group).orderBy("df", "tok").rowsBetween(Window.unboundedPreceding, -1)
+    r = rows.join(df, ["program", "tok"]).withColumns({"n": F.sum("cnt").over(Window.partitionBy(*group)), "before": F.coalesce(F.sum("cnt").over(upto), F.lit(0))})
+    first = r.where((F.col("n") >= min_total) & (F.col("df") > 1) & ((F.col("n") - F.col("before")) / F.greatest("n", F.lit(1)) >= least))
+    held = rows.select("program", F.col("build").alias("in_build"), "tok", F.col("cnt").alias("k"))
+    cand = first.select(*group, "tok", "n").join(held, ["program", "tok"]).where("in_build < build").select(*group, "in_build", "n").distinct()
+    inter = cand.join(rows, group).join(held, ["program", "in_build", "tok"]).groupBy(*group, "in_build", "n").agg(F.sum(F.least("cnt", "k")).alias("inter"))
+    return inter.where(F.col("inter") / F.greatest("n", F.lit(1)) >= least).select(*group, "in_build")
+
+
 def duplicate_builds(rows: DataFrame, least: float = 0.95, min_total: int = 1) -> DataFrame:
     """(program, build, kept): a build is dropped if least of its multiset of hashes lies in one kept before it.
 
-    rows(program, build, tok, cnt). Each decision needs those before it, so a program is one pandas group.
+    rows(program, build, tok, cnt). A build of which all containing builds are decided is decided: each round decides the first
+    undecided build of every program at least, mostly all but long chains, by joins.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[Counter] = []
-        out = []
-        for build, g in pdf.sort_values("build").groupby("build", sort=True):
-            own = Counter(dict(zip(g["tok"], g["cnt"], strict=True)))
-            total = max(1, sum(own.values()))
-            dup = total >= min_total and any(sum((own & k).values()) / total >= least for k in kept)
-            if not dup:
-                kept.append(own)
-            out.append((pdf["program"].iloc[0], build, not dup))
-        return pd.DataFrame(out, columns=["program", "build", "kept"])
-
-    return rows.groupBy("program").applyInPandas(run, "program long, build long, kept boolean")
+    group = ["program", "build"]
+    rows = _cut(rows.groupBy(*group, "tok").agg(F.sum("cnt").alias("cnt")))
+    builds = rows.select(*group).distinct()
+    open_ = _cut(contained_builds(rows, least, min_total))
+    dropped = None
+    while not open_.isEmpty():
+        undecided = open_.select(*group).distinct()
+        kept = builds.join(undecided, group, "left_anti")
+        kept = kept if dropped is None else kept.join(dropped, group, "left_anti")
+        now = open_.join(kept.select("program", F.col("build").alias("in_build")), ["program", "in_build"], "left_semi").select(*group).distinct()
+        dropped = _cut(now if dropped is None else dropped.unionByName(now))
+        gone = dropped.select("program", F.col("build").alias("in_build"))
+        open_ = _cut(open_.join(dropped, group, "left_anti").join(gone, ["program", "in_build"], "left_anti"))
+    if dropped is None:
+        return builds.withColumn("kept", F.lit(True))
+    return builds.join(dropped.withColumn("d", F.lit(True)), group, "left").select(*group, F.col("d").isNull().alias("kept"))
 
 
 def capped_sample(rows: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:

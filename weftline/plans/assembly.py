@@ -170,13 +170,27 @@ def vocabulary_oracle(t):
     return P.vocabulary_oracle(p.where("p_partkey % 2 = 1"), p.where("p_partkey % 2 = 0"), "p_partkey", "nm").select("p_partkey", F.round("best", 9).alias("best"))
 
 
-@query("WITH p AS (SELECT p_brand AS g, p_type || '_' || replace(p_name, ' ', '_') AS nm, p_partkey FROM part), t AS (SELECT g, nm, list_distinct(string_split(lower(nm), '_')) AS ws, count(*) AS c FROM p GROUP BY ALL), d AS (SELECT t AS w FROM (SELECT DISTINCT nm, unnest(ws) AS t FROM t) GROUP BY t HAVING count(*) <= 30), b AS (SELECT x.g, x.nm, x.c, max(CASE WHEN x.nm = y.nm THEN 1.0 WHEN EXISTS (SELECT 1 FROM d WHERE list_contains(x.ws, d.w) AND list_contains(y.ws, d.w)) THEN len(list_intersect(x.ws, y.ws))::DOUBLE / len(list_distinct(list_concat(x.ws, y.ws))) ELSE 0.0 END) AS j FROM t x JOIN t y ON y.g <> x.g GROUP BY ALL) SELECT CASE WHEN j >= 1 THEN 'exact' WHEN j >= 0.5 THEN 'j>=0.5' WHEN j > 0 THEN 'j>0' ELSE 'none' END AS bucket, sum(c)::BIGINT AS n FROM b GROUP BY 1")
+_CENSUS = "t AS (SELECT g, nm, list_distinct(list_filter(string_split(lower(nm), '_'), lambda w: w <> '')) AS ws, count(*) AS c FROM p GROUP BY ALL), b AS (SELECT x.g, x.nm, x.c, max(CASE WHEN x.nm = y.nm THEN 1.0 WHEN len(list_intersect(x.ws, y.ws)) = 0 THEN 0.0 ELSE len(list_intersect(x.ws, y.ws))::DOUBLE / len(list_distinct(list_concat(x.ws, y.ws))) END) AS j FROM t x LEFT JOIN t y ON y.g <> x.g GROUP BY ALL)"
+
+
+def _census(p):
+    j = p.join(P.best_in_other_group(p, p, "nm", "g"), ["nm", "g"])
+    b = F.when(F.col("best") >= 1, "exact").when(F.col("best") >= 0.5, "j>=0.5").when(F.col("best") > 0, "j>0").otherwise("none")
+    return j.withColumn("bucket", b)
+
+
+@query(f"WITH p AS (SELECT p_brand AS g, p_type || '_' || replace(p_name, ' ', '_') AS nm, p_partkey FROM part), {_CENSUS} SELECT CASE WHEN j >= 1 THEN 'exact' WHEN j >= 0.5 THEN 'j>=0.5' WHEN j > 0 THEN 'j>0' ELSE 'none' END AS bucket, sum(c)::BIGINT AS n FROM b GROUP BY 1")
 def similarity_census(t):
     p = t.part.select(F.col("p_brand").alias("g"), F.concat_ws("_", "p_type", F.replace("p_name", F.lit(" "), F.lit("_"))).alias("nm"))
-    best = P.best_in_other_group(p, p, "nm", "g", 30)
-    j = p.join(best, ["nm", "g"])
-    b = F.when(F.col("best") >= 1, "exact").when(F.col("best") >= 0.5, "j>=0.5").when(F.col("best") > 0, "j>0").otherwise("none")
-    return j.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
+    return _census(p).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH p AS (SELECT split_part(url, '/', 3) AS g, array_to_string(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[a-z]+'), '_') AS nm, page_id FROM pages), {_CENSUS} SELECT page_id, CASE WHEN j >= 1 THEN 'exact' WHEN j >= 0.5 THEN 'j>=0.5' WHEN j > 0 THEN 'j>0' ELSE 'none' END AS bucket, round(coalesce(j, 0), 9) AS best FROM b JOIN p USING (g, nm)")
+def title_census(t):
+    """The title of every page against the titles of all other hosts; all four buckets occur."""
+    title = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    p = t.pages.select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("g"), F.array_join(F.regexp_extract_all(title, F.lit("[a-z]+"), F.lit(0)), "_").alias("nm"))
+    return _census(p).select("page_id", "bucket", F.round("best", 9).alias("best"))
 
 
 @query("WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS a, list_distinct(string_split(lower(p_name), ' ')) AS ws FROM part) SELECT x.a, y.a AS b, round(2.0 * len(list_intersect(x.ws, y.ws)) / (len(x.ws) + len(y.ws)), 9) AS f1 FROM n x JOIN n y ON x.a < y.a WHERE len(list_intersect(x.ws, y.ws)) > 0")

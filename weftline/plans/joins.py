@@ -60,10 +60,10 @@ def overlap_pairs(t):
     return J.overlap_pairs(s, "source", "e", 0.35, 20).select("a", "b", "inter", F.round("coef", 9).alias("coef"))
 
 
-@query("WITH s AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS e FROM lineitem), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2) SELECT a, b, inter, round(inter::DOUBLE / least(x.n, y.n), 9) AS coef FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.35")
+@query("WITH s AS (SELECT DISTINCT vendor_id AS o, item_id AS e FROM sale_lines WHERE vendor_id IS NOT NULL AND item_id IS NOT NULL), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2) SELECT a, b, inter, round(inter::DOUBLE / least(x.n, y.n), 9) AS coef FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.35")
 def overlap_pairs_all(t):
-    """All suppliers and their real parts."""
-    p = J.overlap_pairs(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("e")), "l_suppkey", "e", 0.35, 20)
+    """All vendors by the items of their sales."""
+    p = J.overlap_pairs(t.sale_lines.select("vendor_id", F.col("item_id").alias("e")), "vendor_id", "e", 0.35, 20)
     return p.select("a", "b", "inter", F.round("coef", 9).alias("coef"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import metrics as M
 from weftline.functions import names as N
 from weftline.operators import vocab as V
+from weftline.operators.split import _cut
 from weftline.plans.base import registry
 
 QUERIES, ORACLES, query = registry()
@@ -94,6 +95,19 @@ def vocab_encode(t):
     return V.encode(t.part, "p_partkey", tok, v, 3).select("p_partkey", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+@query("SELECT p_partkey, replace(p_name, ' ', '_') AS name, replace(p_name, ' ', '|_|') AS words, list_contains((SELECT list(w) FROM (SELECT w FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL SELECT '_' FROM part) GROUP BY w ORDER BY count(*) DESC, w LIMIT 8)), split_part(p_name, ' ', 1)) AS whole FROM part")
+def vocab_decode(t):
+    """Names to ids and back: eight frequent words have ids, others go by their characters, whose runs become words again."""
+    words = F.split("p_name", " ")
+    parts = t.part.select("p_partkey", F.split(F.replace("p_name", F.lit(" "), F.lit("\u0001_\u0001")), "\u0001").alias("ts"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("token"))
+    chars = F.filter(F.split(F.replace("p_name", F.lit(" "), F.lit("")), ""), lambda c: c != "")
+    frequent = V.build(t.part.select(F.explode(F.concat(words, F.array(F.lit("_")))).alias("w")), "w", cap=8, reserved=4)
+    v = _cut(frequent.unionByName(V.build(t.part.select(F.explode(chars).alias("w")), "w", reserved=12)))
+    ids = V.encode(parts, "p_partkey", F.col("ts"), v, 3)
+    whole = parts.select("p_partkey", "token").join(v.select("token", F.lit(True).alias("whole")), "token", "left").select("p_partkey", F.coalesce("whole", F.lit(False)).alias("whole"))
+    return V.decode(ids, "p_partkey", "ids", v, (0, 1, 2)).select("p_partkey", "name", F.array_join("words", "|").alias("words")).join(whole, "p_partkey")
+
+
 @query(f"SELECT p_partkey, md5(array_to_string({_sql_split(_NAME)}, '|')) AS body, sha1(p_brand || ':' || p_partkey::VARCHAR || ':7') AS seed, sha256({_NAME}) AS fp FROM part")
 def body_hashes(t):
     n = _names(t)

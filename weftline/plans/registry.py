@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.plans import assembly, context, graphs, joins, names, retrieval, splits, stats
+from weftline.plans import assembly, context, graphs, joins, manifests, names, retrieval, splits, stats
 
-_ALL = (names, stats, joins, context, splits, retrieval, assembly, graphs)
+_ALL = (names, stats, joins, context, splits, retrieval, assembly, graphs, manifests)
 QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _ALL for k, s in m.ORACLES.items()}

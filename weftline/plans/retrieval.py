@@ -101,6 +101,34 @@ def abstain_gbt(t):
     return U.abstention(train, _F, "y", 10).transform(test).select("vec_id", "prediction")
 
 
+def _heads(t):
+    """Three heads' scores in tenths, so that ties occur; the router's label is the head of the best score, the first of equal ones."""
+    train, test = _features(t)
+    scores = {h: F.round(F.abs(F.col(f"f{i}")) * 10) / 10 for i, h in enumerate(("generator", "retriever", "decoder"))}
+    head, weight = U.best_head(scores)
+    return [d.withColumns({"head": head, "gap": weight}) for d in (train, test)]
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: round_even(abs(x::DOUBLE) * 10, 0) / 10) AS s FROM embeddings) SELECT vec_id, (list_position(s, list_max(s)) - 1)::DOUBLE AS head, round(list_max(s) - list_min(s) + 0.001, 9) AS gap FROM e")
+def head_labels(t):
+    train, test = _heads(t)
+    return train.unionByName(test).select("vec_id", "head", F.round("gap", 9).alias("gap"))
+
+
+@query()
+def router_multi(t):
+    """20 trees a class (300 by default)."""
+    train, test = _heads(t)
+    return U.multi_router(train, _F, "head", "gap", [0.0, 1.0, 2.0], 20).transform(test).select("vec_id", "head", "prediction")
+
+
+@query()
+def weighted_resample(t):
+    """How often each training row of the router is drawn."""
+    train, _ = _features(t)
+    return U.resample(train.select("vec_id", "w"), "w", "vec_id").groupBy("vec_id").agg(F.count("*").alias("times"))
+
+
 @query("WITH d AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM d")
 def ols_fit(t):
     d = t.embeddings.select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))

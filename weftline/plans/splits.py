@@ -62,18 +62,37 @@ def families(t):
     return P.components(J.overlap_pairs(s, "source", "e", 0.35, 20))
 
 
-@query("WITH RECURSIVE s AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS e FROM lineitem), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2), e0 AS (SELECT a, b FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.95), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
+@query("WITH RECURSIVE s AS (SELECT DISTINCT vendor_id AS o, item_id AS e FROM sale_lines WHERE vendor_id IS NOT NULL AND item_id IS NOT NULL), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2), e0 AS (SELECT a, b FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.7), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
 def families_all(t):
-    """All suppliers and their real parts; families and its SQL take suppliers under 60 and parts modulo 200."""
-    return P.components(J.overlap_pairs(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("e")), "l_suppkey", "e", 0.95, 20))
+    """Components of all vendors that sell the same items."""
+    return P.components(J.overlap_pairs(t.sale_lines.select("vendor_id", F.col("item_id").alias("e")), "vendor_id", "e", 0.7, 20))
 
 
-@query()
+_BUILDS = """r AS (SELECT l_suppkey % 10 AS program, l_suppkey AS build, l_partkey % 20 AS tok, count(*) AS cnt FROM lineitem GROUP BY 1, 2, 3),
+n AS (SELECT program, build, sum(cnt) AS n, row_number() OVER (PARTITION BY program ORDER BY build) AS i FROM r GROUP BY 1, 2),
+i AS (SELECT b.program, b.build, a.build AS other, sum(least(a.cnt, b.cnt)) AS inter FROM r a JOIN r b ON a.program = b.program AND a.tok = b.tok AND a.build < b.build GROUP BY 1, 2, 3),
+e AS (SELECT i.program, i.build, list(other) AS preds FROM i JOIN n ON n.program = i.program AND n.build = i.build WHERE inter / n.n::DOUBLE >= 0.85 GROUP BY 1, 2),
+o AS (SELECT n.program, n.build, n.i, coalesce(preds, []) AS preds FROM n LEFT JOIN e ON e.program = n.program AND e.build = n.build),
+g AS (SELECT program, build, i, true AS kept, [build] AS held FROM o WHERE i = 1
+  UNION ALL SELECT o.program, o.build, o.i, NOT list_has_any(g.held, o.preds), CASE WHEN list_has_any(g.held, o.preds) THEN g.held ELSE list_append(g.held, o.build) END FROM g JOIN o ON o.program = g.program AND o.i = g.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {_BUILDS} SELECT program, build, kept FROM g")
 def dup_builds(t):
     rows = t.lineitem.select((F.col("l_suppkey") % 10).alias("program"), F.col("l_suppkey").alias("build"), (F.col("l_partkey") % 20).alias("tok")).groupBy("program", "build", "tok").agg(F.count("*").alias("cnt"))
     return P.duplicate_builds(rows, 0.85)
 
 
+_BASKETS = _BUILDS.replace("SELECT l_suppkey % 10 AS program, l_suppkey AS build, l_partkey % 20 AS tok, count(*) AS cnt FROM lineitem GROUP BY 1, 2, 3", "SELECT vendor_id AS program, sale_id AS build, item_id AS tok, count(*) AS cnt FROM sale_lines WHERE vendor_id IS NOT NULL AND sale_id IS NOT NULL AND item_id IS NOT NULL GROUP BY 1, 2, 3").replace("0.85", "0.95")
+
+
+@query(f"WITH RECURSIVE {_BASKETS} SELECT program, build, kept FROM g")
+def dup_baskets(t):
+    """Sales of each vendor whose items lie in an earlier kept sale of the vendor."""
+    s = t.sale_lines.where("vendor_id is not null and sale_id is not null and item_id is not null")
+    return P.duplicate_builds(s.select(F.col("vendor_id").alias("program"), F.col("sale_id").alias("build"), F.col("item_id").alias("tok"), F.lit(1).alias("cnt")))
+
+
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || ':5'), doc_id) AS n FROM documents) WHERE n <= 3")
 def capped_sample(t):
     return P.capped_sample(t.documents.select("source", "doc_id"), "source", "doc_id", 3, 5)
