@@ -21,10 +21,11 @@ def _brute(names, train):
     return out
 
 
-@pytest.mark.parametrize("most", [1, 3, 10])
-def test_best_in_other_group(spark, monkeypatch, most):
-    monkeypatch.setattr(predictions, "SUBSET_TOKENS", most)
-    r = random.Random(most)
+@pytest.mark.parametrize(("whole", "partial"), [(0, 1), (1, 2), (2, 3), (6, 3)])
+def test_best_in_other_group(spark, monkeypatch, whole, partial):
+    monkeypatch.setattr(predictions, "WHOLE", whole)
+    monkeypatch.setattr(predictions, "PARTIAL", partial)
+    r = random.Random(whole)
     tokens = [f"t{i}" for i in range(30)]
     pick = lambda: "_".join(["get"] * (r.random() < 0.6) + [tokens[int(30 * r.random() ** 2)] for _ in range(r.randrange(0, 6))])
     train = [(pick(), f"g{int(8 * r.random() ** 2)}") for _ in range(150)] + [("get_t1_t2_t2", "g0"), ("get_t2_t1", "g7"), ("lone", "g1"), ("u1_u2", "g1"), ("u2_u1", "g2")]

@@ -183,6 +183,73 @@ def function_prompt(calls: Column, callees: Column, callers: Column, n_blocks: C
     return F.concat_ws("\n", F.lit("/* Reverse-engineered function description."), *body, F.lit(" */"), F.lit("void "))
 
 
+def json_text(s: Column) -> Column:
+    """A string as a JSON literal in ASCII: other characters as \\u escapes, those beyond the basic plane as pairs."""
+    hex4 = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = F.create_map(*[F.lit(x) for k, v in {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}.items() for x in (k, v)])
+
+    def one(c):
+        n = F.ascii(c).cast("long")
+        pair = F.concat(hex4(F.shiftright(n - 0x10000, 10) + 0xD800), hex4((n - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        return F.coalesce(F.try_element_at(short, c), F.when((n >= 32) & (n < 127), c).when(n > 0xFFFF, pair).when(n == 127, c).otherwise(hex4(n)))
+
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    return F.concat(F.lit('"'), F.array_join(F.transform(chars, one), ""), F.lit('"'))
+
+
+def linearised(calls: Column, strings: Column, callees: Column, callers: Column, blocks: Column, edges: Column) -> Column:
+    """A function as lines: external calls, strings, signatures of callees and callers, then blocks with their successors.
+
+    calls and strings are arrays of strings, callees and callers arrays of token arrays; blocks are (id, addr, tokens), edges (src, dst)
+    of block ids. The first 16 calls, 8 strings of 60 characters, 30 blocks by address and 20 tokens a block are given; an empty part but
+    the calls has no line. Null arrays are empty.
+    """
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    ext = F.slice(F.filter(none(calls, "array<string>"), lambda c: c != ""), 1, 16)
+    listed = F.transform(F.slice(none(strings, "array<string>"), 1, 8), lambda x: json_text(F.substring(x, 1, 60)))
+    sigs = lambda a: F.array_join(F.transform(a, lambda x: F.array_join(x, " ")), " ; ")
+    part = lambda title, a, text: F.when(F.size(none(a, "array<string>") if title == "STR: " else a) > 0, F.concat(F.lit(title), text))
+    b = F.slice(F.array_sort(F.transform(blocks, lambda x: F.struct(x["addr"].alias("addr"), x["id"].alias("id"), x["tokens"].alias("tokens")))), 1, 30)
+    ids = F.transform(b, lambda x: x["id"])
+    place = lambda x: F.array_position(ids, x) - 1
+
+    def line(x, i):
+        out = F.filter(F.transform(F.filter(edges, lambda e: e["src"] == x["id"]), lambda e: place(e["dst"])), lambda p: p >= 0)
+        nxt = F.array_join(F.transform(F.array_sort(F.array_distinct(out)), lambda p: F.concat(F.lit("B"), p.cast("string"))), " ")
+        return F.concat(F.lit("B"), i.cast("string"), F.lit(": "), F.array_join(F.slice(x["tokens"], 1, 20), " "), F.when(F.size(out) > 0, F.concat(F.lit(" -> "), nxt)).otherwise(""))
+
+    head = F.concat(F.lit("EXT: "), F.when(F.size(ext) > 0, F.array_join(ext, " ")).otherwise("none"))
+    callees, callers = none(callees, "array<array<string>>"), none(callers, "array<array<string>>")
+    lines = [head, part("STR: ", strings, F.array_join(listed, " ")), part("CALLEES: ", callees, sigs(callees)), part("CALLERS: ", callers, sigs(callers)), F.when(F.size(b) > 0, F.array_join(F.transform(b, line), "\n"))]
+    return F.array_join(F.array_compact(F.array(*lines)), "\n")
+
+
+# The frame of the prompt that shows neighbours, and the lines of a function in it.
+NEIGHBOUR_HEAD = (
+    "// Binary function name recovery using nearest-neighbor analysis.\n"
+    "// The following are the MOST SIMILAR functions (by code embedding)\n"
+    "// to the target function in our database of 200,000 labeled functions.\n"
+    "// Similar functions share naming patterns. Predict the target name.\n\n"
+)
+NEIGHBOUR_TARGET = "// Target function (predict name consistent with neighbors above):\n"
+DESCRIBED = (("library_calls", "Library calls:", "(none)"), ("internal_calls", "Internal calls:", "(none)"), ("called_by", "Called by:", "(none)"), ("size", "Size:", "(unknown)"))
+
+
+def described(text: Column, title: str, missing: str) -> Column:
+    """What the last line of a function description with this title says behind it, or missing."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.contains(title))
+    said = F.element_at(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(title + missing))), -1)
+    return F.rtrim(F.trim(F.substring_index(F.concat(F.lit("\u0001"), said), title, -1)), F.lit("* /"))
+
+
+def neighbour_prompt(target: Column, neighbours: Column, most: int = 5) -> Column:
+    """A prompt of the nearest described functions and the target; neighbours are (text, name, sim), the first most count, a null sim is not said."""
+    facts = lambda text: F.concat(*[F.concat(F.lit(f"//   {k}: "), described(text, title, missing), F.lit("\n")) for k, title, missing in DESCRIBED])
+    sim = lambda n: F.when(n["sim"].isNotNull(), F.concat(F.lit(" (similarity: "), F.format_string("%.3f", n["sim"]), F.lit(")"))).otherwise("")
+    one = lambda n, i: F.concat(F.lit("// Nearest neighbor #"), (i + 1).cast("string"), sim(n), F.lit(":\n"), facts(n["text"]), F.lit("//   name: "), n["name"], F.lit("\n\n"))
+    return F.concat(F.lit(NEIGHBOUR_HEAD), F.array_join(F.transform(F.slice(neighbours, 1, most), one), ""), F.lit(NEIGHBOUR_TARGET), facts(target), F.lit("//   name:"))
+
+
 def instruction_row(text: Column, answer: Column, instruction: str) -> Column:
     """struct(instruction, input, output) of a prompt dataset."""
     return F.struct(F.lit(instruction).alias("instruction"), F.concat(F.lit("\n\n"), text).alias("input"), answer.alias("output"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.names import normalize_name, split_name
+from weftline.functions.names import canonical_name, normalize_name, split_name
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
@@ -59,6 +59,11 @@ def exact_match(pred: Column, true: Column) -> Column:
     return normalize_name(pred) == normalize_name(true)
 
 
+def exact_forms(pred: Column, true: Column) -> Column:
+    """struct of the four exact matches: normalised, raw, canonical and an F1 of 1 (which forgives the order of sub-tokens)."""
+    return F.struct(exact_match(pred, true).alias("normalised"), (pred == true).alias("raw"), (canonical_name(pred) == canonical_name(true)).alias("canonical"), (prf(pred, true)["f1"] == 1.0).alias("f1_one"))
+
+
 def top_k_match(candidates: Column, true: Column, k: int) -> Column:
     return F.exists(F.slice(candidates, 1, k), lambda c: normalize_name(c) == normalize_name(true))
 

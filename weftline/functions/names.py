@@ -201,6 +201,13 @@ def answer_identifier(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.btrim(F.btrim(plain, F.lit(" \t\n\r")), F.lit("`\"' .")), "[A-Za-z_][A-Za-z0-9_]*", 0), F.lit(""))
 
 
+def answer_phrase(text: Column) -> Column:
+    """What follows the leading phrase of a generated answer up to an end mark or a closing full stop, or else the whole answer; outer space and closing full stops go."""
+    plain = F.btrim(text, F.lit(" \t\n\r\f\u000b"))
+    said = r"^The predicted function name is (.*?)(?:</s>|\.\s*$|\s*$)"
+    return F.rtrim(F.btrim(F.when(plain.rlike(said), F.regexp_extract(plain, said, 1)).otherwise(plain), F.lit(" \t\n\r\f\u000b")), F.lit("."))
+
+
 def demangled(name: Column, table: Column) -> Column:
     """Canonical name after a look-up in a map of mangled names."""
     return canonical_name(F.coalesce(F.try_element_at(table, name), name))

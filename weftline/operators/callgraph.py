@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranges import running
+
 from weftline.functions.code import call_references
 
 
@@ -43,9 +45,12 @@ def callers(edges: DataFrame, aliases: DataFrame, by: str) -> DataFrame:
 
 
 def resolve_thunks(functions: DataFrame, by: str, name: str, is_thunk: Column, callee: str, body: list[str]) -> DataFrame:
-    """Functions whose thunks have the body columns of their first callee in the same binary, where there is one; adds resolved."""
-    target = functions.select(by, F.col(name).alias("__c"), *[F.col(b).alias(f"__{b}") for b in body], F.lit(True).alias("__hit"))
-    target = target.dropDuplicates([by, "__c"])
+    """Functions whose thunks have the body columns of their first callee in the same binary, where there is one; adds resolved.
+
+    Of several functions of a name the one with the smallest body columns counts.
+    """
+    target = functions.groupBy(by, F.col(name).alias("__c")).agg(F.min(F.struct(*body)).alias("__b"))
+    target = target.select(by, "__c", *[F.col(f"__b.{b}").alias(f"__{b}") for b in body], F.lit(True).alias("__hit"))
     thunk = functions.withColumn("__c", F.when(is_thunk, F.col(callee)))
     j = thunk.join(target, [by, "__c"], "left")
     hit = F.coalesce("__hit", F.lit(False))
@@ -65,11 +70,13 @@ def sampled_outside(rows: DataFrame, by: str, pos: str, key: str, k: int, n: int
     """(by, pos, n_pos): n other rows of the same group, more than k positions away, in the order of a hash of both rows and the seed.
 
     Each row looks at the 4 n + 2 k + 2 rows that follow its own hash in the group's hash order (around its end), which
-    hold n outside the window whenever the group does; so no pair of all rows of a group is made.
+    hold n outside the window whenever the group does; so no pair of all rows of a group is made. Places in the order are numbered by
+    ranges.
     """
     h = F.sha1(F.concat_ws(":", by, F.col(key), F.lit(seed)).cast("binary"))
-    w = Window.partitionBy(by).orderBy("__h", pos)
-    r = rows.select(by, pos, h.alias("__h")).withColumn("__r", F.row_number().over(w) - 1).withColumn("__c", F.count("*").over(Window.partitionBy(by)))
+    r = running(rows.select(by, pos, h.alias("__h")), ["__h", pos], by=[by], number="__r").withColumn("__r", F.col("__r") - 1)
+    sizes = rows.groupBy(F.col(by).alias("__g")).agg(F.count("*").alias("__c"))
+    r = r.join(sizes, F.col(by).eqNullSafe(F.col("__g"))).drop("__g")
     look = 4 * n + 2 * k + 2
     probe = r.select(by, pos, "__c", "__r", F.explode(F.sequence(F.lit(1), F.least(F.lit(look), F.col("__c") - 1).cast("int"))).alias("__d")).where("__c > 1")
     probe = probe.withColumn("__t", F.pmod(F.col("__r") + F.col("__d"), F.col("__c")))

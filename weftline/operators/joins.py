@@ -32,6 +32,32 @@ def with_name_fallback(left: DataFrame, right: DataFrame, by: list[str], key: st
     return j.select(*left.columns, got.alias(value), how.alias("how"))
 
 
+def first_label(left: DataFrame, labels: DataFrame, by: list[str], key: str, offsets: list[int], name: str, order: str) -> DataFrame:
+    """Adds name: of the labels at key + any of the offsets the first in their own order, or null.
+
+    Labels that start with one underscore, which compilers make, are passed over; two underscores are a name.
+    """
+    fit = labels.where(F.col(name).isNotNull() & ~(F.col(name).startswith("_") & ~F.col(name).startswith("__")))
+    at = F.explode(F.array(*map(F.lit, offsets))).alias("__o")
+    spread = fit.select(*by, F.col(key).alias("__k"), name, order, at).select(*by, (F.col("__k") - F.col("__o")).alias(key), name, order)
+    best = spread.groupBy(*by, key).agg(F.min_by(name, F.struct(order, name)).alias(name))
+    return left.join(best, [*by, key], "left").select(*left.columns, name)
+
+
+def address_number(text: Column) -> Column:
+    """The number of a hexadecimal address, with or without 0x and leading zeros; null for other text."""
+    digits = F.regexp_extract(F.trim(text), "^(?:0[xX])?([0-9a-fA-F]{1,16})$", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).cast("decimal(20,0)"))
+
+
+def same_address(left: DataFrame, right: DataFrame, by: list[str], address: str) -> DataFrame:
+    """Rows of left with the row of right of the same address, however each writes it (the smallest row, if several); rows without one are left out."""
+    other = [c for c in right.columns if c not in (*by, address)]
+    r = right.withColumn("__a", address_number(F.col(address))).groupBy(*by, "__a").agg(F.min(F.struct(*other)).alias("__r"))
+    j = left.withColumn("__a", address_number(F.col(address))).join(r, [*by, "__a"])
+    return j.select(*left.columns, *[F.col(f"__r.{c}").alias(c) for c in other])
+
+
 def three_way(left: DataFrame, graphs: DataFrame, by: str, address: str, name: str, graph: str) -> DataFrame:
     """Adds graph and how: a graph at the address, else at address + 4, else one of the row's name.
 

@@ -64,6 +64,18 @@ def name_category(names: DataFrame, train: DataFrame, name: str) -> DataFrame:
     return j.select(*names.columns, cat.alias("category"))
 
 
+def reverse_pick(sim: Column, threshold: float, retrieved: Column, generated: Column) -> Column:
+    """struct(pick, retrieved): the retrieved name where its similarity is at the threshold or above, the generated one elsewhere."""
+    over = F.coalesce(sim >= threshold, F.lit(False))
+    return F.struct(F.when(over, retrieved).otherwise(generated).alias("pick"), over.alias("retrieved"))
+
+
+def forward_pick(score: Column, threshold: float, retrieved: Column, generated: Column) -> Column:
+    """struct(pick, retrieved): the generated name, but where its score is at the threshold or below and there is a retrieved one."""
+    weak = F.coalesce(score <= threshold, F.lit(False)) & retrieved.isNotNull()
+    return F.struct(F.when(weak, retrieved).otherwise(generated).alias("pick"), weak.alias("retrieved"))
+
+
 def difficulty(n_calls: Column, seen: Column) -> Column:
     return F.when(n_calls > 0, "easy").when(seen, "hard_seen").otherwise("hard_unseen")
 
@@ -155,99 +167,108 @@ def grid(rows: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     return rows
 
 
-def vocabulary_oracle(rows: DataFrame, train: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, best): the highest multiset F1 of each row's name against all training names, by a join on shared sub-tokens.
-
-    Equal names and equal multisets are one side each, so that a frequent name is compared once.
-    """
-    bag = lambda df, c: df.select(F.array_sort(split_name(F.col(name))).alias(c)).distinct()
-    toks = lambda df, c: df.select(c, F.size(c).alias(f"n_{c}"), F.explode(F.array_distinct(c)).alias("t")).withColumn(f"k_{c}", F.size(F.filter(c, lambda x: x == F.col("t"))))
-    met = toks(bag(rows, "a"), "a").join(toks(bag(train, "b"), "b"), "t")
-    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.least("k_a", "k_b")).alias("tp"))
-    best = pairs.groupBy("a").agg(F.max(2.0 * F.col("tp") / (F.col("n_a") + F.col("n_b"))).alias("best"))
-    mine = rows.select(key, F.array_sort(split_name(F.col(name))).alias("a"))
-    return mine.join(best, "a", "left").select(key, F.coalesce("best", F.lit(0.0)).alias("best"))
-
-
-#: Sets of at most so many shared sub-tokens are met by their subsets (1,023 at most), larger ones by pairs.
-SUBSET_TOKENS = 10
+#: Sets of at most WHOLE shared elements are met by all their subsets (63), larger ones by those of at most PARTIAL elements.
+WHOLE, PARTIAL = 6, 3
 
 
-def best_in_other_group(names: DataFrame, train: DataFrame, name: str, group: str) -> DataFrame:
-    """(name, group, best): highest Jaccard of full sub-token sets to a training name that another group holds; exact.
+def best_jaccard(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """(s, g, j): for each asked set s of a group g the highest Jaccard to a class that another group holds too; exact, no row where none shares an element.
 
-    A training name equal to the row's own counts 1 if another group has it. Names of equal sets are one class.
+    asked(s, g) and classes(s, n_h, only) hold sorted arrays of different strings, each class once with the number of groups that hold it
+    and the only one if it is one; g and only are structs, so that a null group is a group.
 
-    The best match of a set S over all sets T is the best of |U| / (|S| + |T| - |U|) over the subsets U of S and the smallest T
-    that contains U: a T that shares more than U is met again by the larger U. So classes send each of their subsets once with their
-    size, and no pair of names is ever made, however common a sub-token is. Equal sets score 1 by themselves; sub-tokens of one set only
-    are in no subset. Sets with many shared sub-tokens have too many subsets; they are compared pair by pair (see _best_pairs).
+    The best match of S is the best of |U| / (|S| + |T| - |U|) over the subsets U of S and the smallest T that contains U: a T that
+    shares more than U is met again by a larger U. So classes send their subsets once with their size, and small sets are never
+    paired, however common an element is. A pair with a large set may share more elements than the subsets of that have; then it
+    shares one that is not among the commonest of either, and is compared where such elements meet, without leaving the
+    task but for the best score. Elements of one set only are in no subset. A subset goes by 96 bits of hashes.
     """
-    key = names.select(F.col(name).alias("x"), F.col(group).alias("g")).distinct()
-    held = train.select(F.col(name).alias("y"), F.col(group).alias("h")).distinct()
-    bag = lambda c: F.array_sort(F.array_distinct(split_name(F.col(c))))
-    spread = held.groupBy("y").agg(F.count("*").alias("n_h"), F.min("h").alias("only"))
-    same = spread.select(F.col("y").alias("x"), "n_h", "only")
-    k = _cut(key.join(same, "x", "left").withColumns({"s": bag("x"), "exact": F.coalesce((F.col("n_h") > 1) | ~F.col("only").eqNullSafe(F.col("g")), F.lit(False)) & F.col("n_h").isNotNull()}).select("x", "g", "s", "exact"))
-    # A class is held by several groups, or by one.
-    owners = _cut(held.select(bag("y").alias("s"), F.struct(F.col("h")).alias("h")).distinct().where(F.size("s") > 0))
-    classes = owners.groupBy("s").agg(F.count("*").alias("n_h"), F.min("h").alias("only"))
-    asked = k.where(~F.col("exact") & (F.size("s") > 0)).select("s", F.struct("g").alias("g")).distinct()
     df = classes.select("s").union(asked.select("s")).distinct().select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     classes, asked = _cut(_shared(classes, df)), _cut(_shared(asked, df))
     equal = asked.join(classes.select("s", "n_h", "only"), "s").where((F.col("n_h") > 1) | (F.col("only") != F.col("g"))).select("s", "g", F.lit(1.0).alias("j"))
-    short = F.size("c") <= SUBSET_TOKENS
-    found = equal.unionByName(_best_subsets(asked.where(short), classes.where(short))).unionByName(_best_pairs(asked, classes))
-    best = found.groupBy("s", "g").agg(F.max("j").alias("j"))
-    out = k.withColumn("h", F.struct("g")).join(best.withColumnRenamed("g", "h"), ["s", "h"], "left")
-    return out.select(F.col("x").alias(name), F.col("g").alias(group), F.when(F.col("exact"), 1.0).otherwise(F.coalesce("j", F.lit(0.0))).alias("best"))
+    found = equal.unionByName(_best_subsets(asked, classes)).unionByName(_best_pairs(asked, classes))
+    return found.groupBy("s", "g").agg(F.max("j").alias("j"))
 
 
 def _shared(sets: DataFrame, df: DataFrame) -> DataFrame:
-    """Adds c: the sub-tokens of s that other sets hold too, rare ones first, as (df, t)."""
+    """Adds c: the elements of s that other sets hold too, rare ones first."""
     kept = sets.select("s").distinct().select("s", F.explode("s").alias("t")).join(df.where(F.col("df") > 1), "t")
-    c = kept.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("c"))
-    return sets.join(c, "s", "left").withColumn("c", F.coalesce("c", F.array().cast(c.schema["c"].dataType)))
+    c = kept.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("c"))
+    return sets.join(c, "s", "left").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
 
 
-def _subsets(c: Column) -> Column:
-    """Each non-empty subset of an array of (df, t), by the bits of a number."""
-    t = F.array_sort(F.transform(c, lambda x: x["t"]))
+def _subsets(sets: DataFrame, *columns: str | Column) -> DataFrame:
+    """columns with u (two hashes) and k (its size), a row for each subset."""
+    t, n = F.array_sort("c"), F.size("c")
     bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
-    return F.explode(F.transform(F.sequence(F.lit(1), bit(F.size(c)) - 1), lambda m: F.filter(t, lambda _, i: m.bitwiseAND(bit(i)) != 0)))
+    behind = lambda i: F.slice(t, i + 2, F.greatest(n - i - 1, F.lit(0)))
+    every = F.transform(F.sequence(F.lit(1), bit(F.least(n, F.lit(WHOLE))) - 1), lambda m: F.filter(t, lambda _, i: m.bitwiseAND(bit(i)) != 0))
+    few = F.transform(t, lambda x: F.array(x))
+    if PARTIAL > 1:
+        few = F.concat(few, F.flatten(F.transform(t, lambda x, i: F.transform(behind(i), lambda y: F.array(x, y)))))
+    if PARTIAL > 2:
+        few = F.concat(few, F.flatten(F.flatten(F.transform(t, lambda x, i: F.transform(behind(i), lambda y, j: F.transform(behind(i + j + 1), lambda z: F.array(x, y, z)))))))
+    u = F.explode(F.when(n <= WHOLE, every).otherwise(few)).alias("__u")
+    rows = sets.where(n > 0).select(*columns, u)
+    return rows.select(*[c for c in rows.columns if c != "__u"], F.struct(F.xxhash64("__u").alias("a"), F.hash("__u").alias("b")).alias("u"), F.size("__u").alias("k"))
 
 
 def _best_subsets(asked: DataFrame, classes: DataFrame) -> DataFrame:
     """(s, g, j): the best score over the subsets of s, of sets that a group other than g holds."""
-    size = F.size("s").alias("n")
-    u = classes.where(F.size("c") > 0).select(_subsets(F.col("c")).alias("u"), size, "n_h", "only")
-    by = u.groupBy("u", F.when(F.col("n_h") == 1, F.col("only")).alias("only"), (F.col("n_h") > 1).alias("many")).agg(F.min("n").alias("n"))
-    by = _cut(by)
+    u = _subsets(classes, F.size("s").alias("n"), (F.col("n_h") > 1).alias("many"), F.when(F.col("n_h") == 1, F.col("only")).alias("only"))
+    by = u.groupBy("u", "many", "only").agg(F.min("n").alias("n"))
     first = by.groupBy("u").agg(F.min(F.when(F.col("many"), F.col("n"))).alias("several"), F.min(F.when(~F.col("many"), F.struct("n", "only"))).alias("sole"))
     # The second best sole holder answers those who are the first one themselves.
     other = by.join(first.where("sole is not null").select("u", F.col("sole.only").alias("o")), "u").where(~F.col("many") & (F.col("only") != F.col("o"))).groupBy("u").agg(F.min("n").alias("second"))
     index = first.join(other, "u", "left")
-    q = asked.where(F.size("c") > 0).select("s", "g", _subsets(F.col("c")).alias("u")).join(index, "u")
-    lone = F.when(F.col("sole.only") != F.col("g"), F.col("sole.n")).otherwise(F.col("second"))
-    n = F.least("several", lone)
-    return q.select("s", "g", (F.size("u") / (F.size("s") + n - F.size("u"))).alias("j")).where("j is not null")
+    q = _subsets(asked.withColumn("n", F.size("s")), "s", "g", "n").withColumnRenamed("n", "n_s").join(index, "u")
+    n = F.least("several", F.when(F.col("sole.only") != F.col("g"), F.col("sole.n")).otherwise(F.col("second")))
+    return q.select("s", "g", (F.col("k") / (F.col("n_s") + n - F.col("k"))).alias("j")).where("j is not null").groupBy("s", "g").agg(F.max("j").alias("j"))
 
 
 def _best_pairs(asked: DataFrame, classes: DataFrame) -> DataFrame:
-    """The same for pairs of which one side is larger, in two rounds of an exact prefix filter: scores of a half, then the rest."""
-    big = F.size("c") > SUBSET_TOKENS
-    long, rest, out = asked.where(big), asked.where(~big), []
-    for least in (0.5, 0.0):
-        first = lambda d: F.slice("c", F.lit(1), F.greatest(F.least(F.size("c"), F.size("s") - F.ceil(least * F.size("s") - 1e-9) + 1), F.lit(0)).cast("int"))  # noqa: E731, ARG005, B023
-        ask = lambda d: d.select("s", "g", F.explode(F.transform(first(d), lambda x: x["t"])).alias("t"))  # noqa: E731, B023
-        have = lambda d: d.select(F.col("s").alias("v"), "n_h", "only", F.explode(F.transform(first(d), lambda x: x["t"])).alias("t"))  # noqa: E731, B023
-        met = ask(long).join(have(classes), "t").unionByName(ask(rest).join(have(classes.where(big)), "t"))
-        met = met.where((F.col("n_h") > 1) | (F.col("only") != F.col("g"))).select("s", "g", "v").distinct()
-        inter = F.size(F.array_intersect("s", "v"))
-        got = _cut(met.select("s", "g", (inter / (F.size("s") + F.size("v") - inter)).alias("j")).where(F.col("j") >= least).groupBy("s", "g").agg(F.max("j").alias("j")))
-        out.append(got)
-        long, rest = long.join(got, ["s", "g"], "left_anti"), rest.join(got, ["s", "g"], "left_anti")
-    return out[0].unionByName(out[1])
+    """The same for pairs of which one side is large and which share more than PARTIAL elements: one of them is not among the PARTIAL commonest of either."""
+    rare = F.explode(F.slice("c", F.lit(1), F.greatest(F.size("c") - PARTIAL, F.lit(0)))).alias("t")
+    a = asked.select("s", "g", "c", rare)
+    b = classes.select(F.col("c").alias("d"), F.size("s").alias("m"), "n_h", "only", rare)
+    big = lambda c: F.size(c) > WHOLE
+    met = a.where(big("c")).join(b, "t").unionByName(a.where(~big("c")).join(b.where(big("d")), "t")).where((F.col("n_h") > 1) | (F.col("only") != F.col("g")))
+    inter = F.size(F.array_intersect("c", "d"))
+    return met.select("s", "g", (inter / (F.size("s") + F.col("m") - inter)).alias("j")).groupBy("s", "g").agg(F.max("j").alias("j"))
+
+
+def vocabulary_oracle(rows: DataFrame, train: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, best): the highest multiset F1 of each row's name against all training names.
+
+    The second and further occurrences of a sub-token are elements of their own, so that multisets are sets; F1 is 2 J / (1 + J), and the best
+    Jaccard J of sets is found without pairs of names.
+    """
+    nth = lambda ts: F.transform(ts, lambda t, i: F.concat_ws(" ", t, F.size(F.filter(F.slice(ts, 1, i), lambda x: x == t)).cast("string")))
+    bag = F.array_sort(nth(split_name(F.col(name))))
+    none = F.struct(F.lit(None).cast("string").alias("h"))
+    asked = rows.select(bag.alias("s")).distinct().select("s", none.alias("g"))
+    classes = train.select(bag.alias("s")).distinct().where(F.size("s") > 0).select("s", F.lit(2).cast("long").alias("n_h"), none.alias("only"))
+    best = best_jaccard(asked, classes).select("s", "j")
+    return rows.select(key, bag.alias("s")).join(best, "s", "left").select(key, F.coalesce(2.0 * F.col("j") / (1.0 + F.col("j")), F.lit(0.0)).alias("best"))
+
+
+def best_in_other_group(names: DataFrame, train: DataFrame, name: str, group: str) -> DataFrame:
+    """(name, group, best): highest Jaccard of full sub-token sets to a training name that another group holds; exact.
+
+    A training name equal to the row's own counts 1 if another group has it. Names of equal sets are one class.
+    """
+    key = names.select(F.col(name).alias("x"), F.col(group).alias("g")).distinct()
+    held = train.select(F.col(name).alias("y"), F.col(group).alias("h")).distinct()
+    bag = lambda c: F.array_sort(F.array_distinct(split_name(F.col(c))))
+    spread = held.groupBy("y").agg(F.count("*").alias("n_h"), F.min("h").alias("only"))
+    same = spread.select(F.col("y").alias("x"), "n_h", "only")
+    exact = F.col("n_h").isNotNull() & ((F.col("n_h") > 1) | ~F.col("only").eqNullSafe(F.col("g")))
+    k = _cut(key.join(same, "x", "left").select("x", F.struct(F.col("g").alias("h")).alias("g"), bag("x").alias("s"), exact.alias("exact")))
+    owners = held.select(bag("y").alias("s"), F.struct("h").alias("h")).distinct().where(F.size("s") > 0)
+    classes = owners.groupBy("s").agg(F.count("*").alias("n_h"), F.min("h").alias("only"))
+    best = best_jaccard(k.where(~F.col("exact") & (F.size("s") > 0)).select("s", "g").distinct(), classes)
+    out = k.join(best, ["s", "g"], "left")
+    return out.select(F.col("x").alias(name), F.col("g.h").alias(group), F.when(F.col("exact"), 1.0).otherwise(F.coalesce("j", F.lit(0.0))).alias("best"))
 
 
 def f1_pairs(names: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -85,6 +87,49 @@ def leakage(train: DataFrame, test: DataFrame, group: str, name: str, body: str,
     return t.groupBy(group).agg(F.count("*").alias("n"), F.count_if("s_name").alias("seen_name"), F.count_if(big & F.col("s_body")).alias("seen_body"), F.count_if("s_both").alias("seen_both"))
 
 
+def leakage_table(train: DataFrame, test: DataFrame, group: str, name: str, body: str, tokens: str, exported: str, aliases: str | None = None, min_tokens: int = 10) -> DataFrame:
+    """Per group of the test rows, in per cent to one digit: names (or one of their aliases) seen in training, bodies seen among those of min_tokens at least, names and bodies seen together, and exported rows.
+
+    Training names are their aliases too. Seen names and bodies are joined by equality; rows of the test side are told apart by a number.
+    """
+    known = train.select(F.col(name).alias("__a"))
+    test = test.withColumn("__id", F.monotonically_increasing_id())
+    asked = test.select("__id", F.col(name).alias("__a"))
+    if aliases:
+        known = known.union(train.select(F.explode(aliases)))
+        asked = asked.union(test.select("__id", F.explode(aliases)))
+    named = asked.join(known.distinct(), "__a", "left_semi").select("__id").distinct().withColumn("__named", F.lit(True))
+    bodies = train.where(F.col(tokens) >= min_tokens).select(F.col(body)).distinct().withColumn("__body", F.lit(True))
+    both = train.select(name, body).distinct().withColumn("__both", F.lit(True))
+    t = test.join(named, "__id", "left").join(bodies, body, "left").join(both, [name, body], "left")
+    big = F.col(tokens) >= min_tokens
+    share = lambda c, n: F.round(100.0 * F.count_if(c) / F.greatest(n, F.lit(1)), 1)
+    n = F.count("*")
+    return t.groupBy(group).agg(n.alias("n"), share(F.col("__named"), n).alias("name_pct"), share(big & F.col("__body"), F.count_if(big)).alias("body_pct"), share(F.col("__both"), n).alias("name_and_body_pct"), share(F.col(exported), n).alias("exported_pct"))
+
+
+def build_identity(functions: DataFrame, program: str, opt: str, name: str, body: str, tokens: str, order: str, min_tokens: int = 10) -> DataFrame:
+    """(program, opt1, opt2, n_shared, same, n_big, same_big): for each two builds of a program, functions of one name and how many have one body.
+
+    big pairs have min_tokens on a side at least. Of several functions of a name in a build the first in order counts. Builds that share no
+    name have zeros. Builds meet by (program, name), so only names that both have make rows.
+    """
+    one = functions.groupBy(program, opt, name).agg(F.min_by(F.struct(F.col(body).alias("b"), F.col(tokens).alias("t")), order).alias("f"))
+    builds = functions.select(program, opt).distinct()
+    pairs = builds.withColumnRenamed(opt, "opt1").join(builds.withColumnRenamed(opt, "opt2"), program).where("opt1 < opt2")
+    a = one.select(program, name, F.col(opt).alias("opt1"), F.col("f").alias("x"))
+    b = one.select(program, name, F.col(opt).alias("opt2"), F.col("f").alias("y"))
+    same, big = F.col("x.b") == F.col("y.b"), F.greatest("x.t", "y.t") >= min_tokens
+    met = a.join(b, [program, name]).where("opt1 < opt2").groupBy(program, "opt1", "opt2").agg(F.count("*").alias("n_shared"), F.count_if(same).alias("same"), F.count_if(big).alias("n_big"), F.count_if(same & big).alias("same_big"))
+    return pairs.join(met, [program, "opt1", "opt2"], "left").na.fill(0, ["n_shared", "same", "n_big", "same_big"])
+
+
+def identity_by_levels(pairs: DataFrame) -> DataFrame:
+    """(opt1, opt2, n, median, high, half): over pairs that share a name, the share of equal bodies: median, greatest, and pairs of a half at least."""
+    share = F.col("same") / F.col("n_shared")
+    return pairs.where("n_shared > 0").groupBy("opt1", "opt2").agg(F.count("*").alias("n"), F.percentile(share, F.lit(0.5)).alias("median"), F.max(share).alias("high"), F.count_if(share >= 0.5).alias("half"))
+
+
 def violations(assignments: DataFrame, ids: DataFrame, key: str, tier: str) -> DataFrame:
     """(key, problem): ids in two tiers, without one, or assigned but unknown."""
     tiers = assignments.groupBy(key).agg(F.count_distinct(tier).alias("n"))
@@ -124,19 +169,29 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names; a temporary one only where that is unset and the master is local."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not at:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
+_OWN: dict[str, str] = {}
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names or the context has; a temporary one only where both are unset and the master is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        import tempfile
+
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
+    return _OWN[app]
 
-            at = tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a Parquet table in the shared folder: it survives lost executors, is compressed, and later plans read only their columns."""
+    path = f"{_shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def contained_builds(rows: DataFrame, least: float, min_total: int) -> DataFrame:
@@ -159,11 +214,24 @@ def contained_builds(rows: DataFrame, least: float, min_total: int) -> DataFrame
 def duplicate_builds(rows: DataFrame, least: float = 0.95, min_total: int = 1) -> DataFrame:
     """(program, build, kept): a build is dropped if least of its multiset of hashes lies in one kept before it.
 
-    rows(program, build, tok, cnt). A build of which all containing builds are decided is decided: each round decides the first
+    rows(program, build, tok, cnt). Builds of equal multisets (by 128 bits of hashes) are one class, which its first build decides: the
+    others lie in it, or where it does. A build of which all containing builds are decided is decided: each round decides the first
     undecided build of every program at least, mostly all but long chains, by joins.
     """
     group = ["program", "build"]
     rows = _cut(rows.groupBy(*group, "tok").agg(F.sum("cnt").alias("cnt")))
+    wide = lambda seed: F.sum(F.xxhash64("tok", "cnt", F.lit(seed)).cast("decimal(38,0)"))
+    same = rows.groupBy(*group).agg(wide(1).alias("h"), wide(2).alias("i"), F.sum("cnt").alias("n"))
+    first = same.groupBy("program", "h", "i", "n").agg(F.min("build").alias("first"))
+    builds = _cut(same.join(first, ["program", "h", "i", "n"]).select(*group, "n", "first"))
+    rows = _cut(rows.join(builds.where("build = first").select(*group), group, "left_semi"))
+    decided = _first_builds(rows, least, min_total).withColumnRenamed("build", "first")
+    copy = (F.col("build") > F.col("first")) & (F.col("n") >= min_total) & (F.lit(least) <= 1.0)
+    return builds.join(decided, ["program", "first"]).select(*group, (F.col("kept") & ~copy).alias("kept"))
+
+
+def _first_builds(rows: DataFrame, least: float, min_total: int) -> DataFrame:
+    group = ["program", "build"]
     builds = rows.select(*group).distinct()
     open_ = _cut(contained_builds(rows, least, min_total))
     dropped = None

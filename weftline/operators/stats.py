@@ -148,6 +148,38 @@ def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataF
     return means.agg(F.count("*").alias("reps"), F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(high)).alias("high"))
 
 
+def routing(rows: DataFrame, a: str, b: str, take_a: Column) -> DataFrame:
+    """One row on a choice between two scores: n, shares of rows that prefer a, prefer b and tie, accuracy over all rows (a tie is right) and over contested ones, and mean regret."""
+    x, y = F.col(a), F.col(b)
+    right = F.when(x != y, take_a == (x > y)).otherwise(True)
+    share = lambda c: F.avg(c.cast("double"))
+    contested = F.coalesce(F.avg(F.when(x != y, right.cast("double"))), F.lit(0.0))
+    regret = F.avg(F.greatest(x, y) - F.when(take_a, x).otherwise(y))
+    return rows.agg(F.count("*").alias("n"), share(x > y).alias("prefers_a"), share(y > x).alias("prefers_b"), share(x == y).alias("ties"), share(right).alias("accuracy"), contested.alias("contested"), regret.alias("regret"))
+
+
+def complementarity(rows: DataFrame, a: str, b: str, pred_a: str, pred_b: str) -> DataFrame:
+    """One row: exact rows (a score of 1) of both and of one only, wins by more than 1e-9 and ties, rows of the same prediction (null equals null), and the means of a, b and the better one."""
+    x, y = F.col(a), F.col(b)
+    n = lambda c: F.count_if(c)
+    return rows.agg(
+        F.count("*").alias("n"), n((x == 1) & (y == 1)).alias("both"), n((x == 1) & (y != 1)).alias("only_a"), n((x != 1) & (y == 1)).alias("only_b"),
+        n(x > y + 1e-9).alias("a_wins"), n(y > x + 1e-9).alias("b_wins"), n(F.abs(x - y) <= 1e-9).alias("ties"),
+        n(F.col(pred_a).eqNullSafe(F.col(pred_b))).alias("same_prediction"), F.avg(x).alias("mean_a"), F.avg(y).alias("mean_b"), F.avg(F.greatest(x, y)).alias("oracle"),
+    )
+
+
+def relative_lift(runs: DataFrame, order: str, value: str) -> DataFrame:
+    """Adds lift, in per cent of the first run's value, and its label: (base), +x.x%, -x.x%, or N/A where the base is not above 0."""
+    base = runs.agg(F.min_by(value, order).alias("__base"), F.min(order).alias("__first"))  # one row
+    j = runs.join(F.broadcast(base))
+    first = F.col(order) == F.col("__first")
+    lift = F.when(F.col("__base") > 0, 100.0 * (F.col(value) - F.col("__base")) / F.col("__base"))
+    sign = F.when(lift >= 0, "+").otherwise("")
+    label = F.when(first, "(base)").when(lift.isNull(), "N/A").otherwise(F.concat(sign, F.format_string("%.1f", lift), F.lit("%")))
+    return j.select(*runs.columns, F.when(~first, lift).alias("lift"), label.alias("label"))
+
+
 def threshold_sweep(rows: DataFrame, sim: str, if_over: str, otherwise: str, grid: list[float]) -> DataFrame:
     """(tau, n, mean): mean outcome when rows with sim >= tau take one arm and the rest the other."""
     g = rows.withColumn("tau", F.explode(F.array(*map(F.lit, grid))))

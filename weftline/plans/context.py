@@ -131,12 +131,24 @@ def _neighbours(d):
 @query(f"WITH {_D}, {_EV}, {_CALLEE}, {_ORDERED}, n AS (SELECT count(*) AS n FROM d), df AS (SELECT token, count(*) AS df FROM ev GROUP BY token), w AS (SELECT e.*, round(ln((n.n + 1)::DOUBLE / (df.df + 1)) * least(cnt, 3), 9) AS w FROM ev e JOIN df USING (token), n), k AS (SELECT nb.*, w.token, row_number() OVER (PARTITION BY nb.source, nb.pos, o ORDER BY w DESC, w.token) AS rank FROM nb JOIN w ON w.source = nb.source AND w.pos = nb.n_pos), f AS (SELECT * FROM k WHERE rank <= m), z AS (SELECT source, pos, o, count(*) AS c FROM f GROUP BY 1, 2, 3), l AS (SELECT *, 40 - coalesce(sum(c) OVER (PARTITION BY source, pos ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM z) SELECT f.source, f.pos, f.o AS \"order\", f.role, string_agg(f.token, ' ' ORDER BY rank) AS digest FROM f JOIN l USING (source, pos, o) WHERE rest > 0 AND rank <= rest GROUP BY ALL")
 def budget_digest(t):
     d, ev = _evidence(t)
+    return D.budgeted(_neighbours(d), _weighted(d, ev, F.lit("all")), "source", "pos", 40).select("source", "pos", "order", "role", "digest")
+
+
+def _weighted(d, ev, kind):
     n = ev.groupBy("token").agg(F.count("*").alias("df"))
     total = d.agg(F.count("*").alias("n"))
     w = ev.join(n, "token").join(F.broadcast(total))  # one row
     weight = F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) * F.least("cnt", F.lit(3)), 9)
-    w = w.select("source", "pos", F.lit("all").alias("kind"), "token", weight.alias("weight"))
-    return D.budgeted(_neighbours(d), w, "source", "pos", 40).select("source", "pos", "order", "role", "digest")
+    return w.select("source", "pos", kind.alias("kind"), "token", weight.alias("weight"))
+
+
+@query(f"WITH {_D}, {_EV}, {_CALLEE}, {_ORDERED}, n AS (SELECT count(*) AS n FROM d), df AS (SELECT token, count(*) AS df FROM ev GROUP BY token), w AS (SELECT e.*, CASE WHEN length(token) <= 4 THEN 'short' WHEN length(token) <= 7 THEN 'middle' ELSE 'long' END AS kind, round(ln((n.n + 1)::DOUBLE / (df.df + 1)) * least(cnt, 3), 9) AS w FROM ev e JOIN df USING (token), n), k AS (SELECT nb.*, w.kind, w.token, row_number() OVER (PARTITION BY nb.source, nb.pos, o, kind ORDER BY w DESC, w.token) AS rank FROM nb JOIN w ON w.source = nb.source AND w.pos = nb.n_pos), f AS (SELECT * FROM k WHERE rank <= greatest(1, m // 3)), z AS (SELECT source, pos, o, count(*) AS c FROM f GROUP BY 1, 2, 3), l AS (SELECT *, 40 - coalesce(sum(c) OVER (PARTITION BY source, pos ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM z) SELECT f.source, f.pos, f.o AS \"order\", f.role, f.kind, string_agg(f.token, ' ' ORDER BY rank) AS digest FROM f JOIN l USING (source, pos, o) WHERE rest > 0 AND rank <= greatest(1, least(m, rest) // 3) GROUP BY ALL")
+def typed_digest(t):
+    """The budget is shared by three kinds of tokens, by their lengths."""
+    d, ev = _evidence(t)
+    n = F.length("token")
+    kind = F.when(n <= 4, "short").when(n <= 7, "middle").otherwise("long")
+    return D.budgeted(_neighbours(d), _weighted(d, ev, kind), "source", "pos", 40, ["short", "middle", "long"]).select("source", "pos", "order", "role", "kind", "digest")
 
 
 _PRED = "pr AS (SELECT source, pos, token, 2 * count(*) AS cnt FROM (SELECT source, pos, unnest(string_split_regex(lower(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')), '[^a-z0-9]+')) AS token FROM (SELECT source, pos, unit || 'Reader' AS s FROM d)) WHERE " + _TOKEN + " GROUP BY ALL)"

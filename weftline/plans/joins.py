@@ -136,3 +136,21 @@ def call_graph(t):
     d = out.join(e.groupBy(F.col("dst").alias("u")).agg(F.count("*").alias("ins")), "u", "full_outer").na.fill(0)
     s = F.when((F.col("outs") > 0) & (F.col("ins") > 0), "both").when(F.col("outs") > 0, "caller").when(F.col("ins") > 0, "callee").otherwise("neither")
     return d.select("u", "outs", "ins", s.alias("stratum"), "back")
+
+
+@query("WITH g AS (SELECT o_orderkey AS k FROM orders), l AS (SELECT l_orderkey * 2 AS k, CASE l_partkey % 3 WHEN 0 THEN '_p' WHEN 1 THEN '__p' ELSE 'p' END || l_partkey AS name, l_orderkey * 10 + l_linenumber AS at FROM lineitem), h AS (SELECT g.k, l.name, row_number() OVER (PARTITION BY g.k ORDER BY l.at, l.name) AS n FROM g JOIN l ON l.k = g.k OR l.k = g.k + 4 WHERE NOT (starts_with(name, '_') AND NOT starts_with(name, '__'))) SELECT g.k, h.name FROM g LEFT JOIN h ON h.k = g.k AND h.n = 1")
+def first_label(t):
+    """The first label at an address or four behind it whose name no compiler made."""
+    name = F.concat(F.when(F.col("l_partkey") % 3 == 0, "_p").when(F.col("l_partkey") % 3 == 1, "__p").otherwise("p"), "l_partkey")
+    labels = t.lineitem.select((F.col("l_orderkey") * 2).alias("k"), name.alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return J.first_label(t.orders.select(F.col("o_orderkey").alias("k")), labels, [], "k", [0, 4], "name", "at")
+
+
+@query("SELECT a.o_orderkey, b.o_custkey AS cust FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey WHERE b.o_orderkey % 3 < 2")
+def same_address(t):
+    """One side writes addresses with 0x, the other as bare digits, filled up with zeros or not."""
+    k = F.lower(F.hex("o_orderkey"))
+    left = t.orders.select("o_orderkey", F.concat(F.lit("0x"), k).alias("addr"))
+    bare = F.when(F.col("o_orderkey") % 3 == 0, F.lpad(k, 8, "0")).otherwise(F.upper(k))
+    right = t.orders.where("o_orderkey % 3 < 2").select(bare.alias("addr"), F.col("o_custkey").alias("cust"))
+    return J.same_address(left, right, [], "addr").select("o_orderkey", "cust")

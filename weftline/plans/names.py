@@ -75,6 +75,28 @@ def em_variants(t):
     return p.select("p_partkey", (F.col("pred") == F.col("true")).alias("em_raw"), M.exact_match(F.col("pred"), F.col("true")).alias("em_norm"), (2 * F.col("m.tp") == F.col("m.n_pred") + F.col("m.n_true")).alias("em_f1"), top.alias("em_top2"))
 
 
+_CANON_OF = "array_to_string(list_filter(string_split('::' || regexp_replace(regexp_replace(regexp_replace({0}, '\\(.*\\)$', ''), '<[^<>]*>', ''), '<[^<>]*>', ''), '::')[-2:], lambda p: p <> ''), '_')"
+
+
+@query(f"WITH p AS (SELECT p_partkey, replace(p_name, ' ', '_') AS a, CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '_') || '(int)' WHEN 2 THEN upper(replace(p_name, ' ', '_')) WHEN 3 THEN split_part(p_name, ' ', 2) || '_' || split_part(p_name, ' ', 1) ELSE 'std::' || replace(p_name, ' ', '_') END AS b FROM part) SELECT p_partkey, {_sql_norm('b')} = {_sql_norm('a')} AS normalised, a = b AS raw, {_CANON_OF.format('b')} = {_CANON_OF.format('a')} AS canonical, list_sort({_sql_split('b')}) = list_sort({_sql_split('a')}) AS f1_one FROM p")
+def exact_forms(t):
+    """The four exact matches of a name with itself, a signature, capitals, its words turned round and a namespace."""
+    a = F.replace("p_name", F.lit(" "), F.lit("_"))
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    k = F.col("p_partkey") % 5
+    b = F.when(k == 0, a).when(k == 1, F.concat(a, F.lit("(int)"))).when(k == 2, F.upper(a)).when(k == 3, F.concat(word(2), F.lit("_"), word(1))).otherwise(F.concat(F.lit("std::"), a))
+    return t.part.select("p_partkey", a.alias("a"), b.alias("b")).select("p_partkey", M.exact_forms(F.col("b"), F.col("a")).alias("m")).select("p_partkey", "m.*")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN replace(p_name, ' ', '_') || CASE WHEN p_partkey % 8 = 3 THEN '' ELSE ' rest' END ELSE replace(p_name, ' ', '_') END AS answer FROM part")
+def answer_phrases(t):
+    """Names out of generated sentences: with an end mark, a full stop, nothing behind, and without the phrase."""
+    a, k = F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey") % 4
+    said = F.concat(F.lit("  The predicted function name is "), a)
+    text = F.when(k == 0, F.concat(said, F.lit("</s> and more."))).when(k == 1, F.concat(said, F.lit(".  \n"))).when(k == 2, said).otherwise(F.concat(a, F.when(F.col("p_partkey") % 8 == 3, "...").otherwise(" rest.\n")))
+    return t.part.select("p_partkey", N.answer_phrase(text).alias("answer"))
+
+
 @query(f"WITH {_PAIRS}, s AS (SELECT p_partkey, list_distinct({_sql_split('pred')}) AS a, list_distinct({_sql_split('truth')}) AS b FROM pairs), i AS (SELECT p_partkey, len(list_intersect(a, b)) AS i, len(a) AS n, len(b) AS m FROM s) SELECT p_partkey, round(i::DOUBLE / (n + m - i), 9) AS jaccard, round(i::DOUBLE / least(n, m), 9) AS overlap, round(2.0 * i / (n + m), 9) AS set_f1 FROM i")
 def set_metrics(t):
     a, b = N.split_name(F.col("pred")), N.split_name(F.col("true"))

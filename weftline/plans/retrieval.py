@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import joins as J
+from weftline.operators import predictions as A
 from weftline.operators import retrieval as R
 from weftline.operators import router as U
 from weftline.operators import stats as S
@@ -68,6 +69,14 @@ def hybrid_pick(t):
     return k.groupBy("arm").agg(F.count("*").alias("n"), F.sum("pick").alias("picks"))
 
 
+@query(f"WITH {_S}, b AS (SELECT q_id, t_label, CASE WHEN (q_id % 13) / 13.0::DOUBLE <= 0.4 THEN 'retrieved' ELSE 'generated' END AS arm FROM k WHERE rank = 1) SELECT arm, count(*) AS n, sum(CASE WHEN arm = 'retrieved' THEN t_label ELSE q_id % 10 END)::BIGINT AS picks FROM b GROUP BY 1")
+def hybrid_forward(t):
+    """The generated label, and the nearest one's where the generator's score is low."""
+    p = A.forward_pick(F.col("q_id") % 13 / 13.0, 0.4, F.col("t_label").cast("long"), F.col("q_id") % 10)
+    k = _knn(t, 1).select(p.alias("p")).select(F.when(F.col("p.retrieved"), "retrieved").otherwise("generated").alias("arm"), F.col("p.pick").alias("pick"))
+    return k.groupBy("arm").agg(F.count("*").alias("n"), F.sum("pick").alias("picks"))
+
+
 def _features(t):
     v = F.col("embedding")
     f = t.embeddings.select("vec_id", *[v[i].cast("double").alias(f"f{i}") for i in range(4)], (F.col("label") < 5).cast("double").alias("y"), (F.abs(v[0].cast("double")) + 0.001).alias("w"), F.col("label").cast("double").alias("label"))

@@ -136,3 +136,35 @@ def policy_accounting(t):
 @query(f"WITH {_POLICY} SELECT doc_id, tier, outcome FROM j WHERE outcome <> 'kept'")
 def policy_dropped(t):
     return _judged(t).where("outcome <> 'kept'").select("doc_id", "tier", "outcome")
+
+
+_FNS = "f AS (SELECT doc_id, source, split_part(text, ' ', 1) AS name, md5(text) AS body, len(string_split(text, ' ')) AS words, doc_id % 13 = 0 AS dyn, [lang || '_' || split_part(text, ' ', 2)] AS al FROM documents), tr AS (SELECT * FROM f WHERE doc_id % 5 <> 0), te AS (SELECT * FROM f WHERE doc_id % 5 = 0), nm AS (SELECT name AS a FROM tr UNION SELECT unnest(al) FROM tr)"
+
+
+@query(f"WITH {_FNS} SELECT source, count(*) AS n, round(100.0 * count(*) FILTER (name IN (SELECT a FROM nm) OR al[1] IN (SELECT a FROM nm)) / count(*), 1) AS name_pct, round(100.0 * count(*) FILTER (words >= 10 AND body IN (SELECT body FROM tr WHERE words >= 10)) / greatest(count(*) FILTER (words >= 10), 1), 1) AS body_pct, round(100.0 * count(*) FILTER ((name, body) IN (SELECT (name, body) FROM tr)) / count(*), 1) AS name_and_body_pct, round(100.0 * count(*) FILTER (dyn) / count(*), 1) AS exported_pct FROM te GROUP BY source")
+def leakage_pct(t):
+    """Names (with an alias each), bodies and both that training documents hold, and exported rows, per cent of each source's test documents."""
+    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    f = t.documents.select("doc_id", "source", word(1).alias("name"), F.md5(F.col("text").cast("binary")).alias("body"), F.size(F.split("text", " ")).alias("words"), (F.col("doc_id") % 13 == 0).alias("dyn"), F.array(F.concat("lang", F.lit("_"), word(2))).alias("al"))
+    return P.leakage_table(f.where("doc_id % 5 <> 0"), f.where("doc_id % 5 = 0"), "source", "name", "body", "words", "dyn", "al")
+
+
+_OPTS = """f AS (SELECT l_suppkey AS program, l_linenumber % 4 AS opt, l_partkey % 300 AS name, l_returnflag || l_linestatus AS body, l_quantity AS words, row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 4, l_partkey % 300 ORDER BY l_orderkey * 10 + l_linenumber) AS i FROM lineitem),
+o AS (SELECT * FROM f WHERE i = 1), b AS (SELECT DISTINCT program, opt FROM f),
+m AS (SELECT x.program, x.opt AS opt1, y.opt AS opt2, count(*) AS n_shared, count(*) FILTER (x.body = y.body) AS same, count(*) FILTER (greatest(x.words, y.words) >= 10) AS n_big, count(*) FILTER (x.body = y.body AND greatest(x.words, y.words) >= 10) AS same_big FROM o x JOIN o y ON x.program = y.program AND x.name = y.name AND x.opt < y.opt GROUP BY 1, 2, 3),
+p AS (SELECT x.program, x.opt AS opt1, y.opt AS opt2, coalesce(n_shared, 0) AS n_shared, coalesce(same, 0) AS same, coalesce(n_big, 0) AS n_big, coalesce(same_big, 0) AS same_big FROM b x JOIN b y ON x.program = y.program AND x.opt < y.opt LEFT JOIN m ON m.program = x.program AND m.opt1 = x.opt AND m.opt2 = y.opt)"""
+
+
+def _opt_pairs(t):
+    f = t.lineitem.select(F.col("l_suppkey").alias("program"), (F.col("l_linenumber") % 4).alias("opt"), (F.col("l_partkey") % 300).alias("name"), F.concat("l_returnflag", "l_linestatus").alias("body"), F.col("l_quantity").alias("words"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return P.build_identity(f, "program", "opt", "name", "body", "words", "at")
+
+
+@query(f"WITH {_OPTS} SELECT * FROM p")
+def opt_pairs(t):
+    return _opt_pairs(t)
+
+
+@query(f"WITH {_OPTS}, s AS (SELECT opt1, opt2, same::DOUBLE / n_shared AS r FROM p WHERE n_shared > 0) SELECT opt1, opt2, count(*) AS n, round(quantile_cont(r, 0.5), 9) AS median, round(max(r), 9) AS high, count(*) FILTER (r >= 0.5) AS half FROM s GROUP BY 1, 2")
+def opt_levels(t):
+    return P.identity_by_levels(_opt_pairs(t)).select("opt1", "opt2", "n", F.round("median", 9).alias("median"), F.round("high", 9).alias("high"), "half")

@@ -107,6 +107,19 @@ def complement(t):
     return _scored(t).agg(F.count("*").alias("n"), F.count_if(best == 1).alias("oracle"), F.count_if(~apart).alias("ties"), F.count_if(pick == best).alias("routed_right"), F.count_if(apart).alias("contested"), F.count_if(apart & (pick == 1)).alias("contested_right"))
 
 
+@query(f"WITH s AS (SELECT quality AS a, toxic AS b, {_SCORE} >= 0.5 AS u FROM labels) SELECT count(*) AS n, round(avg((a > b)::INT), 9) AS prefers_a, round(avg((b > a)::INT), 9) AS prefers_b, round(avg((a = b)::INT), 9) AS ties, round(avg(CASE WHEN a = b THEN 1 ELSE (u = (a > b))::INT END), 9) AS accuracy, round(coalesce(avg((u = (a > b))::INT) FILTER (a <> b), 0), 9) AS contested, round(avg(greatest(a, b) - CASE WHEN u THEN a ELSE b END), 9) AS regret FROM s")
+def routing_stats(t):
+    r = S.routing(_scored(t), "quality", "toxic", F.col("score") >= 0.5)
+    return r.select("n", *[F.round(c, 9).alias(c) for c in r.columns if c != "n"])
+
+
+@query("WITH s AS (SELECT quality::DOUBLE AS a, toxic::DOUBLE AS b, lang AS p, CASE WHEN source LIKE '%1%' THEN 'en' ELSE lang END AS q FROM labels JOIN documents USING (doc_id)) SELECT count(*) AS n, count(*) FILTER (a = 1 AND b = 1) AS both, count(*) FILTER (a = 1 AND b <> 1) AS only_a, count(*) FILTER (a <> 1 AND b = 1) AS only_b, count(*) FILTER (a > b + 1e-9) AS a_wins, count(*) FILTER (b > a + 1e-9) AS b_wins, count(*) FILTER (abs(a - b) <= 1e-9) AS ties, count(*) FILTER (p IS NOT DISTINCT FROM q) AS same_prediction, round(avg(a), 9) AS mean_a, round(avg(b), 9) AS mean_b, round(avg(greatest(a, b)), 9) AS oracle FROM s")
+def complementarity(t):
+    d = t.documents.select("doc_id", F.col("lang").alias("p"), F.when(F.col("source").contains("1"), "en").otherwise(F.col("lang")).alias("q"))
+    r = S.complementarity(t.labels.join(d, "doc_id"), "quality", "toxic", "p", "q")
+    return r.select(*[F.round(c, 9).alias(c) if c in ("mean_a", "mean_b", "oracle") else F.col(c) for c in r.columns])
+
+
 @query(f"WITH s AS (SELECT doc_id, quality, toxic, {_SCORE} AS score FROM labels), g AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS tau), v AS (SELECT tau, avg(CASE WHEN score >= tau THEN quality ELSE toxic END) AS m FROM s, g WHERE doc_id % 2 = 0 GROUP BY tau), b AS (SELECT tau FROM v ORDER BY round(m, 9) DESC, tau LIMIT 1) SELECT tau, count(*) AS n, round(avg(CASE WHEN score >= tau THEN quality ELSE toxic END), 9) AS mean FROM s, b WHERE doc_id % 2 = 1 GROUP BY tau")
 def tau_sweep(t):
     s = _scored(t)
@@ -150,13 +163,20 @@ def top_values(t):
     return g.where("rank <= 3")
 
 
-@query("WITH r AS (SELECT o_orderstatus, avg(o_totalprice) AS m FROM orders GROUP BY 1), f AS (SELECT m AS base FROM r ORDER BY o_orderstatus LIMIT 1) SELECT o_orderstatus, round(100 * (m - base) / base, 6) AS lift FROM r, f")
-def relative_lift(t):
-    from pyspark.sql import Window
+_LIFT = "SELECT o_orderstatus, CASE WHEN o_orderstatus <> first AND base > 0 THEN round(100 * (m - base) / base, 6) END AS lift, CASE WHEN o_orderstatus = first THEN '(base)' WHEN base > 0 THEN CASE WHEN m >= base THEN '+' ELSE '' END || printf('%.1f', 100 * (m - base) / base) || '%' ELSE 'N/A' END AS label FROM r, f"
+
 
+@query(f"WITH r AS (SELECT o_orderstatus, avg(o_totalprice) AS m FROM orders GROUP BY 1), f AS (SELECT m AS base, o_orderstatus AS first FROM r ORDER BY o_orderstatus LIMIT 1) {_LIFT}")
+def relative_lift(t):
     r = t.orders.groupBy("o_orderstatus").agg(F.avg("o_totalprice").alias("m"))
-    base = F.first_value("m").over(Window.partitionBy(F.lit(1)).orderBy("o_orderstatus").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return r.select("o_orderstatus", F.round(100 * (F.col("m") - base) / base, 6).alias("lift"))
+    return S.relative_lift(r, "o_orderstatus", "m").select("o_orderstatus", F.round("lift", 6).alias("lift"), "label")
+
+
+@query(f"WITH r AS (SELECT o_orderstatus, avg(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END) AS m FROM orders GROUP BY 1), f AS (SELECT m AS base, o_orderstatus AS first FROM r ORDER BY o_orderstatus LIMIT 1) {_LIFT}")
+def lift_without_base(t):
+    """The first run's value is 0, so lifts are not available."""
+    r = t.orders.groupBy("o_orderstatus").agg(F.avg(F.when(F.col("o_orderstatus") == "F", 0.0).otherwise(F.col("o_totalprice"))).alias("m"))
+    return S.relative_lift(r, "o_orderstatus", "m").select("o_orderstatus", F.round("lift", 6).alias("lift"), "label")
 
 
 @query("SELECT CASE WHEN json_extract(props, '$.k')::INT >= 50 THEN 'hi' ELSE 'lo' END AS half, event_type, count(*) AS n, sum(json_extract(props, '$.k')::INT)::BIGINT AS k_sum FROM events GROUP BY 1, 2")
