@@ -191,7 +191,7 @@ def json_text(s: Column) -> Column:
     def one(c):
         n = F.ascii(c).cast("long")
         pair = F.concat(hex4(F.shiftright(n - 0x10000, 10) + 0xD800), hex4((n - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00))
-        return F.coalesce(F.try_element_at(short, c), F.when((n >= 32) & (n < 127), c).when(n > 0xFFFF, pair).when(n == 127, c).otherwise(hex4(n)))
+        return F.coalesce(F.try_element_at(short, c), F.when((n >= 32) & (n < 127), c).when(n > 0xFFFF, pair).otherwise(hex4(n)))
 
     chars = F.filter(F.split(s, ""), lambda c: c != "")
     return F.concat(F.lit('"'), F.array_join(F.transform(chars, one), ""), F.lit('"'))

@@ -59,7 +59,7 @@ def mlp_router(train: DataFrame, features: list[str], label: str, weight: str, k
     return Pipeline(stages=[*_assemble(features, True), net]).fit(resample(train, weight, key))
 
 
-def gbt_router(train: DataFrame, features: list[str], label: str, weight: str, trees: int = 40):
+def gbt_router(train: DataFrame, features: list[str], label: str, weight: str, trees: int = 300):
     m = GBTClassifier(labelCol=label, weightCol=weight, maxIter=trees, maxDepth=3, stepSize=0.05, seed=0)
     return Pipeline(stages=[*_assemble(features), m]).fit(train)
 
@@ -104,7 +104,7 @@ def logistic_router(train: DataFrame, features: list[str], label: str, weight: s
     return Pipeline(stages=[*_assemble(features, True), LogisticRegression(labelCol=label, weightCol=weight)]).fit(train)
 
 
-def abstention(train: DataFrame, features: list[str], outcome: str, trees: int = 40):
+def abstention(train: DataFrame, features: list[str], outcome: str, trees: int = 300):
     return Pipeline(stages=[*_assemble(features), GBTRegressor(labelCol=outcome, maxIter=trees, maxDepth=3, stepSize=0.05, seed=0)]).fit(train)
 
 

@@ -141,4 +141,6 @@ def weighted_resample(t):
 @query("WITH d AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM d")
 def ols_fit(t):
     d = t.embeddings.select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return d.agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.round(F.regr_r2("y", "x"), 6).alias("r2"))
+    (slope,), intercept, r2 = U.ols(d, ["x"], "y")
+    one = F.struct(*[F.lit(round(v, 6)).alias(n) for n, v in (("slope", slope), ("intercept", intercept), ("r2", r2))])
+    return t.spark.range(1).select(one.alias("m")).select("m.*")
