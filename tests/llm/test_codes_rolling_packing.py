@@ -241,3 +241,14 @@ def test_long_rows_are_tokenized_in_parts(monkeypatch):
 
 def test_packing_empty(spark):
     assert packing.pack_report(spark.createDataFrame([], "doc_id long, text string"), P.path("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<script " * 131072, "<![CDATA[" * 116508, "<p>" * 170000 + "</div>" * 85000, "<b>" * 150000 + "x<br>" * 100000, "<div " + "a" * 1048576 + " =>x", '<script "<script" ' * 58000], ids=["script", "cdata", "stray", "inline", "letters", "quotes"])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    from weftline.llm import htmlmain
+
+    began = time.process_time()
+    htmlmain.extract(page)
+    assert time.process_time() - began < 8

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -27,10 +28,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import small_arrow_batches
 
 WINDOW, SURGE = 3, 80
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.S)
-_RAW = re.compile(r"<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|datalist|textarea|button|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>")
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_RAW = re.compile(r"<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|datalist|textarea|button|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -76,9 +76,30 @@ def _off(tag: str, raw: str, inside: bool) -> int:
     return int("header" in words and not inside and not words & _ARTICLE)
 
 
+def _uncommented(page: str) -> str:
+    """The page without comments (to the end, if not closed), CDATA sections, declarations and instructions, by one scan."""
+    out, at, last_section, last = [], 0, page.rfind("]]>"), page.rfind(">")
+    for m in re.finditer("<[!?]", page):
+        start = m.start()
+        if start < at:
+            continue
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", start) and start + 9 <= last_section:
+            end = page.find("]]>", start + 9) + 3
+        elif start + 2 <= last:
+            end = page.find(">", start + 2) + 1
+        else:
+            break
+        out.append(page[at:start])
+        at = end
+    return "".join([*out, page[at:]])
+
+
 def lines(page: str) -> tuple[list[Line], bool]:
     """The lines of a page and whether it has an article or main; each tag is looked at a fixed number of times."""
-    page = _RAW.sub(" ", _COMMENT.sub("", page))
+    page = _RAW.sub(" ", _uncommented(page))
     tags = [(m.start(), m.end(), bool(m[1]), m[2].lower(), m[3]) for m in _TAG.finditer(page)]
     ends: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
@@ -101,14 +122,15 @@ def lines(page: str) -> tuple[list[Line], bool]:
     buf: list[str] = []
     linked, at, in_link, inside, until = 0, 0, 0, 0, -1
     stack: list[str] = []
+    blocks: list[str] = []
+    held: Counter[str] = Counter()
     seen = False
 
     def flush():
         nonlocal linked
         got = _SPACE.sub(" ", _html.unescape("".join(buf))).strip()
         if got:
-            tag = next((t for t in reversed(stack) if t in _BLOCK), "")
-            out.append(Line(got, min(linked, len(got)), tag, until >= 0, inside > 0))
+            out.append(Line(got, min(linked, len(got)), blocks[-1] if blocks else "", until >= 0, inside > 0))
         buf.clear()
         linked = 0
 
@@ -126,9 +148,12 @@ def lines(page: str) -> tuple[list[Line], bool]:
         if close:
             if tag == "a":
                 in_link = 0
-            if tag in stack:
-                while stack.pop() != tag:
-                    pass
+            last = None
+            while held[tag] and last != tag:
+                last = stack.pop()
+                held[last] -= 1
+                if last in _BLOCK:
+                    blocks.pop()
             if tag in ("article", "main") and inside:
                 inside -= 1
             continue
@@ -146,6 +171,9 @@ def lines(page: str) -> tuple[list[Line], bool]:
             seen = seen or until < 0
             inside += 1
         stack.append(tag)
+        held[tag] += 1
+        if tag in _BLOCK:
+            blocks.append(tag)
     buf.append(page[at:])
     flush()
     return out, seen
