@@ -49,12 +49,16 @@ def _idf(n: int, df: int) -> float:
     return math.log((n + 1) / (df + 1)) + 1
 
 
-def term_weights(files: DataFrame) -> tuple[dict[str, float], int]:
-    """idf of each template term over all files, and the number of files."""
-    n = files.count()
-    own = F.array_intersect(_words(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, VOCAB)))
-    df = {r["t"]: r["count"] for r in files.select(F.explode(own).alias("t")).groupBy("t").count().collect()}
-    return {t: _idf(n, df.get(t, 0)) for t in VOCAB}, n
+def frequencies(files: DataFrame) -> DataFrame:
+    """(t, df): in how many files each word is; words are counted within tasks before they are shuffled."""
+    held = files.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("t"))
+    return held.groupBy("t").agg(F.count("*").alias("df"))
+
+
+def term_weights(counts: DataFrame, n: int) -> dict[str, float]:
+    """idf of each template term, from the frequencies of all words in n files."""
+    df = {r["t"]: r["df"] for r in counts.where(F.col("t").isin(VOCAB)).collect()}
+    return {t: _idf(n, df.get(t, 0)) for t in VOCAB}
 
 
 def _texts(long: bool) -> list[str]:
@@ -104,11 +108,13 @@ def parts(files: DataFrame, idf: dict[str, float]) -> Column:
 
 def own_license(files: DataFrame) -> DataFrame:
     """The files without text, with __row, license string and similarity double of each row's own text (null and 0 if none)."""
-    idf, n = term_weights(files)
+    n = files.count()
+    counts = stage(frequencies(files), "df")
+    idf = term_weights(counts, n)
     tag = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)", 1), F.lit(""))
     rows = stage(files.withColumns({"__row": F.monotonically_increasing_id(), "__parts": parts(files, idf), "__tag": tag}).drop("text"), "rows")
     own = rows.where("size(__parts) > 0").select("__row", F.explode("__parts").alias("line"))
-    scores = _scores(own.select("line").distinct(), files, idf, n)
+    scores = _scores(own.select("line").distinct(), counts, idf, n)
     best = stage(lookup_join(own, scores, "line", "inner").groupBy("__row").agg(F.max("best").alias("__best")), "best")
     out = lookup_join(rows.drop("__parts"), best, "__row")
     hit = F.col("__best.s") >= SIMILARITY
@@ -118,15 +124,11 @@ def own_license(files: DataFrame) -> DataFrame:
     return out.withColumns({"license": F.coalesce("__tag", near), "similarity": score}).drop("__best", "__tag")
 
 
-def _scores(lines: DataFrame, files: DataFrame, idf: dict[str, float], n: int) -> DataFrame:
-    """(line, best): the largest cosine s of each line to a template and -i of that template.
-
-    Document frequencies are counted over all files for all words of the lines.
-    """
+def _scores(lines: DataFrame, counts: DataFrame, idf: dict[str, float], n: int) -> DataFrame:
+    """(line, best): the largest cosine s of each line to a template and -i of that template; counts has the frequencies of all words."""
     tf = stage(lines.select("line", F.explode(_words(F.col("line"))).alias("t")).groupBy("line", "t").agg(F.count("*").alias("tf")), "tf")
     words = stage(tf.select("t").distinct(), "words")
-    held = files.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("t"))
-    df = stage(lookup_join(held, words, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df")), "df")
+    df = stage(lookup_join(counts, words, "t", "left_semi"), "df")
     weight = F.log((n + 1) / (F.col("df") + 1)) + 1
     dots, sizes = [], []
     for i, (_, x) in enumerate(TEMPLATES, 1):
