@@ -252,3 +252,28 @@ def test_broken_markup_takes_linear_time(page):
     began = time.process_time()
     htmlmain.extract(page)
     assert time.process_time() - began < 8
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
+def test_counts_never_part_a_linked_pair(num, den):
+    """Pairs at the threshold, in one size class and in two, with few and many counters, hashes that fall together, and copies."""
+    from weftline.llm import setjoin
+
+    t, r = setjoin.Threshold(num, den), np.random.default_rng(num)
+    apart = 0
+    for n in (1, 2, 9, 10, 64, 500, 3000, 9000, 40000):
+        for hot in (False, True):
+            base = r.integers(0, 2**63, n, dtype=np.uint64)
+            base = np.unique(base << np.uint64(30)) if hot else np.unique(base)
+            for more in (0, (den - num) * len(base) // num, (den - num) * len(base) // num // 2):
+                other = np.unique(np.concatenate([base, r.integers(0, 2**63, more, dtype=np.uint64)]))
+                union = len(np.union1d(base, other))
+                assert den * len(np.intersect1d(base, other)) >= num * union
+                counts = setjoin.count_matrix([setjoin.counts_of(base, t), setjoin.counts_of(other, t)])
+                assert setjoin.near_forest(counts, np.array([len(base), len(other)]), t) == [(0, 1)]
+        if n >= 64:
+            pair = [np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(2)]
+            pair[1] = np.unique(np.concatenate([pair[1][: n // 2], pair[0][: n // 2]]))
+            counts = setjoin.count_matrix([setjoin.counts_of(x, t) for x in pair])
+            apart += not setjoin.near_forest(counts, np.array([len(x) for x in pair]), t)
+    assert apart == 5  # sets half alike are told apart at every size

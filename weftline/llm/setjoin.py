@@ -3,8 +3,8 @@
 Method: set-relation skipping. Each set is cut by a hash of its elements into blocks of the token order, and
 index lists are kept by (size class, block position, content of the block): when two sets differ in at most d
 elements, more blocks than d cannot all be hit, so a linked pair meets in the list of an untouched block, and
-every list of other positions or contents is skipped whole. Inside a list, MinHash bytes drop pairs far below
-the threshold (a linked one with a chance of 1e-9 at most). In the groups that remain, a set's overlaps are derived from the
+every list of other positions or contents is skipped whole. Inside a list, counts of elements by hash drop pairs far below
+the threshold: two sets differ in at least as many elements as their counts differ by, so no linked pair is lost. In the groups that remain, a set's overlaps are derived from the
 computed overlaps of a highly similar set (its leader): bounds skip it entirely, or only the few elements in
 which the two differ are counted.
 
@@ -18,7 +18,6 @@ equal sets are always linked. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +28,8 @@ from pyspark.sql import functions as F
 from weftline.llm import kernel as K
 from weftline.llm.common import connected_components, lookup_join, shuffle_partitions, small_arrow_batches, stage
 
-MINHASHES = 64
-#: Most chance that MinHash bytes drop a pair at the threshold; a smaller one lets passages chain documents into large groups.
-LOST = 1e-9
+#: Fewest and most counters of a set.
+COUNTERS = (64, 4096)
 #: Members of a list or group compared in one task; larger ones are compared as pairs of such blocks.
 BLOCK = 2048
 
@@ -42,16 +40,18 @@ class Threshold:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.ends = [self._largest(1)]
-        self.cut = self._bytes()
+        apart = (den - num) / (den + num)
+        #: Counters an element, so that the counts of sets half alike differ by more than linked sets may.
+        self.dense = 2 * (1.3 * apart / 0.57) ** 2
 
-    def _bytes(self) -> int:
-        """The most equal MinHash bytes that a pair at the threshold reaches but for a chance of LOST."""
-        t, below = self.num / self.den, 0.0
-        for c in range(MINHASHES + 1):
-            below += math.comb(MINHASHES, c) * t**c * (1 - t) ** (MINHASHES - c)
-            if below > LOST:
-                return c
-        return MINHASHES
+    def counters(self, k: int) -> int:
+        """How many counters sets of class k have: a power of two."""
+        want = int(self.ends[k] * self.dense)
+        return min(COUNTERS[1], max(COUNTERS[0], 1 << max(0, want - 1).bit_length()))
+
+    def apart(self, total):
+        """Most elements by which the two sets of a linked pair differ, whose sizes add up to total."""
+        return total * (self.den - self.num) // (self.den + self.num)
 
     def _largest(self, a: int) -> int:
         return a * self.den // self.num
@@ -82,23 +82,29 @@ def _sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield first, n, h
 
 
-def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, hi, lo, sk): size, two sums that name the set, and MinHash bytes."""
+def counts_of(u: np.ndarray, t: Threshold) -> bytes:
+    """How many elements of a set fall to each counter, at most 255."""
+    if not len(u):
+        return b""
+    n = t.counters(t.size_class(len(u)))
+    return np.minimum(np.bincount(((u >> np.uint64(20)) % np.uint64(n)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def profiles(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """(doc_id, n, hi, lo, sk): size, two sums that name the set, and its counts by hash."""
     small_arrow_batches(docs.sparkSession)
 
     def run(batches):
-        mult = K.multipliers(MINHASHES)
         for b in batches:
             ids, n_all, hi, lo, sk = b.column(0), [], [], [], []
             for _, counts, h in _sets(b.column(1), k):
-                m = K.minima(counts, h, mult)
-                sk += [r.tobytes() for r in ((m >> np.uint64(24)) & np.uint64(255)).astype(np.uint8)]
                 at = np.cumsum(counts) - counts
                 for a, c in zip(at.tolist(), counts.tolist(), strict=True):
                     u = np.unique(h[a : a + c])
                     n_all.append(len(u))
                     hi.append(u.sum(dtype=np.uint64))
                     lo.append(K.mix(u ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
+                    sk.append(counts_of(u, t))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n_all, pa.int64()), pa.array(_i64(np.array(hi, np.uint64))), pa.array(_i64(np.array(lo, np.uint64))), pa.array(sk, pa.binary())], names=["doc_id", "n", "hi", "lo", "sk"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, sk binary")
@@ -236,13 +242,22 @@ class Union:
             self.edges.append((x, y))
 
 
-def sketch_forest(sk: np.ndarray, cut: int) -> list[tuple[int, int]]:
-    """Edges that connect what all pairs with at least cut equal bytes connect."""
-    if len(sk) == 2:
-        return [(0, 1)] if int((sk[0] == sk[1]).sum()) >= cut else []
-    u = Union(len(sk))
-    for x in range(len(sk)):
-        for y in np.flatnonzero(((sk == sk[x]).sum(1) >= cut) & (u.root != u.root[x])):
+def count_matrix(rows: list[bytes]) -> np.ndarray:
+    """The counts of sets side by side, over the fewest counters that one of them has (counts at 255 may be more, which only brings sets nearer)."""
+    low = min(map(len, rows))
+    out = np.empty((len(rows), low), np.int16)
+    for i, r in enumerate(rows):
+        out[i] = np.minimum(np.frombuffer(r, np.uint8).reshape(-1, low).sum(axis=0, dtype=np.int64), 255)
+    return out
+
+
+def near_forest(counts: np.ndarray, size: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Edges that connect what all pairs connect whose counts do not differ by more than those of a linked pair may."""
+    u = Union(len(counts))
+    for x in range(len(counts) - 1):
+        todo = np.flatnonzero(u.root[x + 1 :] != u.root[x]) + x + 1
+        todo = todo[np.abs(counts[todo] - counts[x]).sum(axis=1, dtype=np.int64) <= t.apart(size[todo] + size[x])] if len(todo) else todo
+        for y in todo:
             u.join(x, int(y))
     return u.edges
 
@@ -302,21 +317,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """(doc_id, n_shingles, component_id) of every row of documents(doc_id, text)."""
     spark = docs.sparkSession
     t = Threshold(num, den)
-    prof = stage(profiles(docs, k), "profile")
+    prof = stage(profiles(docs, k, t), "profile")
     sets = prof.where("n > 0 and doc_id is not null")
     classes = sets.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
     copies = stage(sets.join(classes.where("c > 1"), ["n", "hi", "lo"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
     reps = sets.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    reps = reps.select("doc_id", "sk")
+    reps = reps.select("doc_id", "n", "sk")
 
     lists = stage(shared_lists(docs.select("doc_id", "text"), k, t).join(reps, "doc_id"), "lists")
-    lists = in_blocks(lists, "list", _large(lists, "list")).select("list", "b1", "b2", "doc_id", "sk")
+    lists = in_blocks(lists, "list", _large(lists, "list")).select("list", "b1", "b2", "doc_id", "n", "sk")
 
     def near(batches):
         for g in groups(batches, 3):
             if g.num_rows > 1:
-                sk = np.frombuffer(b"".join(g.column(4).to_pylist()), np.uint8).reshape(g.num_rows, -1)
-                if e := sketch_forest(sk, t.cut):
+                if e := near_forest(count_matrix(g.column(5).to_pylist()), g.column(4).to_numpy(), t):
                     yield _edges(g.column(3).to_numpy(), e)
 
     parts = shuffle_partitions(spark)
