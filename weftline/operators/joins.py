@@ -132,13 +132,8 @@ def shared(pairs: DataFrame, sets: DataFrame, owner: str, element: str) -> DataF
     return x.join(sets.select(F.col(owner).alias("y"), element), ["y", element]).groupBy("x", "y").agg(F.count("*").alias("inter"))
 
 
-def similar_pairs(sets: DataFrame, owner: str, element: str, least: float) -> DataFrame:
-    """(a, b, inter, jaccard) of all pairs of owners with Jaccard least (above 0) of their full sets, by an exact prefix filter.
-
-    Owners of identical sets are one class, for which its smallest owner stands. Elements are put in one order, rare ones
-    first; two sets of Jaccard t share one of the first n - ceil(t n) + 1 elements of each, so classes are joined on those.
-    Candidates that their places in the order still allow are settled by the full sets.
-    """
+def _similar_classes(sets: DataFrame, owner: str, element: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(member, both): member(rep, o, n) names the class of each owner by its smallest owner; both(x, y, inter, jaccard) are the pairs of classes."""
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
     s = sets.select(owner, element).where(F.col(element).isNotNull() & F.col(owner).isNotNull()).distinct()
@@ -162,12 +157,39 @@ def similar_pairs(sets: DataFrame, owner: str, element: str, least: float) -> Da
     both = met.join(full.select(F.col("rep").alias("x"), F.col("es").alias("es_x")), "x").join(full.select(F.col("rep").alias("y"), F.col("es").alias("es_y")), "y")
     both = both.withColumn("inter", F.size(F.array_intersect("es_x", "es_y")).cast("long")).drop("es_x", "es_y")
     both = both.withColumn("jaccard", F.col("inter") / (F.col("n_x") + F.col("n_y") - F.col("inter"))).where(F.col("jaccard") >= least)
+    return member, both
+
+
+def similar_pairs(sets: DataFrame, owner: str, element: str, least: float) -> DataFrame:
+    """(a, b, inter, jaccard) of all pairs of owners with Jaccard least (above 0) of their full sets, by an exact prefix filter.
+
+    Owners of identical sets are one class, for which its smallest owner stands. Elements are put in one order, rare ones
+    first; two sets of Jaccard t share one of the first n - ceil(t n) + 1 elements of each, so classes are joined on those.
+    Candidates that their places in the order still allow are settled by the full sets.
+    """
+    member, both = _similar_classes(sets, owner, element, least)
     a, b = member.select(F.col("rep").alias("x"), F.col("o").alias("a"), "n"), member.select(F.col("rep").alias("y"), F.col("o").alias("b"))
     same = a.join(b, F.col("x") == F.col("y")).where("a < b").select("a", "b", F.col("n").alias("inter"), F.lit(1.0).alias("jaccard"))
     near = both.join(a.drop("n"), "x").join(b, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "inter", "jaccard")
     return same.union(near)
 
 
+def similar_links(sets: DataFrame, owner: str, element: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(owners, classes): what similar_pairs finds, without the pairs of copies.
+
+    owners(owner, class_id, size, links): each owner with its class of identical sets (its smallest owner), the class's size and the
+    owners of Jaccard least or more, itself left out. classes(a, b, inter, jaccard): pairs of different classes. Rows grow with owners and pairs
+    of different sets.
+    """
+    member, both = _similar_classes(sets, owner, element, least)
+    both = _cut(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "inter", "jaccard"))
+    size = member.groupBy("rep").agg(F.count("*").alias("size"))
+    ends = both.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(both.select("b", "a"))
+    far = ends.join(size.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("far"))
+    own = size.join(far, "rep", "left").select("rep", "size", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    return member.join(own, "rep").select(F.col("o").alias(owner), F.col("rep").alias("class_id"), "size", "links"), both
+
+
 def nearest(left: DataFrame, right: DataFrame, by: str, lkey: str, rkey: str, rid: str) -> DataFrame:
     """Adds near (right rid) and delta: the closest right key of the same group; ties go to the earlier key, then the smaller id.
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 BLOCK, HELD = 2048, 65_536
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int, by: str | None = None) -> DataFrame:
+def knn(queries: DataFrame, index: DataFrame, k: int, masked: bool = False) -> DataFrame:
     """(q_id, t_id, t_label, sim, rank) for queries(q_id, v) against index(t_id, t_label, v), unit vectors.
 
     Both sides are dealt to blocks of some HELD rows, as many as their counts ask for, and every block of queries meets
     every block of the index in a task of its own; each keeps its own k best, so one shuffle of k rows a query and
     block gives the answer. Ties: lower t_id. Matrix products find candidates, doubles summed in order decide.
-    With by, both sides have that column and rows meet only within equal values of it.
+    masked: queries have an array allow of groups (null: all) and the index has t_group; a query meets only index rows of its groups, which are
+    picked out inside the task, so neither side is copied for the mask. A query without such rows has no result.
     """
     n_q, n_t = max(1, -(-queries.count() // HELD)), max(1, -(-index.count() // HELD))
     n_q, n_t = max(n_q, min(8, n_q * n_t * 8)), n_t
@@ -25,28 +26,33 @@ def knn(queries: DataFrame, index: DataFrame, k: int, by: str | None = None) ->
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = deal(queries, "q_id", "bq", n_q).withColumn("bt", every(n_t))
     t = deal(index, "t_id", "bt", n_t).withColumn("bq", every(n_q))
-    keys = ["bq", "bt"] + ([by] if by else [])
+    keys = ["bq", "bt"]
 
     def top(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _SCHEMA.empty_table()
         a, ids, rows = _matrix(left["v"]), right["t_id"].to_numpy(), _matrix(right["v"])
         more = min(k + 8, len(rows))
+        barred = _barred(left["allow"], right["t_group"]) if masked else None
         parts = []
         for start in range(0, len(a), BLOCK):
             x = a[start : start + BLOCK]
+            out_of = None if barred is None else barred(start, start + len(x))
             best_s, best_i = np.full((len(x), 0), 0.0), np.zeros((len(x), 0), np.int64)
             for at in range(0, len(rows), BLOCK):
-                s = np.hstack([best_s, x @ rows[at : at + BLOCK].T])
+                now = x @ rows[at : at + BLOCK].T
+                if out_of is not None:
+                    now[out_of[:, at : at + BLOCK]] = -np.inf
+                s = np.hstack([best_s, now])
                 i = np.hstack([best_i, np.broadcast_to(np.arange(at, min(at + BLOCK, len(rows))), (len(x), min(BLOCK, len(rows) - at)))])
                 order = np.lexsort((ids[i], -np.round(s, 12)), axis=1)[:, :more]
                 best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            exact = np.einsum("ij,ikj->ik", x, rows[best_i])
+            exact = np.where(best_s == -np.inf, -np.inf, np.einsum("ij,ikj->ik", x, rows[best_i]))
             order = np.lexsort((ids[best_i], -np.round(exact, 12)), axis=1)[:, :k]
             parts.append((np.take_along_axis(exact, order, 1), np.take_along_axis(best_i, order, 1)))
         best_s, best_i = np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
         out = [pa.array(np.repeat(left["q_id"].to_numpy(), best_s.shape[1])), pa.array(ids[best_i].ravel()), right["t_label"].take(pa.array(best_i.ravel())).combine_chunks(), pa.array(best_s.ravel())]
-        return pa.Table.from_arrays(out, schema=_SCHEMA)
+        return pa.Table.from_arrays(out, schema=_SCHEMA).filter(pa.array(best_s.ravel() > -np.inf))
 
     part = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(top, "q_id long, t_id long, t_label int, sim double")
     w = Window.partitionBy("q_id").orderBy(F.round("sim", 12).desc(), "t_id")
@@ -59,12 +65,25 @@ def knn_masked(queries: DataFrame, index: DataFrame, allowed: DataFrame, k: int)
     queries(q_id, q_group, v), index(t_id, t_label, t_group, v), allowed(q_group, t_group).
     """
     size = index.groupBy("t_group").agg(F.count("*").alias("n"))
-    groups = queries.select("q_group").distinct()
-    held = allowed.distinct().join(size, "t_group").groupBy("q_group").agg(F.sum("n").alias("n")).where(F.col("n") >= k).select("q_group")
-    some = allowed.distinct().join(held, "q_group").join(groups, "q_group")
-    masked = index.join(some, "t_group").select("t_id", "t_label", "v", "q_group")
-    near = knn(queries.join(held, "q_group", "left_semi").select("q_id", "v", "q_group"), masked, k, "q_group")
-    return near.unionByName(knn(queries.join(held, "q_group", "left_anti").select("q_id", "v"), index.select("t_id", "t_label", "v"), k))
+    allowed = allowed.distinct()
+    held = allowed.join(size, "t_group").groupBy("q_group").agg(F.sum("n").alias("n"), F.collect_list("t_group").alias("allow")).where(F.col("n") >= k)
+    asked = queries.join(held.select("q_group", "allow"), "q_group", "left").select("q_id", "v", "allow")
+    return knn(asked, index.select("t_id", "t_label", "t_group", "v"), k, masked=True)
+
+
+def _barred(allow: pa.ChunkedArray, groups: pa.ChunkedArray):
+    """A function of a range of queries that gives where (query, index row) is outside the query's groups; a row a different list."""
+    coded = groups.combine_chunks().dictionary_encode()
+    code = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+    place = {g: i for i, g in enumerate(coded.dictionary.to_pylist())}
+    lists: dict = {}
+    own = np.array([lists.setdefault(None if x is None else tuple(x), len(lists)) for x in allow.to_pylist()])
+    table = np.zeros((len(lists), len(place) + 1), bool)
+    for x, i in lists.items():
+        if x is not None:
+            table[i] = True
+            table[i, [place[g] for g in x if g in place]] = False
+    return lambda a, b: table[own[a:b]][:, code]
 
 
 def similar_groups(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
