@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.names import STOP, digest_tokens
@@ -101,40 +101,53 @@ def _any(line: Column, parts) -> Column:
     return out
 
 
+def _class_of(line: Column, size: Column, imm: Column, op: Column) -> Column:
+    """The type token of a statement without its number, of its operand size, immediate bucket and arithmetic class."""
+    name = F.regexp_extract(line, r"call\s+@(\w+)(?::external)?", 1)
+    put, mem, store = line.contains(":="), line.contains("mem"), line.contains("<-")
+    cat = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    out = F.when(line == "", None)
+    out = out.when(name != "", F.when(name.rlike("^sub_[0-9a-fA-F]+(sub_|$)"), "CALL_INTERNAL").otherwise(cat("CALL_", name)))
+    out = out.when(line.rlike(r"call\s+(?:mem|#\d|R[A-Z])"), "CALL_INDIRECT")
+    out = out.when(line.rlike(r"\breturn\b") & ~line.contains("call"), "RETURN")
+    branch = F.coalesce(*[F.when(line.contains(f), F.lit(f"COND_BRANCH_{f}")) for f in FLAGS], F.lit("COND_BRANCH"))
+    out = out.when(line.contains("when"), branch).when(line.contains("goto"), "BRANCH")
+    for f in FLAGS:
+        out = out.when(line.startswith(f + " ") | line.startswith(f + ":"), f"FLAG_{f}")
+    stack = F.when(put & mem & ~store, cat("STACK_LOAD", size)).when(mem & store, cat("STACK_STORE", size)).when(put, "STACK_OP").otherwise("STACK_ACCESS")
+    out = out.when(_any(line, STACK), stack)
+    arg, res = _any(line, ARGUMENTS), _any(line, RESULTS)
+    write = F.when(arg, cat("MEM_WRITE_ARG", size)).when(res, cat("MEM_WRITE_RET", size)).when(imm != "", cat("MEM_WRITE_IMM", imm, size)).otherwise(cat("MEM_WRITE", size))
+    read = F.when(arg, cat("MEM_READ_ARG", size)).when(res, cat("MEM_READ_RET", size)).when(imm == "_ADDR", cat("MEM_READ_GLOBAL", size)).otherwise(cat("MEM_READ", size))
+    out = out.when(mem & store, write).when(mem & put, read)
+    setup = F.when(op != "", cat("ARG_ARITH", op)).when(imm == "_ADDR", "ARG_LOAD_ADDR").when(imm != "", cat("ARG_SETUP", imm)).otherwise("ARG_SETUP")
+    value = F.when(op != "", cat("RET_ARITH", op)).when(imm == "_ADDR", "RET_LOAD_ADDR").otherwise("RETVAL")
+    out = out.when(put & arg, setup).when(put & res, value)
+    out = out.when(put & line.rlike(r"[-+*/^|&]|<<|>>"), cat("ARITH", op)).when(line.rlike("[<>]"), "COMPARE")
+    return out.when(put, cat("ASSIGN", imm, size)).otherwise("OTHER")
+
+
+def _statement(raw: Column) -> Column:
+    return F.trim(F.regexp_replace(raw, r"^[0-9a-fA-F]+:\s*", ""))
+
+
 def instruction_class(raw: Column) -> Column:
     """The type token of one statement, by the first rule that fits; null for an empty one.
 
-    Flags are tried in one fixed order, so that a statement of several flags has one class.
+    Flags are tried in one fixed order, so that a statement of several flags has one class. with_class says the same of a
+    table's column in generated code.
     """
     once = lambda value, f: F.transform(F.array(value), f)[0]
+    parts = lambda x: F.struct(x.alias("line"), operand_size(x).alias("size"), immediate_bucket(x).alias("imm"), arithmetic_class(x).alias("op"))
+    return once(_statement(raw), lambda x: once(parts(x), lambda s: _class_of(s["line"], s["size"], s["imm"], s["op"])))
 
-    def rules(s):
-        line, size, imm, op = s["line"], s["size"], s["imm"], s["op"]
-        name = F.regexp_extract(line, r"call\s+@(\w+)(?::external)?", 1)
-        put, mem, store = line.contains(":="), line.contains("mem"), line.contains("<-")
-        cat = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
-        out = F.when(line == "", None)
-        out = out.when(name != "", F.when(name.rlike("^sub_[0-9a-fA-F]+(sub_|$)"), "CALL_INTERNAL").otherwise(cat("CALL_", name)))
-        out = out.when(line.rlike(r"call\s+(?:mem|#\d|R[A-Z])"), "CALL_INDIRECT")
-        out = out.when(line.rlike(r"\breturn\b") & ~line.contains("call"), "RETURN")
-        branch = F.coalesce(*[F.when(line.contains(f), F.lit(f"COND_BRANCH_{f}")) for f in FLAGS], F.lit("COND_BRANCH"))
-        out = out.when(line.contains("when"), branch).when(line.contains("goto"), "BRANCH")
-        for f in FLAGS:
-            out = out.when(line.startswith(f + " ") | line.startswith(f + ":"), f"FLAG_{f}")
-        stack = F.when(put & mem & ~store, cat("STACK_LOAD", size)).when(mem & store, cat("STACK_STORE", size)).when(put, "STACK_OP").otherwise("STACK_ACCESS")
-        out = out.when(_any(line, STACK), stack)
-        arg, res = _any(line, ARGUMENTS), _any(line, RESULTS)
-        write = F.when(arg, cat("MEM_WRITE_ARG", size)).when(res, cat("MEM_WRITE_RET", size)).when(imm != "", cat("MEM_WRITE_IMM", imm, size)).otherwise(cat("MEM_WRITE", size))
-        read = F.when(arg, cat("MEM_READ_ARG", size)).when(res, cat("MEM_READ_RET", size)).when(imm == "_ADDR", cat("MEM_READ_GLOBAL", size)).otherwise(cat("MEM_READ", size))
-        out = out.when(mem & store, write).when(mem & put, read)
-        setup = F.when(op != "", cat("ARG_ARITH", op)).when(imm == "_ADDR", "ARG_LOAD_ADDR").when(imm != "", cat("ARG_SETUP", imm)).otherwise("ARG_SETUP")
-        value = F.when(op != "", cat("RET_ARITH", op)).when(imm == "_ADDR", "RET_LOAD_ADDR").otherwise("RETVAL")
-        out = out.when(put & arg, setup).when(put & res, value)
-        out = out.when(put & line.rlike(r"[-+*/^|&]|<<|>>"), cat("ARITH", op)).when(line.rlike("[<>]"), "COMPARE")
-        return out.when(put, cat("ASSIGN", imm, size)).otherwise("OTHER")
 
-    parts = lambda x: F.struct(x.alias("line"), operand_size(x).alias("size"), immediate_bucket(x).alias("imm"), arithmetic_class(x).alias("op"))
-    return once(F.trim(F.regexp_replace(raw, r"^[0-9a-fA-F]+:\s*", "")), lambda x: once(parts(x), rules))
+def with_class(rows: DataFrame, raw: str, out: str) -> DataFrame:
+    """Adds instruction_class of the column raw, by way of columns: what the rules ask for again and again is computed once a row."""
+    r = rows.withColumn("__line", _statement(F.col(raw)))
+    line = F.col("__line")
+    r = r.withColumns({"__size": operand_size(line), "__imm": immediate_bucket(line), "__op": arithmetic_class(line)})
+    return r.withColumn(out, _class_of(line, F.col("__size"), F.col("__imm"), F.col("__op"))).drop("__line", "__size", "__imm", "__op")
 
 
 def signature(blocks: Column) -> Column:

@@ -184,10 +184,11 @@ def best_jaccard(asked: DataFrame, classes: DataFrame) -> DataFrame:
     task but for the best score. Elements of one set only are in no subset. A subset goes by 96 bits of hashes.
     """
     df = classes.select("s").union(asked.select("s")).distinct().select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    classes, asked = _cut(_shared(classes, df)), _cut(_shared(asked, df))
-    equal = asked.join(classes.select("s", "n_h", "only"), "s").where((F.col("n_h") > 1) | (F.col("only") != F.col("g"))).select("s", "g", F.lit(1.0).alias("j"))
+    classes = _cut(_shared(classes, df))
+    asked = _cut(_shared(asked, df).withColumn("id", F.monotonically_increasing_id()))
+    equal = asked.join(classes.select("s", "n_h", "only"), "s").where((F.col("n_h") > 1) | (F.col("only") != F.col("g"))).select("id", F.lit(1.0).alias("j"))
     found = equal.unionByName(_best_subsets(asked, classes)).unionByName(_best_pairs(asked, classes))
-    return found.groupBy("s", "g").agg(F.max("j").alias("j"))
+    return asked.select("id", "s", "g").join(found.groupBy("id").agg(F.max("j").alias("j")), "id").select("s", "g", "j")
 
 
 def _shared(sets: DataFrame, df: DataFrame) -> DataFrame:
@@ -214,27 +215,32 @@ def _subsets(sets: DataFrame, *columns: str | Column) -> DataFrame:
 
 
 def _best_subsets(asked: DataFrame, classes: DataFrame) -> DataFrame:
-    """(s, g, j): the best score over the subsets of s, of sets that a group other than g holds."""
-    u = _subsets(classes, F.size("s").alias("n"), (F.col("n_h") > 1).alias("many"), F.when(F.col("n_h") == 1, F.col("only")).alias("only"))
+    """(id, j): the best score over the subsets of asked sets, of sets that a group other than g holds. All steps share one exchange by subset."""
+    u = _subsets(classes, F.size("s").alias("n"), (F.col("n_h") > 1).alias("many"), F.when(F.col("n_h") == 1, F.col("only")).alias("only")).repartition("u")
     by = u.groupBy("u", "many", "only").agg(F.min("n").alias("n"))
     first = by.groupBy("u").agg(F.min(F.when(F.col("many"), F.col("n"))).alias("several"), F.min(F.when(~F.col("many"), F.struct("n", "only"))).alias("sole"))
     # The second best sole holder answers those who are the first one themselves.
     other = by.join(first.where("sole is not null").select("u", F.col("sole.only").alias("o")), "u").where(~F.col("many") & (F.col("only") != F.col("o"))).groupBy("u").agg(F.min("n").alias("second"))
     index = first.join(other, "u", "left")
-    q = _subsets(asked.withColumn("n", F.size("s")), "s", "g", "n").withColumnRenamed("n", "n_s").join(index, "u")
+    q = _subsets(asked, "id", "g", F.size("s").alias("n_s")).join(index, "u")
     n = F.least("several", F.when(F.col("sole.only") != F.col("g"), F.col("sole.n")).otherwise(F.col("second")))
-    return q.select("s", "g", (F.col("k") / (F.col("n_s") + n - F.col("k"))).alias("j")).where("j is not null").groupBy("s", "g").agg(F.max("j").alias("j"))
+    return q.select("id", (F.col("k") / (F.col("n_s") + n - F.col("k"))).alias("j")).where("j is not null").groupBy("id").agg(F.max("j").alias("j"))
 
 
 def _best_pairs(asked: DataFrame, classes: DataFrame) -> DataFrame:
-    """The same for pairs of which one side is large and which share more than PARTIAL elements: one of them is not among the PARTIAL commonest of either."""
+    """(id, j): the same for pairs of which one side is large and which share more than PARTIAL elements: one of them is not among the PARTIAL commonest of either."""
     rare = F.explode(F.slice("c", F.lit(1), F.greatest(F.size("c") - PARTIAL, F.lit(0)))).alias("t")
-    a = asked.select("s", "g", "c", rare)
-    b = classes.select(F.col("c").alias("d"), F.size("s").alias("m"), "n_h", "only", rare)
+    bits = F.aggregate("c", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(t).bitwiseAND(F.lit(63)).cast("int"))))
+    # Two sets share no more elements than bits, and one for each element of a set whose bit another one of it has.
+    sides = [d.withColumn("z", bits).withColumn("y", F.size("c") - F.bit_count("z")) for d in (asked, classes)]
+    a = sides[0].select("id", "g", F.size("s").alias("n_s"), "c", "z", "y", rare)
+    b = sides[1].select(F.col("c").alias("d"), F.col("z").alias("z_d"), F.col("y").alias("y_d"), F.size("s").alias("m"), "n_h", "only", rare)
     big = lambda c: F.size(c) > WHOLE
-    met = a.where(big("c")).join(b, "t").unionByName(a.where(~big("c")).join(b.where(big("d")), "t")).where((F.col("n_h") > 1) | (F.col("only") != F.col("g")))
+    met = a.where(big("c")).join(b, "t").unionByName(a.where(~big("c")).join(b.where(big("d")), "t"))
+    enough = F.bit_count(F.col("z").bitwiseAND(F.col("z_d"))) + F.least("y", "y_d") > PARTIAL
+    met = met.where(enough & ((F.col("n_h") > 1) | (F.col("only") != F.col("g"))))
     inter = F.size(F.array_intersect("c", "d"))
-    return met.select("s", "g", (inter / (F.size("s") + F.col("m") - inter)).alias("j")).groupBy("s", "g").agg(F.max("j").alias("j"))
+    return met.select("id", "n_s", "m", inter.alias("i")).select("id", (F.col("i") / (F.col("n_s") + F.col("m") - F.col("i"))).alias("j")).groupBy("id").agg(F.max("j").alias("j"))
 
 
 def vocabulary_oracle(rows: DataFrame, train: DataFrame, key: str, name: str) -> DataFrame:

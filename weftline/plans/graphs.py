@@ -110,7 +110,7 @@ def instruction_classes(t):
     v = F.when(F.col("l_linenumber") == 1, F.col("l_suppkey") % 40).when(F.col("l_linenumber") == 2, F.col("l_orderkey") * 100).otherwise(F.col("l_partkey"))
     k = (F.col("l_orderkey") + F.col("l_partkey")) % len(_STATEMENTS)
     stmt = F.coalesce(*[F.when(k == i, F.format_string("0000001a: " + s, v)) for i, (s, _) in enumerate(_STATEMENTS)])
-    return t.lineitem.select(stmt.alias("stmt")).groupBy(C.instruction_class(F.col("stmt")).alias("cls")).agg(F.count("*").alias("n"))
+    return C.with_class(t.lineitem.select(stmt.alias("stmt")), "stmt", "cls").groupBy("cls").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE WHEN v = 0 THEN 'zero' WHEN v = 1 THEN 'one' WHEN bit_count(v) = 1 THEN 'pow2' WHEN v < 256 THEN 'small' WHEN v > 65535 THEN 'large' ELSE 'const' END AS cls, count(*) AS n FROM (SELECT l_orderkey * l_linenumber * 10 AS v FROM lineitem UNION ALL SELECT l_orderkey FROM lineitem) GROUP BY 1")
