@@ -214,17 +214,18 @@ def contained_builds(rows: DataFrame, least: float, min_total: int) -> DataFrame
 def duplicate_builds(rows: DataFrame, least: float = 0.95, min_total: int = 1) -> DataFrame:
     """(program, build, kept): a build is dropped if least of its multiset of hashes lies in one kept before it.
 
-    rows(program, build, tok, cnt). Builds of equal multisets (by 128 bits of hashes) are one class, which its first build decides: the
+    rows(program, build, tok, cnt). Builds of equal multisets (by 126 bits of summed hashes) are one class, which its first build decides: the
     others lie in it, or where it does. A build of which all containing builds are decided is decided: each round decides the first
     undecided build of every program at least, mostly all but long chains, by joins.
     """
     group = ["program", "build"]
-    rows = _cut(rows.groupBy(*group, "tok").agg(F.sum("cnt").alias("cnt")))
-    wide = lambda seed: F.sum(F.xxhash64("tok", "cnt", F.lit(seed)).cast("decimal(38,0)"))
-    same = rows.groupBy(*group).agg(wide(1).alias("h"), wide(2).alias("i"), F.sum("cnt").alias("n"))
-    first = same.groupBy("program", "h", "i", "n").agg(F.min("build").alias("first"))
-    builds = _cut(same.join(first, ["program", "h", "i", "n"]).select(*group, "n", "first"))
-    rows = _cut(rows.join(builds.where("build = first").select(*group), group, "left_semi"))
+    # The hash of a multiset is the sum of its elements' hashes, so lines need no count of their own first.
+    part = lambda seed: F.sum(F.shiftrightunsigned(F.xxhash64("tok", F.lit(seed)), 22).cast("decimal(14,0)") * F.col("cnt").cast("decimal(19,0)"))
+    same = _cut(rows.groupBy(*group).agg(*[part(i).alias(f"h{i}") for i in range(3)], F.sum("cnt").alias("n")))
+    kind = ["program", "h0", "h1", "h2", "n"]
+    builds = _cut(same.join(same.groupBy(*kind).agg(F.min("build").alias("first")), kind).select(*group, "n", "first"))
+    lead = builds.where("build = first").select(*group)
+    rows = _cut(rows.join(lead, group, "left_semi").groupBy(*group, "tok").agg(F.sum("cnt").alias("cnt")))
     decided = _first_builds(rows, least, min_total).withColumnRenamed("build", "first")
     copy = (F.col("build") > F.col("first")) & (F.col("n") >= min_total) & (F.lit(least) <= 1.0)
     return builds.join(decided, ["program", "first"]).select(*group, (F.col("kept") & ~copy).alias("kept"))
