@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import code as C
 from weftline.functions import names as N
 from weftline.operators import callgraph as G
+from weftline.operators import ir as I
 from weftline.operators import quality as Q
 from weftline.plans.base import registry
 
@@ -206,3 +207,38 @@ def reproduction(t):
 @query("SELECT quality = 1 AS a, toxic = 0 AS b, count(*) AS n, (quality = 1) IS NOT DISTINCT FROM (toxic = 0) AS agree FROM labels GROUP BY ALL")
 def flag_audit(t):
     return Q.disagreements(t.labels.select((F.col("quality") == 1).alias("x"), (F.col("toxic") == 0).alias("y")), "x", "y")
+
+
+# Orders as functions of seven binaries: each line a block that may jump back to the first one and goes on to the next.
+_IR = "l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem), b AS (SELECT 'b' || (o % 7) AS \"binary\", printf('sub_%x', o * 16 + 16) AS sub, row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS id, count(*) OVER (PARTITION BY o) AS m FROM l)"
+
+
+def _ir(t):
+    o, n = F.col("o"), F.col("n")
+    label = lambda n: F.format_string("%08x", o * 8 + n + 0x100000)
+    address = F.format_string(".address 0x%x", o * 16 + 16)
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_set("l_linenumber")).alias("ns"))
+    head = F.array(address, F.format_string("00000001: sub sub_%x()", o * 16 + 16))
+    first = label(F.get("ns", F.lit(0)))
+    body = F.transform("ns", lambda n, i: F.array(
+        address, F.concat(label(n), F.lit(":")), F.concat(F.lit("00000002: when ZF goto %"), first),
+        F.when(i + 1 < F.size("ns"), F.concat(F.lit("00000003: goto %"), label(F.get("ns", i + 1)))).otherwise("00000003: call @free with noreturn"),
+    ))
+    text = lines.select("o", F.posexplode(F.concat(head, F.flatten(body))).alias("at", "value"))
+    return I.parse(text.select(F.concat(F.lit("b"), o % 7).alias("binary"), (o * 1000 + F.col("at")).alias("line_no"), "value"))
+
+
+@query(f"WITH {_IR} SELECT \"binary\", sub, id, CASE WHEN id + 1 < m THEN 'COND_BRANCH_ZF BRANCH' ELSE 'COND_BRANCH_ZF CALL_free' END AS tokens, CASE WHEN id + 1 = m THEN 'free' END AS external FROM b")
+def ir_blocks(t):
+    return _ir(t).blocks.select("binary", "sub", F.col("id").cast("long").alias("id"), F.array_join("tokens", " ").alias("tokens"), "external")
+
+
+@query(f"WITH {_IR} SELECT \"binary\", sub, id AS src, 0 AS dst FROM b UNION SELECT \"binary\", sub, id, id + 1 FROM b WHERE id + 1 < m")
+def ir_edges(t):
+    return _ir(t).edges.select("binary", "sub", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+
+
+@query(f"WITH {_IR} SELECT \"binary\", sub, 'sub_addr' AS name_kind, ('0x' || substr(sub, 5))::BIGINT AS entry, count(*) AS num_blocks, 2 * count(*) AS n_stmts, 1 AS n_import_calls FROM b GROUP BY \"binary\", sub")
+def ir_functions(t):
+    f = _ir(t).functions
+    return f.select("binary", "sub", "name_kind", "entry", *[F.col(c).cast("long").alias(c) for c in ("num_blocks", "n_stmts", "n_import_calls")])
