@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from weftline.functions.names import canonical_name, normalize_name, split_name
 
 
+def _once(f, **values: Column) -> Column:
+    """f of values that are computed once a row, however often f uses them, inside its lambdas too."""
+    kept = F.struct(*[v.alias(name) for name, v in values.items()])
+    return F.transform(F.array(kept), lambda s: f(*[s[name] for name in values]))[0]
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
     count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    return _once(lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t))), a=a, b=b)
 
 
 def prf(pred: Column, true: Column) -> Column:
     """struct(tp, n_pred, n_true, precision, recall, f1) of sub-tokens; both empty 1, one empty 0."""
-    a, b = split_name(pred), split_name(true)
-    tp, n, m = multiset_overlap(a, b), F.size(a), F.size(b)
-    both, none = (n == 0) & (m == 0), (n == 0) | (m == 0) | (tp == 0)
-    p, r = tp / n, tp / m
-    pick = lambda x: F.when(both, 1.0).when(none, 0.0).otherwise(x)
-    return F.struct(tp.alias("tp"), n.alias("n_pred"), m.alias("n_true"), pick(p).alias("precision"), pick(r).alias("recall"), pick(2.0 * tp / (n + m)).alias("f1"))
+
+    def scores(tp, n, m):
+        both, none = (n == 0) & (m == 0), (n == 0) | (m == 0) | (tp == 0)
+        p, r = tp / n, tp / m
+        pick = lambda x: F.when(both, 1.0).when(none, 0.0).otherwise(x)
+        return F.struct(tp.alias("tp"), n.alias("n_pred"), m.alias("n_true"), pick(p).alias("precision"), pick(r).alias("recall"), pick(2.0 * tp / (n + m)).alias("f1"))
+
+    return _once(lambda a, b: _once(scores, tp=multiset_overlap(a, b), n=F.size(a), m=F.size(b)), a=split_name(pred), b=split_name(true))
 
 
 def set_f1(a: Column, b: Column) -> Column:
@@ -45,14 +53,14 @@ def char_ngrams(s: Column, n: int = 3) -> Column:
 
 
 def char_ngram_dice(pred: Column, true: Column, n: int = 3) -> Column:
-    a, b = normalize_name(pred), normalize_name(true)
-    x, y = char_ngrams(a, n), char_ngrams(b, n)
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+    dice = lambda x, y: 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
+    of = lambda a, b: F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(_once(dice, x=char_ngrams(a, n), y=char_ngrams(b, n)))
+    return _once(of, a=normalize_name(pred), b=normalize_name(true))
 
 
 def edit_similarity(pred: Column, true: Column) -> Column:
-    a, b = normalize_name(pred), normalize_name(true)
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+    like = lambda a, b: F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+    return _once(like, a=normalize_name(pred), b=normalize_name(true))
 
 
 def exact_match(pred: Column, true: Column) -> Column:

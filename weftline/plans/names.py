@@ -21,7 +21,9 @@ def _names(t) -> DataFrame:
 
 
 def _pairs(t) -> DataFrame:
-    n = _names(t).select("p_partkey", "name")
+    # Names are few bytes and much work: dealt to a fixed number of tasks, as a small file or exchange is read by one or two.
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _names(t).select("p_partkey", "name").repartition(tasks, "p_partkey")
     return n.join(n.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("name").alias("true")), "p_partkey").withColumnRenamed("name", "pred")
 
 
