@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of queries and of the index multiplied at a time, and rows of either that a task holds.
-BLOCK, HELD = 2048, 65_536
+#: Queries and index rows multiplied at a time, and rows of either that a task holds. A task's Python takes some tens of MB by these, whatever the tables.
+ASKED, BLOCK, HELD = 256, 2048, 32_768
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int, masked: bool = False) -> DataFrame:
@@ -29,36 +29,41 @@ def knn(queries: DataFrame, index: DataFrame, k: int, masked: bool = False) -> D
     keys = ["bq", "bt"]
 
     def top(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _SCHEMA.empty_table()
-        a, ids, rows = _matrix(left["v"]), right["t_id"].to_numpy(), _matrix(right["v"])
-        more = min(k + 8, len(rows))
-        barred = _barred(left["allow"], right["t_group"]) if masked else None
-        parts = []
-        for start in range(0, len(a), BLOCK):
-            x = a[start : start + BLOCK]
-            out_of = None if barred is None else barred(start, start + len(x))
-            best_s, best_i = np.full((len(x), 0), 0.0), np.zeros((len(x), 0), np.int64)
-            for at in range(0, len(rows), BLOCK):
-                now = x @ rows[at : at + BLOCK].T
-                if out_of is not None:
-                    now[out_of[:, at : at + BLOCK]] = -np.inf
-                s = np.hstack([best_s, now])
-                i = np.hstack([best_i, np.broadcast_to(np.arange(at, min(at + BLOCK, len(rows))), (len(x), min(BLOCK, len(rows) - at)))])
-                order = np.lexsort((ids[i], -np.round(s, 12)), axis=1)[:, :more]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            exact = np.where(best_s == -np.inf, -np.inf, np.einsum("ij,ikj->ik", x, rows[best_i]))
-            order = np.lexsort((ids[best_i], -np.round(exact, 12)), axis=1)[:, :k]
-            parts.append((np.take_along_axis(exact, order, 1), np.take_along_axis(best_i, order, 1)))
-        best_s, best_i = np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
-        out = [pa.array(np.repeat(left["q_id"].to_numpy(), best_s.shape[1])), pa.array(ids[best_i].ravel()), right["t_label"].take(pa.array(best_i.ravel())).combine_chunks(), pa.array(best_s.ravel())]
-        return pa.Table.from_arrays(out, schema=_SCHEMA).filter(pa.array(best_s.ravel() > -np.inf))
+        return block_top(left, right, k, masked)
 
     part = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(top, "q_id long, t_id long, t_label int, sim double")
     w = Window.partitionBy("q_id").orderBy(F.round("sim", 12).desc(), "t_id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def block_top(left: pa.Table, right: pa.Table, k: int, masked: bool = False) -> pa.Table:
+    """The k best of a block of the index for each query of a block; vectors become doubles a few at a time."""
+    if not left.num_rows or not right.num_rows:
+        return _SCHEMA.empty_table()
+    ids, queries, rows = right["t_id"].to_numpy(), _matrix(left["v"]), _matrix(right["v"])
+    more = min(k + 8, len(rows))
+    barred = _barred(left["allow"], right["t_group"]) if masked else None
+    parts = []
+    for start in range(0, len(queries), ASKED):
+        x = queries[start : start + ASKED].astype(np.float64)
+        best_s, best_i = np.full((len(x), 0), 0.0), np.zeros((len(x), 0), np.int64)
+        for at in range(0, len(rows), BLOCK):
+            stop = min(at + BLOCK, len(rows))
+            now = x @ rows[at:stop].astype(np.float64).T
+            if barred is not None:
+                now[barred(start, start + len(x), at, stop)] = -np.inf
+            s = np.hstack([best_s, now])
+            i = np.hstack([best_i, np.broadcast_to(np.arange(at, stop), now.shape)])
+            order = np.lexsort((ids[i], -np.round(s, 12)), axis=1)[:, :more]
+            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        exact = np.where(best_s == -np.inf, -np.inf, np.einsum("ij,ikj->ik", x, rows[best_i].astype(np.float64)))
+        order = np.lexsort((ids[best_i], -np.round(exact, 12)), axis=1)[:, :k]
+        parts.append((np.take_along_axis(exact, order, 1), np.take_along_axis(best_i, order, 1)))
+    best_s, best_i = np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
+    out = [pa.array(np.repeat(left["q_id"].to_numpy(), best_s.shape[1])), pa.array(ids[best_i].ravel()), right["t_label"].take(pa.array(best_i.ravel())).combine_chunks(), pa.array(best_s.ravel())]
+    return pa.Table.from_arrays(out, schema=_SCHEMA).filter(pa.array(best_s.ravel() > -np.inf))
+
+
 def knn_masked(queries: DataFrame, index: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     """knn among the index rows whose group a query's group allows; the mask is lifted where fewer than k rows survive it.
 
@@ -72,7 +77,7 @@ def knn_masked(queries: DataFrame, index: DataFrame, allowed: DataFrame, k: int)
 
 
 def _barred(allow: pa.ChunkedArray, groups: pa.ChunkedArray):
-    """A function of a range of queries that gives where (query, index row) is outside the query's groups; a row a different list."""
+    """A function of a range of queries and one of index rows that gives where (query, index row) is outside the query's groups; a row a different list."""
     coded = groups.combine_chunks().dictionary_encode()
     code = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
     place = {g: i for i, g in enumerate(coded.dictionary.to_pylist())}
@@ -83,7 +88,7 @@ def _barred(allow: pa.ChunkedArray, groups: pa.ChunkedArray):
         if x is not None:
             table[i] = True
             table[i, [place[g] for g in x if g in place]] = False
-    return lambda a, b: table[own[a:b]][:, code]
+    return lambda a, b, c, d: table[own[a:b, None], code[None, c:d]]
 
 
 def similar_groups(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -100,4 +105,4 @@ _SCHEMA = pa.schema([("q_id", pa.int64()), ("t_id", pa.int64()), ("t_label", pa.
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     flat = col.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
