@@ -126,3 +126,16 @@ def test_reward_counts_accented_letters_as_words(spark):
 
     d = spark.createDataFrame([("é_" * 12 + "a", "b")], "p string, t string")
     assert d.select(M.reward(F.col("p"), F.col("t")).alias("r")).first()["r"] == pytest.approx(0.1 * (1 - 0.02 * 3))
+
+
+def test_tolerance_join_deals_by_rows(spark, monkeypatch):
+    """Tasks grow with the rows, and hits do not change."""
+    from weftline.operators import joins
+
+    left = spark.range(100).selectExpr("id % 3 as b", "id as k")
+    right = spark.range(50).selectExpr("id * 2 % 3 as b", "id * 2 as k", "id as v")
+    want = rows(joins.tolerance_join(left, right, ["b"], "k", [0, -3, 3]))
+    monkeypatch.setattr(joins, "TASK_ROWS", 25)
+    got = joins.tolerance_join(left, right, ["b"], "k", [0, -3, 3])
+    assert rows(got) == want and sum(r[2] == 0 for r in want) == 50
+    assert got.rdd.getNumPartitions() == 10

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.ranges import carried
 from weftline.operators.split import _cut
 
 
+#: Rows that a task sorts.
+TASK_ROWS = 1_000_000
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def tolerance_join(left: DataFrame, right: DataFrame, by: list[str], key: str, offsets: list[int]) -> DataFrame:
     """For each left row the right row at key + the first offset that has one; adds prio (null: none).
 
     The right side is laid out once for each offset, so the left side is shuffled once and keeps its other columns,
     nulls and repeated rows as they are. Several right rows at a key count as one: the smallest by their other columns.
+    Both sides are dealt by the keys to as many tasks as their rows ask for, before anything is sorted, so that what a task sorts does not grow.
     """
     other = [c for c in right.columns if c not in (*by, key)]
+    right = _cut(right)
+    tasks = _tasks(left.sparkSession, left.count() + right.count() * len(offsets))
     at = F.posexplode(F.array(*map(F.lit, offsets))).alias("prio", "offset")
     spread = right.select("*", at).select(*by, (F.col(key) - F.col("offset")).alias(key), F.struct("prio", *other).alias("__b"))
-    best = spread.groupBy(*by, key).agg(F.min("__b").alias("__b"))
-    return left.join(best, [*by, key], "left").select(*left.columns, *[F.col(f"__b.{c}").alias(c) for c in ("prio", *other)])
+    best = spread.repartition(tasks, *by, key).groupBy(*by, key).agg(F.min("__b").alias("__b"))
+    return left.repartition(tasks, *by, key).join(best, [*by, key], "left").select(*left.columns, *[F.col(f"__b.{c}").alias(c) for c in ("prio", *other)])
 
 
 def with_name_fallback(left: DataFrame, right: DataFrame, by: list[str], key: str, offsets: list[int], names: list[str], value: str) -> DataFrame:
