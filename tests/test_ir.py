@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from weftline.operators import ir
+from weftline.operators import ir, ranges
 
 
 def rows(df):
@@ -110,3 +110,24 @@ def test_carry_forward_over_a_large_group(spark):
     lines = spark.range(4000).selectExpr("'b' as binary", "id as line_no", "case when id % 900 = 10 then concat('s', id) end as mark").repartition(7)
     got = {r["line_no"]: r["section"] for r in ir.carry_forward(lines, ["binary"], "line_no", F.col("mark"), "section").collect()}
     assert got == {i: None if i < 10 else f"s{(i - 10) // 900 * 900 + 10}" for i in range(4000)}
+
+
+def test_a_binary_is_shared_by_many_tasks(spark, monkeypatch):
+    """The lines of one binary are dealt by ranges; what they carry is that of one pass in their order."""
+    lines = [f"{i:08x}: sub f{i}()" if i % 40 == 0 else f"{i:08x}:" if i % 10 == 1 else f".address 0x{i:x}" if i % 7 == 0 else f"{i:08x}: RAX := {i}" for i in range(8000)]
+    df = spark.createDataFrame([("b", i, v) for i, v in enumerate(lines)], "binary string, line_no long, value string")
+    dealt, real = [], ranges.ranged
+    monkeypatch.setattr(ranges, "ranged", lambda *a: dealt.append(real(*a)) or dealt[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        s = ir.statements_of(df)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in dealt[0].groupBy("__r").count().collect()) < 6000
+    addr = sub = block = None
+    want = {}
+    for i, v in enumerate(lines):
+        addr = i if v.startswith(".") else addr
+        sub, block = (i, i) if " sub " in v else (sub, i if v.endswith(":") else block)
+        want[i] = (addr, sub, block)
+    assert {r["line_no"]: (r["addr"], r["sub_at"], r["block_at"]) for r in s.collect()} == want

@@ -86,16 +86,17 @@ def statements_of(lines: DataFrame) -> DataFrame:
         .when(v.rlike(hexa + r"sub (\S+?)\((.*)\)\s*$"), "sub").when(v.rlike(hexa + r"\S+ :: (in out|in|out) "), "param")
         .when(v.rlike(r"^[0-9a-fA-F]+:\s*$"), "block").when(v.rlike(hexa), "stmt").when(v.rlike(r"^\s"), "more").otherwise("blank")
     )
-    s = lines.select("binary", "line_no", "value", kind.alias("kind")).where("kind <> 'blank'")
-    w = Window.partitionBy("binary").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    # Written first, as dealing by ranges reads its rows twice.
+    s = _cut(lines.select("binary", "line_no", "value", kind.alias("kind")).where("kind <> 'blank'"))
     at = F.col("line_no")
-    s = s.withColumns({
-        "addr": F.last(F.when(F.col("kind") == "address", F.conv(F.regexp_extract(v, r"0x([0-9a-fA-F]+)", 1), 16, 10).cast("long")), True).over(w),
-        "sub_at": F.max(F.when(F.col("kind") == "sub", at)).over(w),
-        "block_at": F.max(F.when(F.col("kind").isin("block", "sub"), at)).over(w),
-        "head_at": F.max(F.when(F.col("kind") != "more", at)).over(w),
-        "stmt_at": F.max(F.when(F.col("kind") == "stmt", at)).over(w),
-    })
+    # Line numbers ascend, so the last is the greatest; a binary of any size is shared by many tasks.
+    s = carried(s, ["line_no"], {
+        "addr": F.when(F.col("kind") == "address", F.conv(F.regexp_extract(v, r"0x([0-9a-fA-F]+)", 1), 16, 10).cast("long")),
+        "sub_at": F.when(F.col("kind") == "sub", at),
+        "block_at": F.when(F.col("kind").isin("block", "sub"), at),
+        "head_at": F.when(F.col("kind") != "more", at),
+        "stmt_at": F.when(F.col("kind") == "stmt", at),
+    }, by=["binary"])
     return s.where("sub_at is not null")
 
 
@@ -116,7 +117,7 @@ class Parsed:
 
 
 def parse(lines: DataFrame) -> Parsed:
-    """Functions of IR text lines(binary, line_no, value), by windows over the lines of a binary.
+    """Functions of IR text lines(binary, line_no, value), by values carried over the lines of a binary.
 
     functions(binary, sub, name_kind, entry, num_blocks, n_stmts, n_import_calls, in_args, has_result, arg_regs),
     blocks(binary, sub, id, label, addr, tokens, lits, external), edges(binary, sub, src, dst) between block ids,
@@ -157,10 +158,12 @@ def parse(lines: DataFrame) -> Parsed:
         .when(back, "RETURN").when(flag("tail"), "TAILJUMP_INDIRECT").otherwise("CALL_INDIRECT")
     )
     token = F.when(t.isNotNull(), of_call).when(stmt.startswith("when "), branch_token(stmt)).otherwise(instruction_class(stmt))
-    p = _cut(p.withColumn("token", token).withColumn("n", F.row_number().over(Window.partitionBy("binary", "sub").orderBy("at"))))
+    p = _cut(p.withColumn("n", F.row_number().over(Window.partitionBy("binary", "sub").orderBy("at"))))
+    # Classes are worked out where they are asked for: blocks and statements, not edges and functions.
+    classed = p.withColumn("token", token)
 
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("x")))), lambda y: y["x"])
-    rows = p.withColumn("lit", literal_tokens(stmt))
+    rows = classed.withColumn("lit", literal_tokens(stmt))
     blocks = rows.groupBy("binary", "sub", "id").agg(F.array_compact(ordered("token")).alias("tokens"), F.flatten(ordered("lit")).alias("lits"), F.min_by(F.when(F.col("kind") == "import", F.col("callee")), F.when(F.col("kind") == "import", F.col("at"))).alias("external"))
     blocks = held.select("binary", "sub", "id", "label", F.col("block_addr").alias("addr")).join(blocks, ["binary", "sub", "id"])
     jumps = p.select("binary", "sub", F.col("id").alias("src"), F.explode(F.regexp_extract_all(stmt, F.lit(r"(?:goto|return)\s+%([0-9a-fA-F]+)"), F.lit(1))).alias("to"))
@@ -180,7 +183,7 @@ def parse(lines: DataFrame) -> Parsed:
     )
     none = F.array().cast("array<string>")
     functions = f.select("binary", "sub", what.alias("name_kind"), F.coalesce("sub_addr", "first_addr").alias("entry"), "num_blocks", "n_stmts", "n_import_calls", F.coalesce("in_args", F.lit(0)).alias("in_args"), flag("has_result").alias("has_result"), F.coalesce("arg_regs", none).alias("arg_regs"))
-    return Parsed(functions, blocks, edges, calls, p.select("binary", "sub", "at", "id", "stmt", "token"))
+    return Parsed(functions, blocks, edges, calls, classed.select("binary", "sub", "at", "id", "stmt", "token"))
 
 
 def global_references(parsed: Parsed) -> DataFrame:
