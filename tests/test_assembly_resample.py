@@ -103,3 +103,20 @@ def test_router_of_three_heads(spark):
         assert {r[0] for r in router.multi_router(flat, ["x"], "y", "w", ties, 2).transform(flat).select("prediction").collect()} == {ties[0]}
     one = df.where("y = 1")
     assert {r[0] for r in router.multi_router(one, ["x"], "y", "w", [0.0, 1.0, 2.0], 2).transform(one).select("prediction").collect()} == {1.0}
+
+
+@pytest.mark.parametrize("batch", [1, 3])
+def test_builds_that_share_all_tokens_are_decided_by_batches(spark, monkeypatch, batch):
+    """Forty builds of the same few tokens: batches and all containments at once decide alike, and later builds meet kept ones only."""
+    r = random.Random(batch)
+    rows = [(b % 2, b, t, r.randrange(1, 9)) for b in range(40) for t in range(5)]
+    df = spark.createDataFrame(rows, "program int, build int, tok int, cnt int")
+    decided = lambda: {tuple(x) for x in split.duplicate_builds(df, 0.8).collect()}
+    monkeypatch.setattr(split, "DENSE", 10**9)
+    want = decided()
+    monkeypatch.setattr(split, "DENSE", 0)
+    monkeypatch.setattr(split, "BATCH", batch)
+    calls, real = [], split.contained_builds
+    monkeypatch.setattr(split, "contained_builds", lambda *a: calls.append(len(a)) or real(*a))
+    assert decided() == want and 0 < sum(not k for *_, k in want) < 40
+    assert calls.count(4) > 1
