@@ -139,3 +139,15 @@ def test_tolerance_join_deals_by_rows(spark, monkeypatch):
     got = joins.tolerance_join(left, right, ["b"], "k", [0, -3, 3])
     assert rows(got) == want and sum(r[2] == 0 for r in want) == 50
     assert got.rdd.getNumPartitions() == 10
+
+
+def test_tied_functions_do_not_depend_on_the_order_of_rows(spark):
+    """Two functions of one name and place: the smaller body counts, whichever row comes first."""
+    from weftline.operators import split
+
+    tied = [(1, 0, "f", "b", 20, 5), (1, 0, "f", "a", 20, 5)]
+    other = [(1, 1, "f", "a", 20, 1)]
+    schema = "program int, opt int, name string, body string, words int, at int"
+    for some in (tied, tied[::-1]):
+        df = spark.createDataFrame(some + other, schema).coalesce(1)
+        assert rows(split.build_identity(df, "program", "opt", "name", "body", "words", "at")) == [(1, 0, 1, 1, 1, 1, 1)]
