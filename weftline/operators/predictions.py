@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.metrics import edit_similarity
 from weftline.functions.names import split_name
+from weftline.operators.blocks import best_sets
 from weftline.operators.split import _cut
 
 
@@ -167,8 +168,8 @@ def grid(rows: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     return rows
 
 
-#: Sets of at most WHOLE shared elements are met by all their subsets (63), larger ones by those of at most PARTIAL elements.
-WHOLE, PARTIAL = 6, 3
+#: Sets of at most WHOLE shared elements are met by all their subsets (63), larger ones by blocks; asked sets are dealt to PARTIAL blocks at least.
+WHOLE, PARTIAL = 6, 8
 
 
 def best_jaccard(asked: DataFrame, classes: DataFrame) -> DataFrame:
@@ -178,39 +179,32 @@ def best_jaccard(asked: DataFrame, classes: DataFrame) -> DataFrame:
     and the only one if it is one; g and only are structs, so that a null group is a group.
 
     The best match of S is the best of |U| / (|S| + |T| - |U|) over the subsets U of S and the smallest T that contains U: a T that
-    shares more than U is met again by a larger U. So classes send their subsets once with their size, and small sets are never
-    paired, however common an element is. A pair with a large set may share more elements than the subsets of that have; then it
-    shares one that is not among the commonest of either, and is compared where such elements meet, without leaving the
-    task but for the best score. Elements of one set only are in no subset. A subset goes by 96 bits of hashes.
+    shares more than U is met again by a larger U. So small classes send their subsets once with their size, and small sets are never
+    paired, however common an element is. A pair with a large set is compared in a task of its two blocks, without leaving
+    it but for the best score. Elements of one set only are in no subset. A subset goes by 96 bits of hashes, an element of a large set by 64.
     """
     df = classes.select("s").union(asked.select("s")).distinct().select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     classes = _cut(_shared(classes, df))
     asked = _cut(_shared(asked, df).withColumn("id", F.monotonically_increasing_id()))
-    equal = asked.join(classes.select("s", "n_h", "only"), "s").where((F.col("n_h") > 1) | (F.col("only") != F.col("g"))).select("id", F.lit(1.0).alias("j"))
-    found = equal.unionByName(_best_subsets(asked, classes)).unionByName(_best_pairs(asked, classes))
-    return asked.select("id", "s", "g").join(found.groupBy("id").agg(F.max("j").alias("j")), "id").select("s", "g", "j")
+    equal = asked.hint("merge").join(classes.select("s", "n_h", "only"), "s").where((F.col("n_h") > 1) | (F.col("only") != F.col("g"))).select("id", F.lit(1.0).alias("j"))
+    found = equal.unionByName(_best_subsets(asked, classes)).unionByName(_best_blocks(asked, classes))
+    return asked.select("id", "s", "g").hint("merge").join(found.groupBy("id").agg(F.max("j").alias("j")), "id").select("s", "g", "j")
 
 
 def _shared(sets: DataFrame, df: DataFrame) -> DataFrame:
     """Adds c: the elements of s that other sets hold too, rare ones first."""
-    kept = sets.select("s").distinct().select("s", F.explode("s").alias("t")).join(df.where(F.col("df") > 1), "t")
+    kept = sets.select("s").distinct().select("s", F.explode("s").alias("t")).hint("merge").join(df.where(F.col("df") > 1), "t")
     c = kept.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("c"))
-    return sets.join(c, "s", "left").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
+    return sets.hint("merge").join(c, "s", "left").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
 
 
 def _subsets(sets: DataFrame, *columns: str | Column) -> DataFrame:
-    """columns with u (two hashes) and k (its size), a row for each subset."""
+    """columns with u (two hashes) and k (its size), a row for each subset of the small sets."""
     t, n = F.array_sort("c"), F.size("c")
     bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
-    behind = lambda i: F.slice(t, i + 2, F.greatest(n - i - 1, F.lit(0)))
     every = F.transform(F.sequence(F.lit(1), bit(F.least(n, F.lit(WHOLE))) - 1), lambda m: F.filter(t, lambda _, i: m.bitwiseAND(bit(i)) != 0))
-    few = F.transform(t, lambda x: F.array(x))
-    if PARTIAL > 1:
-        few = F.concat(few, F.flatten(F.transform(t, lambda x, i: F.transform(behind(i), lambda y: F.array(x, y)))))
-    if PARTIAL > 2:
-        few = F.concat(few, F.flatten(F.flatten(F.transform(t, lambda x, i: F.transform(behind(i), lambda y, j: F.transform(behind(i + j + 1), lambda z: F.array(x, y, z)))))))
-    u = F.explode(F.when(n <= WHOLE, every).otherwise(few)).alias("__u")
-    rows = sets.where(n > 0).select(*columns, u)
+    u = F.explode(every).alias("__u")
+    rows = sets.where((n > 0) & (n <= WHOLE)).select(*columns, u)
     return rows.select(*[c for c in rows.columns if c != "__u"], F.struct(F.xxhash64("__u").alias("a"), F.hash("__u").alias("b")).alias("u"), F.size("__u").alias("k"))
 
 
@@ -227,20 +221,13 @@ def _best_subsets(asked: DataFrame, classes: DataFrame) -> DataFrame:
     return q.select("id", (F.col("k") / (F.col("n_s") + n - F.col("k"))).alias("j")).where("j is not null").groupBy("id").agg(F.max("j").alias("j"))
 
 
-def _best_pairs(asked: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, j): the same for pairs of which one side is large and which share more than PARTIAL elements: one of them is not among the PARTIAL commonest of either."""
-    rare = F.explode(F.slice("c", F.lit(1), F.greatest(F.size("c") - PARTIAL, F.lit(0)))).alias("t")
-    bits = F.aggregate("c", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(t).bitwiseAND(F.lit(63)).cast("int"))))
-    # Two sets share no more elements than bits, and one for each element of a set whose bit another one of it has.
-    sides = [d.withColumn("z", bits).withColumn("y", F.size("c") - F.bit_count("z")) for d in (asked, classes)]
-    a = sides[0].select("id", "g", F.size("s").alias("n_s"), "c", "z", "y", rare)
-    b = sides[1].select(F.col("c").alias("d"), F.col("z").alias("z_d"), F.col("y").alias("y_d"), F.size("s").alias("m"), "n_h", "only", rare)
-    big = lambda c: F.size(c) > WHOLE
-    met = a.where(big("c")).join(b, "t").unionByName(a.where(~big("c")).join(b.where(big("d")), "t"))
-    enough = F.bit_count(F.col("z").bitwiseAND(F.col("z_d"))) + F.least("y", "y_d") > PARTIAL
-    met = met.where(enough & ((F.col("n_h") > 1) | (F.col("only") != F.col("g"))))
-    inter = F.size(F.array_intersect("c", "d"))
-    return met.select("id", "n_s", "m", inter.alias("i")).select("id", (F.col("i") / (F.col("n_s") + F.col("m") - F.col("i"))).alias("j")).groupBy("id").agg(F.max("j").alias("j"))
+def _best_blocks(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, j): the same for pairs of which one side is large."""
+    hashes = F.transform("c", lambda t: F.xxhash64(t)).alias("es")
+    n, many, big = F.size("s").cast("long").alias("n"), (F.col("n_h") > 1).alias("many"), F.size("c") > WHOLE
+    x = lambda c: asked.where(c & (F.size("c") > 0)).select("id", F.xxhash64("g").alias("g"), n, hashes)
+    y = lambda c: classes.where(c & (F.size("c") > 0)).select(n, many, F.coalesce(F.xxhash64("only"), F.lit(0)).alias("only"), hashes)
+    return best_sets(x(big), y(F.lit(True)), PARTIAL).unionByName(best_sets(x(~big), y(big), PARTIAL))
 
 
 def vocabulary_oracle(rows: DataFrame, train: DataFrame, key: str, name: str) -> DataFrame:
