@@ -58,7 +58,7 @@ def split_guard(t):
 @query("WITH RECURSIVE s AS (SELECT DISTINCT source AS o, unnest(string_split(lower(text), ' ')) AS e FROM documents), n AS (SELECT o, count(*) AS n FROM s GROUP BY o HAVING count(*) >= 20), p AS (SELECT a.o AS a, b.o AS b, count(*) AS inter FROM s a JOIN s b ON a.e = b.e AND a.o < b.o GROUP BY 1, 2), e0 AS (SELECT a, b FROM p JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE inter::DOUBLE / least(x.n, y.n) >= 0.35), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
 def families(t):
     """Components of the sources that share words."""
-    s = t.documents.select("source", F.explode(F.split(F.lower("text"), " ")).alias("e"))
+    s = t.documents.select("source", F.split(F.lower("text"), " ").alias("e"))
     return P.components(J.overlap_pairs(s, "source", "e", 0.35, 20))
 
 
