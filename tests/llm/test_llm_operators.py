@@ -219,6 +219,19 @@ def test_line_dedup_meets_every_pair_of_one_word(spark):
     assert len(within) > 50 and all(got[2 * i] == 1 and got[2 * i + 1] == 0 for i in within)
 
 
+def test_line_dedup_meets_every_pair_of_a_key(spark, monkeypatch):
+    """Lines that share all keys, each with one copy among them that is neither the least line nor near in order."""
+    monkeypatch.setattr(linededup, "SLOT", 16)
+    rng, base = random.Random(8), [f"basewrd{c}" for c in "abcdefghi"]
+    docs = []
+    for i in range(40):
+        z = "".join(rng.choices("abcdefghijklmnopqrst", k=24))
+        docs += [(2 * i + j, " ".join([*base[:5], x, *base[5:]])) for j, x in enumerate((z, z[:12] + "z" + z[13:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_kept"] for r in linededup.dedup_report(df).collect()}
+    assert got == {i: 1 - i % 2 for i in range(80)}
+
+
 def test_licenses_are_inherited_from_the_nearest_directory(spark):
     files = spark.createDataFrame(
         [("/a/LICENSE", "Released under the MIT License.", True), ("/a/b/LICENSE", "Licensed under the Apache License, Version 2.0.", True), ("/a/x.c", "code", False), ("/a/b/c/y.c", "code", False), ("/a/b/z.c", "x\nThis work is licensed under the GNU General Public License, version 3.", False), ("/q/w.c", "licensed to nobody", False), (None, None, None)],

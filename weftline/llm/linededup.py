@@ -8,10 +8,12 @@ into KEYS parts by their hashes, and the least BLOCKS hashes of a part (two at l
 two of the four parts at most, and of longer lines the least hashes outlast several changes. Lines of up to SHORT
 characters have instead the hashes of the line without each word, single words those of their first and last characters.
 
-Lines with equal keys are candidates: the lines of a key are sorted by their further keys, and each meets the least line
-and its two predecessors, so that pairs grow with lines and not with the square of a group. Pairs whose lengths or
-sketches (a bit for each word) are too far apart go; the others are verified by edit similarity (1 - edits / longer
-length >= SIMILARITY). Of each connected group of lines the first occurrence (doc_id, text hash, line number) stays.
+Lines with equal keys are candidates. First the lines of a key are sorted by their further keys, and each meets the least
+line and its two predecessors, which links most copies by pairs that grow with lines. Then, for each key whose lines are in
+several connected groups, all its pairs of lines from different groups meet, so that no pair of a key is left out; pairs
+within a group need no link. Pairs whose lengths or counts of letters differ by more edits than allowed go, which loses
+none; the others are verified by edit similarity (1 - edits / longer length >= SIMILARITY).
+Of each connected group of lines the first occurrence (doc_id, text hash, line number) stays.
 
 Defined results: lines without letters or digits are never duplicates and stay; a null text has one empty line;
 rows that repeat doc_id and text are one document, and null ids come first. What is left of a pair beyond LONG characters
@@ -28,17 +30,19 @@ from weftline.llm.common import connected_components, fits_broadcast, lookup_joi
 SIMILARITY = 0.9
 #: Keys a line, and words a key.
 KEYS, BLOCKS = 4, 6
-#: Characters of a line that has keys without a word; of a pair compared in a band; of a piece.
-SHORT, LONG, PIECE = 120, 20_000, 1_000
-#: Most differing bits of the sketches of a pair: two a changed word.
-BITS = 24
+#: Characters of a line that has keys without a word; of what is left of a pair that is compared in a band at once, or after bounds; of a piece.
+SHORT, BAND, LONG, PIECE = 120, 200, 20_000, 1_000
+#: Letters that are counted, as many to a long; each count is a byte.
+LETTERS = ("etaoins", "hrdlucm")
+#: Lines of a key that meet the others in one task.
+SLOT = 1_000
 #: Where the parts of the 64-bit hashes begin.
 _MARKS = [(i << 64) // KEYS - (1 << 63) for i in range(KEYS)]
 
 
-def words(line: Column) -> Column:
-    """The words of a line in lower case."""
-    return F.array_remove(F.split(line, r"[^\p{L}\p{N}]+"), "")
+def normal(line: Column) -> Column:
+    """The words of a line in lower case, joined by single spaces."""
+    return F.btrim(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "))
 
 
 def _text() -> Column:
@@ -46,15 +50,17 @@ def _text() -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, pos, h, k, len, key0.., few) of each line with a letter or digit: where it is, 128 bits of it, length and keys."""
+    """(doc, doc_id, pos, h, k, len, key0.., few) of each line with a letter or digit: where it is, 128 bits, length and keys of its normal form."""
     text = _text()
     d = docs.select(F.xxhash64(F.col("doc_id"), text).alias("doc"), "doc_id", F.posexplode(F.split(F.lower(text), "\n")).alias("pos", "line"))
-    d = d.select("doc", "doc_id", "pos", words(F.col("line")).alias("w"), F.char_length(F.btrim("line")).alias("len")).where(F.size("w") > 0)
-    one = F.when(F.size("w") == 1, F.get("w", F.lit(0))).alias("one")
-    d = d.select("doc", "doc_id", "pos", "len", F.transform("w", lambda x: F.xxhash64(x)).alias("t"), one)
+    # A cheap test of the line itself: one of its words would be pushed below and split the line twice.
+    d = d.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc", "doc_id", "pos", normal(F.col("line")).alias("line"))
+    own = [F.char_length("line").alias("len"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("k")]
+    one = F.when(~F.col("line").contains(" "), F.col("line")).alias("one")
+    d = d.select("doc", "doc_id", "pos", *own, F.transform(F.split("line", " "), lambda x: F.xxhash64(x)).alias("t"), one)
     marks = F.array(*[F.lit(m) for m in _MARKS])
     few = F.when(F.col("len") <= SHORT, _short_keys(F.col("t"), F.col("one")))
-    d = d.select("doc", "doc_id", "pos", "len", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("k"), F.sort_array(F.concat(F.array_distinct("t"), marks)).alias("s"), few.alias("few"))
+    d = d.select("doc", "doc_id", "pos", "h", "k", "len", F.sort_array(F.concat(F.array_distinct("t"), marks)).alias("s"), few.alias("few"))
     at = [F.array_position("s", F.lit(m)).cast("int").alias(f"p{j}") for j, m in enumerate(_MARKS)]
     d = d.select("doc", "doc_id", "pos", "h", "k", "len", "s", "few", *at, (F.size("s") + 1).alias(f"p{KEYS}"))
     length = lambda j: F.least(F.lit(BLOCKS), F.col(f"p{j + 1}") - F.col(f"p{j}") - 1)
@@ -63,24 +69,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _short_keys(t: Column, one: Column) -> Column:
-    """The hashes of a short line (of the hashes t of its words) and of it without each word; of a single word its first and last characters."""
-    n = F.size(t)
-    cut = F.transform(t, lambda x, i: F.xxhash64(F.lit("cut"), F.concat(F.slice(t, F.lit(1), i), F.slice(t, i + 2, n))))
-    whole = F.array(F.xxhash64(F.lit("cut"), t))
+    """Hashes of the words of a short line (of hashes t), in any order, and of those without each word; of a single word its first and last characters."""
+    part = lambda x: F.shiftright(x, 8)  # noqa: E731  # sums of as many as a short line has fit a long
+    total = F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s + part(x))
+    whole = F.array(F.xxhash64(F.lit("cut"), total))
+    cut = F.flatten(F.transform(F.array(total), lambda s: F.transform(t, lambda x: F.xxhash64(F.lit("cut"), s - part(x)))))
     ends = F.array(F.xxhash64(F.lit("head"), F.substring(one, 1, 5)), F.xxhash64(F.lit("tail"), F.substring(one, -5, 5)))
-    return F.array_distinct(F.when(n > 1, F.concat(whole, cut)).when(F.char_length(one) >= 10, F.concat(whole, ends)).otherwise(whole))
+    return F.array_distinct(F.when(F.size(t) > 1, F.concat(whole, cut)).when(F.char_length(one) >= 10, F.concat(whole, ends)).otherwise(whole))
 
 
-def candidate_pairs(keys: DataFrame, short: DataFrame) -> DataFrame:
-    """(x, y): pairs of lines (struct h, k) that share a key, x the smaller; see the module for which of them.
+def held_lines(keys: DataFrame, short: DataFrame) -> DataFrame:
+    """(line, key, n1..): the lines (struct h, k, len) of each key that several lines share, with their further keys.
 
-    keys(h, k, len, key0..) and short(h, k, len, key) are staged tables of distinct lines.
+    keys(h, k, len, key0..) and short(h, k, len, key) have a row for each occurrence of a line at least.
     """
     line = F.struct("h", "k", "len").alias("line")
     names = [f"key{j}" for j in range(KEYS)]
     # A key has its number or kind in its hash, so that all share one column.
-    each = keys.select(F.explode(F.array(*names)).alias("key")).where("key is not null").union(short.select("key"))
-    multi = stage(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "multi")
+    each = keys.select("h", F.explode(F.array(*names)).alias("key")).where("key is not null").union(short.select("h", "key"))
+    multi = stage(each.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), "multi")
     fits = fits_broadcast(multi)
     further = [f"n{i}" for i in range(1, KEYS)]
     turned = F.array(*[F.struct(*[F.col(names[(j + i) % KEYS]).alias(f"n{i}") for i in range(KEYS)]) for j in range(KEYS)])
@@ -88,23 +95,79 @@ def candidate_pairs(keys: DataFrame, short: DataFrame) -> DataFrame:
     held = held.select(line, F.explode(turned).alias("t")).select("line", F.col("t.n0").alias("key"), *[f"t.{c}" for c in further])
     held = lookup_join(held.where("key is not null"), multi, "key", "left_semi", fits=fits)
     few = lookup_join(short.select(line, "key"), multi, "key", "left_semi", fits=fits)
-    held = stage(held.select("line", "key", *further).union(few.select("line", "key", *[F.lit(None).cast("long") for _ in further])), "held")
+    held = stage(held.select("line", "key", *further).union(few.select("line", "key", *[F.lit(None).cast("long") for _ in further])).dropDuplicates(["line", "key"]), "held")
+    unstage(multi)
+    return held
+
+
+def candidate_pairs(keys: DataFrame, short: DataFrame) -> DataFrame:
+    """(x, y): the first pairs of lines (struct h, k) that share a key, x the smaller; see the module for which of them."""
+    return _neighbours(held_lines(keys, short))
+
+
+def _neighbours(held: DataFrame) -> DataFrame:
+    """(x, y): each line of a key with the least one and its two predecessors."""
     # Among the lines of a key those with equal further keys are adjacent.
-    w = Window.partitionBy("key").orderBy(*further, "line")
+    w = Window.partitionBy("key").orderBy(*[f"n{i}" for i in range(1, KEYS)], "line")
     near = held.select("line", F.array(F.first("line").over(w), F.lag("line", 1).over(w), F.lag("line", 2).over(w)).alias("xs"))
     near = near.select("line", F.explode("xs").alias("x")).where("x is not null and x <> line")
     near = near.select(F.least("x", "line").alias("x"), F.greatest("x", "line").alias("y"))
-    # Lengths are those of the lines as they stand, with marks that do not count: a little slack.
-    alike = F.least("x.len", "y.len") >= 0.8 * F.greatest("x.len", "y.len") - 4
-    return near.where(alike).select(F.struct("x.h", "x.k").alias("x"), F.struct("y.h", "y.k").alias("y")).distinct()
+    return _ends(near.where(_alike(near, "x", "y"))).distinct()
 
 
-def _texts_of(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(line, norm, sk): the words of each line of the pairs, joined by spaces, and a sketch with a bit for each word.
+def rest_pairs(held: DataFrame, comp: DataFrame, met: DataFrame) -> DataFrame:
+    """(x, y): all pairs of lines that share a key, are in different connected groups and have not met; exact.
 
-    They are read again at one of the line's occurrences.
+    comp(node, component) are the groups so far (a line without one is a group), met(x, y) the pairs so far. Of the largest
+    group of a key no two lines meet, so a key of copies costs as many pairs as it has other lines. A key of many lines
+    is dealt to as many tasks as it has SLOT lines.
     """
-    ends = stage(pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct().select("line.h", "line.k"), "ends")
+    own = F.struct("line.h", "line.k")
+    group = comp.select(F.col("node").alias("id"), "component")
+    at = held.select("key", "line", own.alias("id")).join(group, "id", "left").select("key", "line", F.coalesce("component", "id").alias("g"))
+    by = at.groupBy("key", F.col("g.h").alias("gh"), F.col("g.k").alias("gk")).agg(F.count("*").alias("n"))
+    by = by.groupBy("key").agg(F.max(F.struct("n", F.struct(F.col("gh").alias("h"), F.col("gk").alias("k")).alias("g"))).alias("top"), F.count("*").alias("groups"), F.sum("n").alias("n"))
+    slots = F.ceil(F.col("n") / SLOT).cast("int").alias("slots")
+    at = stage(at.join(by.where("groups > 1").select("key", F.col("top.g").alias("top"), slots), "key"), "at")
+    few = at.where("g <> top").select("key", F.col("line").alias("u"), F.col("g").alias("gu"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    all_ = at.select("key", F.col("line").alias("v"), F.col("g").alias("gv"), "top", F.pmod(F.xxhash64("line.k"), F.col("slots")).cast("int").alias("slot"))
+    both = few.join(all_, ["key", "slot"])
+    both = both.where((F.col("gu") != F.col("gv")) & ((F.col("gv") == F.col("top")) | (F.col("u") < F.col("v"))) & _alike(both, "u", "v"))
+    both = both.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+    out = stage(_ends(both).distinct().join(met, ["x", "y"], "left_anti"), "rest")
+    unstage(at)
+    return out
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*[F.struct(f"{c}.h", f"{c}.k").alias(c) for c in "xy"])
+
+
+def _alike(pairs: DataFrame, x: str, y: str) -> Column:
+    """False only when the lengths, or the counts of letters where the lines have them, differ by more edits than are allowed."""
+    most = _most(F.col(f"{x}.len"), F.col(f"{y}.len"))
+    out = F.abs(F.col(f"{x}.len") - F.col(f"{y}.len")) <= most
+    if "l0" in pairs.schema[x].dataType.names:
+        part = lambda c, i: F.shiftright(c, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+        both = [(part(F.col(f"{x}.l{j}"), i), part(F.col(f"{y}.l{j}"), i)) for j, s in enumerate(LETTERS) for i in range(len(s))]
+        over = lambda ab: sum((F.greatest(a - b, F.lit(0).cast("long")) for a, b in ab[1:]), F.greatest(ab[0][0] - ab[0][1], F.lit(0).cast("long")))
+        out = out & (over(both) <= most) & (over([(b, a) for a, b in both]) <= most)
+    return out
+
+
+def _most(a: Column, b: Column) -> Column:
+    """The edits allowed between texts of two lengths."""
+    return F.floor(F.greatest(a, b) * (1 - SIMILARITY) + 1e-9).cast("int")
+
+
+def _letters(norm: Column, letters: str) -> Column:
+    """How often each letter is in a text, 255 at most, a byte each. An edit takes one letter away and adds one, at most."""
+    count = lambda c: F.least(F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(c), F.lit(""))), F.lit(255)).cast("long")
+    return sum((F.shiftleft(count(c), 8 * i) for i, c in enumerate(letters[1:], 1)), count(letters[0]))
+
+
+def _texts_of(docs: DataFrame, lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """(line, norm, l0..): the normal form of each line of ends(h, k) and its counts of letters, read again at one of its occurrences."""
     found = lookup_join(lines.select("h", "k", "doc", "doc_id", "pos"), ends, ["h", "k"], "left_semi")
     once = found.groupBy("h", "k").agg(F.min("doc").alias("doc"), F.min("doc_id").alias("id"), F.min("pos").alias("pos"), F.count("*").alias("c"))
     # Most lines occur once, where the three least values are its place; of the others a first place is taken.
@@ -114,35 +177,41 @@ def _texts_of(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     where = stage(where, "where")
     source = docs.select(F.xxhash64(F.col("doc_id"), _text()).alias("doc"), "doc_id", _text().alias("text"))
     same = (source["doc"] == where["doc"]) & source["doc_id"].eqNullSafe(where["id"])
-    read = lookup_join(source, where, same, "inner").select(F.split("text", "\n").alias("ls"), "at")
+    read = lookup_join(source, where, same, "inner").select(F.split(F.lower("text"), "\n").alias("ls"), "at")
     read = read.select(F.explode(F.transform("at", lambda a: F.struct(a["line"].alias("line"), F.get("ls", a["pos"]).alias("raw")))).alias("f"))
-    read = read.select("f.line", words(F.lower("f.raw")).alias("w"))
-    sketch = F.aggregate("w", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(63).cast("int"))))
-    return stage(read.select("line", F.array_join("w", " ").alias("norm"), sketch.alias("sk")).dropDuplicates(["line"]), "norms")
+    read = read.select("f.line", normal(F.col("f.raw")).alias("norm")).dropDuplicates(["line"])
+    out = stage(read.select("line", "norm", *[_letters(F.col("norm"), s).alias(f"l{j}") for j, s in enumerate(LETTERS)]), "norms")
+    unstage(where)
+    return out
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(doc, doc_id, pos) of each line that goes: all of a connected group but its first occurrence."""
     slim = docs.select("doc_id", "text")
     lines = stage(occurrences(slim), "lines")
-    names = [f"key{j}" for j in range(KEYS)]
-    keys = stage(lines.groupBy("h", "k").agg(*[F.min(n).alias(n) for n in ("len", *names)], F.count("*").alias("c")), "keys")
-    short = stage(lines.where("few is not null").select("h", "k", "len", F.explode("few").alias("key")).groupBy("h", "k", "key").agg(F.min("len").alias("len")), "short")
-    pairs = stage(candidate_pairs(keys, short), "pairs")
-    norms = _texts_of(slim, lines, pairs)
+    held = held_lines(lines, lines.where("few is not null").select("h", "k", "len", F.explode("few").alias("key")))
+    ends = stage(held.select("line.h", "line.k").distinct(), "ends")
+    norms = _texts_of(slim, lines, ends)
+    counts = [f"l{j}" for j in range(len(LETTERS))]
+    bare = held.withColumn("id", F.struct("line.h", "line.k")).join(norms.select(F.col("line").alias("id"), *counts), "id")
+    full = stage(bare.select(F.struct("line.*", *counts).alias("line"), "key", *[f"n{i}" for i in range(1, KEYS)]), "held")
+    pairs = stage(_neighbours(full), "pairs")
     fits = fits_broadcast(norms)
     linked = _verified(pairs, norms, fits)
-    comp = connected_components(linked)
+    first = connected_components(linked)
+    rest = rest_pairs(full, first, pairs)
+    more = _verified(rest, norms, fits)
+    comp = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     # Only lines that are repeated or linked can lose an occurrence; the others need no order.
-    again = keys.where("c > 1").select("h", "k", F.struct("h", "k").alias("g"))
+    again = lines.groupBy("h", "k").agg(F.count("*").alias("c")).where("c > 1").select("h", "k", F.struct("h", "k").alias("g"))
     both = comp.select("node.h", "node.k", F.col("component").alias("g"), F.lit(1).alias("l")).union(again.withColumn("l", F.lit(0)))
     group = stage(both.groupBy("h", "k").agg(F.max(F.struct("l", "g")).alias("m")).select("h", "k", "m.g"), "group")
     occ = F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id", "doc", "pos")
-    held = stage(lookup_join(lines.select("h", "k", occ.alias("occ")), group, ["h", "k"], "inner"), "occ")
-    keep = stage(held.groupBy("g").agg(F.min("occ").alias("keep")), "keep")
-    lost = lookup_join(held, keep, "g", "inner").where("occ <> keep").select("occ.doc", "occ.doc_id", "occ.pos")
+    found = stage(lookup_join(lines.select("h", "k", occ.alias("occ")), group, ["h", "k"], "inner"), "occ")
+    keep = stage(found.groupBy("g").agg(F.min("occ").alias("keep")), "keep")
+    lost = lookup_join(found, keep, "g", "inner").where("occ <> keep").select("occ.doc", "occ.doc_id", "occ.pos")
     out = stage(lost.distinct(), "lost")
-    unstage(lines, keys, short, pairs, norms, linked, comp, group, held, keep)
+    unstage(lines, held, ends, norms, full, pairs, linked, first, rest, more, comp, group, found, keep)
     return out
 
 
@@ -150,10 +219,9 @@ def _verified(pairs: DataFrame, norms: DataFrame, fits: bool) -> DataFrame:
     """(a, b): the pairs (x, y) of lines within the edit similarity."""
     # Dealt before the joins: a filter is pushed below a later repartition and would run in the few tasks of the pairs.
     dealt = pairs.repartition(4 * shuffle_partitions(pairs.sparkSession), "x", "y")
-    cmp = lookup_join(dealt, norms.select(F.col("line").alias("x"), F.col("norm").alias("a"), F.col("sk").alias("p")), "x", "inner", fits=fits)
-    cmp = lookup_join(cmp, norms.select(F.col("line").alias("y"), F.col("norm").alias("b"), F.col("sk").alias("q")), "y", "inner", fits=fits)
-    near = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS
-    return stage(cmp.where(F.when(near, within_edits(F.col("a"), F.col("b"))).otherwise(False)).select(F.col("x").alias("a"), F.col("y").alias("b")), "linked")
+    cmp = lookup_join(dealt, norms.select(F.col("line").alias("x"), F.col("norm").alias("a")), "x", "inner", fits=fits)
+    cmp = lookup_join(cmp, norms.select(F.col("line").alias("y"), F.col("norm").alias("b")), "y", "inner", fits=fits)
+    return stage(cmp.where(within_edits(F.col("a"), F.col("b"))).select(F.col("x").alias("a"), F.col("y").alias("b")), "linked")
 
 
 def _let(value: Column, f) -> Column:
@@ -213,7 +281,7 @@ def within_edits(a: Column, b: Column) -> Column:
     edits of words at equal places, then of pieces that begin at the same words, bound the distance from above
     and may settle it, and runs of four characters from below; otherwise the rest is compared in a band (by proportional pieces beyond LONG characters).
     """
-    most = F.floor(F.greatest(F.char_length(a), F.char_length(b)) * (1 - SIMILARITY) + 1e-9).cast("int")
+    most = _most(F.char_length(a), F.char_length(b))
     total = lambda edits: F.aggregate(edits, F.lit(0), lambda s, e: s + e)
     by_words = lambda t: total(F.zip_with(t["x"], t["y"], lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))))
     by_piece = lambda t: total(F.zip_with(t["x"], t["y"], lambda p, q: F.when(p == q, 0).otherwise(_let(F.greatest(F.char_length(p), F.char_length(q)), lambda n: F.when(n <= PIECE, _core(p, q, F.levenshtein)).otherwise(n)))))
@@ -228,7 +296,7 @@ def within_edits(a: Column, b: Column) -> Column:
     def settled(x, y):
         n, edits = F.greatest(F.char_length(x), F.char_length(y)), F.call_function("levenshtein", x, y, most) >= 0
         bound = _let(F.struct(F.split(x, " ").alias("x"), F.split(y, " ").alias("y")), bounded)
-        return F.when(n <= most, True).when(n <= 40, edits).when(bound, True).when(far(x, y), False).when(n <= LONG, edits).otherwise(_let(_shares(x, y), by_piece) <= most)
+        return F.when(n <= most, True).when(n <= BAND, edits).when(bound, True).when(n <= PIECE, edits).when(far(x, y), False).when(n <= LONG, edits).otherwise(_let(_shares(x, y), by_piece) <= most)
 
     return F.when(F.abs(F.char_length(a) - F.char_length(b)) > most, False).otherwise(_core(a, b, settled))
 
