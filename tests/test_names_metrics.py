@@ -42,3 +42,19 @@ def test_masks_and_canonical(spark):
     assert one(spark, N.opt_of(a), a="pkg_tool_O2") == "O2"
     assert one(spark, N.digest_tokens(a), a='printf sendRequest 1234 "for" ab') == ["send", "request"]
     assert one(spark, N.string_tokens_v1(a), a="bad %d file_name 12 is ok") == ["bad", "file_name", "is", "ok"]
+
+
+def test_patterns_of_a_statement_are_tried_once(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import code
+
+    lines = [("1a: RBX := 0x%s" % h,) for h in ("0", "000", "1", "0f", "40", "ff", "ffff", "10000", "8000000000000000", "123456789abcdef0")]
+    lines += [("RBX := 12",), ("RBX := 7]",), ("RBX := #0x10 + 9",), ("RBX := 99999999999999999999",), ("call @sub_40 with return %1",), ("",), (None,)]
+    df = code.with_class(spark.createDataFrame(lines, "s string"), "s", "c")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") <= 4
+    got = df.select("c", code.instruction_class(F.col("s")).alias("o")).collect()
+    assert all(r["c"] == r["o"] for r in got)
+    want = ["_ZERO", "_ZERO", "_ONE", "_SMALL", "_POW2", "_BYTE", "_WORD", "_POW2", "_POW2", "_ADDR", "_SMALL", ""]
+    assert [r["c"] for r in got[:12]] == ["ASSIGN" + w for w in want] and got[14]["c"] == "CALL_INTERNAL"

@@ -66,24 +66,40 @@ def call_references(code: Column) -> Column:
 
 def immediate_bucket(line: Column) -> Column:
     """Class of the first constant: a hexadecimal one, or else a decimal one that no bracket or colon follows."""
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    digits = lambda h: F.struct(h.alias("h"), _decimal(line, h).alias("d"))
+    bucket = lambda s: once(_constant(s["h"], s["d"]), lambda v: _bucket(s["h"], v))
+    return once(_hexadecimal(line), lambda h: once(digits(h), bucket))
+
+
+# Patterns are tried only where a part that they need is found, which is the cheaper search.
+def _hexadecimal(line: Column) -> Column:
+    """The digits of the first hexadecimal constant without leading zeros (0 for zero), or nothing."""
+    h = F.when(line.contains("0x"), F.regexp_extract(line, r"(?<!#)\b0x0*([0-9a-fA-F]+)\b", 1))
+    return F.coalesce(h, F.lit(""))
+
+
+def _decimal(line: Column, hexadecimal: Column) -> Column:
+    d = F.when(hexadecimal == "", F.regexp_extract(line, r"(?<!#)(?<!\w)\b(\d+)\b(?![\]:}])", 1))
+    return F.coalesce(d, F.lit(""))
 
-    def bucket(v, top):
-        small = F.when(v == 0, "_ZERO").when(v == 1, "_ONE").when(v <= 15, "_SMALL").when(v.bitwiseAND(v - 1) == 0, "_POW2").when(v <= 255, "_BYTE")
-        return (small.when(v <= 0xFFFF, "_WORD").otherwise("_ADDR")) if top else small.otherwise("")
 
+def _constant(hexadecimal: Column, decimal: Column) -> Column:
+    """The constant, null where there is none or it is too wide for a long."""
+    by_hex = F.when((hexadecimal != "") & (F.length(hexadecimal) <= 15), F.conv(hexadecimal, 16, 10).cast("long"))
+    return by_hex.when((decimal != "") & (F.length(decimal) <= 18), decimal.cast("long"))
+
+
+def _bucket(hexadecimal: Column, v: Column) -> Column:
+    small = F.when(v == 0, "_ZERO").when(v == 1, "_ONE").when(v <= 15, "_SMALL").when(v.bitwiseAND(v - 1) == 0, "_POW2").when(v <= 255, "_BYTE")
     # A number too wide for a long is an address in either notation's rules unless it is a power of two.
-    hexa = F.ltrim(F.regexp_extract(line, r"(?<!#)\b0x([0-9a-fA-F]+)\b", 1), F.lit("0"))
-    some = line.rlike(r"(?<!#)\b0x[0-9a-fA-F]+\b")
-    wide = F.when(hexa.rlike("^[1248]0*$"), "_POW2").otherwise("_ADDR")
-    value = F.conv(F.when(hexa == "", "0").otherwise(hexa), 16, 10)
-    dec = F.regexp_extract(line, r"(?<!#)(?<!\w)\b(\d+)\b(?![\]:}])", 1)
-    by_dec = F.when(dec == "", "").when(F.length(dec) > 18, "").otherwise(bucket(dec.cast("long"), False))
-    return F.when(some, F.when(F.length(hexa) > 15, wide).otherwise(bucket(value.cast("long"), True))).otherwise(by_dec)
+    wide = F.when(hexadecimal.rlike("^[1248]0*$"), "_POW2").otherwise("_ADDR")
+    return small.when(hexadecimal == "", "").when(v <= 0xFFFF, "_WORD").when(v > 0xFFFF, "_ADDR").otherwise(wide)
 
 
 def operand_size(line: Column) -> Column:
-    n = F.regexp_extract(line, r":u(\d+)", 1)
-    return F.when(n == "", "").otherwise(F.concat(F.lit("_"), n))
+    n = F.when(line.contains(":u"), F.regexp_extract(line, r":u(\d+)", 1)).otherwise("")
+    return F.rtrim(F.concat(F.lit("_"), n), F.lit("_"))
 
 
 def arithmetic_class(line: Column) -> Column:
@@ -101,15 +117,18 @@ def _any(line: Column, parts) -> Column:
     return out
 
 
-def _class_of(line: Column, size: Column, imm: Column, op: Column) -> Column:
-    """The type token of a statement without its number, of its operand size, immediate bucket and arithmetic class."""
-    name = F.regexp_extract(line, r"call\s+@(\w+)(?::external)?", 1)
+def _called(line: Column) -> Column:
+    return F.when(line.contains("call"), F.regexp_extract(line, r"call\s+@(\w+)(?::external)?", 1)).otherwise("")
+
+
+def _class_of(line: Column, size: Column, imm: Column, op: Column, name: Column) -> Column:
+    """The type token of a statement without its number, of its operand size, immediate bucket, arithmetic class and called name."""
     put, mem, store = line.contains(":="), line.contains("mem"), line.contains("<-")
     cat = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
     out = F.when(line == "", None)
     out = out.when(name != "", F.when(name.rlike("^sub_[0-9a-fA-F]+(sub_|$)"), "CALL_INTERNAL").otherwise(cat("CALL_", name)))
-    out = out.when(line.rlike(r"call\s+(?:mem|#\d|R[A-Z])"), "CALL_INDIRECT")
-    out = out.when(line.rlike(r"\breturn\b") & ~line.contains("call"), "RETURN")
+    out = out.when(line.contains("call") & line.rlike(r"call\s+(?:mem|#\d|R[A-Z])"), "CALL_INDIRECT")
+    out = out.when(line.contains("return") & line.rlike(r"\breturn\b") & ~line.contains("call"), "RETURN")
     branch = F.coalesce(*[F.when(line.contains(f), F.lit(f"COND_BRANCH_{f}")) for f in FLAGS], F.lit("COND_BRANCH"))
     out = out.when(line.contains("when"), branch).when(line.contains("goto"), "BRANCH")
     for f in FLAGS:
@@ -138,16 +157,19 @@ def instruction_class(raw: Column) -> Column:
     table's column in generated code.
     """
     once = lambda value, f: F.transform(F.array(value), f)[0]
-    parts = lambda x: F.struct(x.alias("line"), operand_size(x).alias("size"), immediate_bucket(x).alias("imm"), arithmetic_class(x).alias("op"))
-    return once(_statement(raw), lambda x: once(parts(x), lambda s: _class_of(s["line"], s["size"], s["imm"], s["op"])))
+    parts = lambda x: F.struct(x.alias("line"), operand_size(x).alias("size"), immediate_bucket(x).alias("imm"), arithmetic_class(x).alias("op"), _called(x).alias("name"))
+    return once(_statement(raw), lambda x: once(parts(x), lambda s: _class_of(s["line"], s["size"], s["imm"], s["op"], s["name"])))
 
 
 def with_class(rows: DataFrame, raw: str, out: str) -> DataFrame:
     """Adds instruction_class of the column raw, by way of columns: what the rules ask for again and again is computed once a row."""
     r = rows.withColumn("__line", _statement(F.col(raw)))
     line = F.col("__line")
-    r = r.withColumns({"__size": operand_size(line), "__imm": immediate_bucket(line), "__op": arithmetic_class(line)})
-    return r.withColumn(out, _class_of(line, F.col("__size"), F.col("__imm"), F.col("__op"))).drop("__line", "__size", "__imm", "__op")
+    r = r.withColumns({"__hex": _hexadecimal(line), "__name": _called(line), "__size": operand_size(line), "__op": arithmetic_class(line)})
+    h, d, v = F.col("__hex"), F.col("__dec"), F.col("__v")
+    r = r.withColumn("__dec", _decimal(line, h)).withColumn("__v", _constant(h, d)).withColumn("__imm", _bucket(h, v))
+    held = ("__line", "__hex", "__dec", "__v", "__name", "__size", "__imm", "__op")
+    return r.withColumn(out, _class_of(line, F.col("__size"), F.col("__imm"), F.col("__op"), F.col("__name"))).drop(*held)
 
 
 def signature(blocks: Column) -> Column:
