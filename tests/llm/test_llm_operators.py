@@ -375,6 +375,23 @@ def test_line_links_against_brute_force(spark, con, texts):
     assert len(true) > 200 and np.mean(hit) >= 0.9
 
 
+def test_rare_words_make_the_keys_of_lines(spark):
+    """Lines that share common short words alone share no key by chance, and a pair of several keys meets once."""
+    rng, docs = random.Random(4), []
+    for i in range(300):
+        w = ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(5)]
+        docs.append((i, " ".join([*w, *"a an as at be by do he in is it of on or so to we".split()])))
+    lines = linededup.occurrences(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert linededup.candidate_pairs(lines, lines.where("few is not null").select("h", "k", "len", F.explode("few").alias("key"))).count() < 30
+    line = F.expr("named_struct('h', id, 'k', id, 'len', if(id = 9, 300, 100))").alias("line")
+    held = spark.range(10).select(line, F.explode(F.expr("array(struct(1 as key, 2L as n1, 3L as n2, 4L as n3), struct(2 as key, 3L as n1, 4L as n2, 1L as n3))")).alias("t"))
+    held = held.select("line", F.col("t.key").cast("long").alias("key"), "t.n1", "t.n2", "t.n3")
+    none = spark.createDataFrame([], "x struct<h: long, k: long>, y struct<h: long, k: long>")
+    comp = spark.createDataFrame([], "node struct<h: long, k: long>, component struct<h: long, k: long>")
+    rest = linededup.rest_pairs(held, comp, none)
+    assert sorted((r["x"]["h"], r["y"]["h"]) for r in rest.collect()) == [(i, j) for i in range(9) for j in range(i + 1, 9)]
+
+
 def test_line_pairs_grow_with_lines(spark):
     """A large group of near copies and one of a shared passage: pairs stay within a few a line."""
     rng, base = random.Random(2), [f"t{i}" for i in range(40)]

@@ -4,13 +4,14 @@ Lines are normalised to their words (lower case, runs of letters and digits) and
 Each distinct line gets a few keys of several hash blocks, so that two lines with some blocks changed still share a key.
 In a plain SimHash every word votes on every bit: one changed word in 27 flips some six of 64 bits and hardly a key
 survives (README: 41 % of true pairs were met). Here a block takes its bits from one word alone: words fall
-into KEYS parts by their hashes, and the least BLOCKS hashes of a part (two at least) make its key. One changed word touches
-two of the four parts at most, and of longer lines the least hashes outlast several changes. Lines of up to SHORT
+into KEYS parts by their hashes, and the least BLOCKS hashes of a part make its key, longer words first; a part of fewer than
+FEWEST words takes those of the next too, since keys of two or three common words met lines by chance, with the square of the
+lines. One changed word touches two of the four parts at most (more where parts are small), and of longer lines the least hashes outlast several changes. Lines of up to SHORT
 characters have instead the hashes of the line without each word, single words those of their first and last characters.
 
 Lines with equal keys are candidates. First the lines of a key are sorted by their further keys, and each meets the least
 line and its two predecessors, which links most copies by pairs that grow with lines. Then, for each key whose lines are in
-several connected groups, all its pairs of lines from different groups meet, so that no pair of a key is left out; pairs
+several connected groups, all its pairs of lines from different groups and with lengths in the same or adjacent classes meet (once, under the least key that they share), so that no pair of a key is left out; pairs
 within a group need no link. Pairs whose lengths or counts of letters differ by more edits than allowed go, which loses
 none; the others are verified by edit similarity (1 - edits / longer length >= SIMILARITY).
 Of each connected group of lines the first occurrence (doc_id, text hash, line number) stays.
@@ -28,14 +29,16 @@ from pyspark.sql import functions as F
 from weftline.llm.common import connected_components, fits_broadcast, lookup_join, shuffle_partitions, stage, unstage
 
 SIMILARITY = 0.9
-#: Keys a line, and words a key.
-KEYS, BLOCKS = 4, 6
+#: Keys a line, and words a key, at most and where a part has fewer.
+KEYS, BLOCKS, FEWEST = 4, 6, 4
 #: Characters of a line that has keys without a word; of what is left of a pair that is compared in a band at once, or after bounds; of a piece.
 SHORT, BAND, LONG, PIECE = 120, 200, 20_000, 1_000
 #: Letters that are counted, as many to a long; each count is a byte.
 LETTERS = ("etaoins", "hrdlucm")
 #: Lines of a key that meet the others in one task.
 SLOT = 1_000
+#: Width of a class of lengths, in logarithms: lines within the edits are in the same or in adjacent classes.
+STEP = 0.106
 #: Where the parts of the 64-bit hashes begin.
 _MARKS = [(i << 64) // KEYS - (1 << 63) for i in range(KEYS)]
 
@@ -57,17 +60,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
     d = d.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc", "doc_id", "pos", normal(F.col("line")).alias("line"))
     own = [F.char_length("line").alias("len"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("k")]
     one = F.when(~F.col("line").contains(" "), F.col("line")).alias("one")
-    d = d.select("doc", "doc_id", "pos", *own, F.transform(F.split("line", " "), lambda x: F.xxhash64(x)).alias("t"), one)
+    d = d.select("doc", "doc_id", "pos", *own, F.transform(F.split("line", " "), _word).alias("t"), one)
     marks = F.array(*[F.lit(m) for m in _MARKS])
     few = F.when(F.col("len") <= SHORT, _short_keys(F.col("t"), F.col("one")))
     d = d.select("doc", "doc_id", "pos", "h", "k", "len", F.sort_array(F.concat(F.array_distinct("t"), marks)).alias("s"), few.alias("few"))
     at = [F.array_position("s", F.lit(m)).cast("int").alias(f"p{j}") for j, m in enumerate(_MARKS)]
-    d = d.select("doc", "doc_id", "pos", "h", "k", "len", "s", "few", *at, (F.size("s") + 1).alias(f"p{KEYS}"))
-    length = lambda j: F.least(F.lit(BLOCKS), F.col(f"p{j + 1}") - F.col(f"p{j}") - 1)
-    key = lambda j: F.when((length(j) > 1) & (F.col("len") > SHORT // 2), F.xxhash64(F.lit(j), F.slice("s", F.col(f"p{j}") + 1, length(j))))
+    d = d.select("doc", "doc_id", "pos", "h", "k", "len", F.when(F.col("len") > SHORT // 2, F.concat("s", "s")).alias("s"), "few", *at, (F.size("s") + 1).alias(f"p{KEYS}"))
+    words = lambda j: F.col(f"p{j + 1}") - F.col(f"p{j}") - 1
+    # The words of the next part follow behind its mark.
+    length = lambda j: F.when(words(j) < FEWEST, FEWEST + 1).otherwise(F.least(F.lit(BLOCKS), words(j)))
+    key = lambda j: F.when((words(j) > 0) & (F.col(f"p{KEYS}") - KEYS > 2) & (F.col("len") > SHORT // 2), F.xxhash64(F.lit(j), F.slice("s", F.col(f"p{j}") + 1, length(j))))
     return d.select("doc", "doc_id", "pos", "h", "k", "len", *[key(j).alias(f"key{j}") for j in range(KEYS)], "few")
 
 
+def _word(x: Column) -> Column:
+    """The hash of a word; in each part longer words, which are less common, come before those of up to three bytes."""
+    short = 1 << (62 - (KEYS - 1).bit_length() + 1)
+    return F.xxhash64(x).bitwiseAND(F.lit(~short)).bitwiseOR(F.when(F.octet_length(x) <= 3, F.lit(short)).otherwise(F.lit(0).cast("long")))
+
+
 def _short_keys(t: Column, one: Column) -> Column:
     """Hashes of the words of a short line (of hashes t), in any order, and of those without each word; of a single word its first and last characters."""
     part = lambda x: F.shiftright(x, 8)  # noqa: E731  # sums of as many as a short line has fit a long
@@ -119,20 +130,25 @@ def rest_pairs(held: DataFrame, comp: DataFrame, met: DataFrame) -> DataFrame:
     """(x, y): all pairs of lines that share a key, are in different connected groups and have not met; exact.
 
     comp(node, component) are the groups so far (a line without one is a group), met(x, y) the pairs so far. Of the largest
-    group of a key no two lines meet, so a key of copies costs as many pairs as it has other lines. A key of many lines
-    is dealt to as many tasks as it has SLOT lines.
+    group of a key no two lines meet, so a key of copies costs as many pairs as it has other lines. Lines meet those of the
+    same and adjacent classes of lengths, under the least key that they share. A key of many lines is dealt to as many
+    tasks as it has SLOT lines.
     """
     own = F.struct("line.h", "line.k")
     group = comp.select(F.col("node").alias("id"), "component")
-    at = held.select("key", "line", own.alias("id")).join(group, "id", "left").select("key", "line", F.coalesce("component", "id").alias("g"))
+    further = [f"n{i}" for i in range(1, KEYS)]
+    at = held.select("key", "line", *further, own.alias("id")).join(group, "id", "left").select("key", "line", *further, F.coalesce("component", "id").alias("g"))
     by = at.groupBy("key", F.col("g.h").alias("gh"), F.col("g.k").alias("gk")).agg(F.count("*").alias("n"))
     by = by.groupBy("key").agg(F.max(F.struct("n", F.struct(F.col("gh").alias("h"), F.col("gk").alias("k")).alias("g"))).alias("top"), F.count("*").alias("groups"), F.sum("n").alias("n"))
     slots = F.ceil(F.col("n") / SLOT).cast("int").alias("slots")
     at = stage(at.join(by.where("groups > 1").select("key", F.col("top.g").alias("top"), slots), "key"), "at")
-    few = at.where("g <> top").select("key", F.col("line").alias("u"), F.col("g").alias("gu"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
-    all_ = at.select("key", F.col("line").alias("v"), F.col("g").alias("gv"), "top", F.pmod(F.xxhash64("line.k"), F.col("slots")).cast("int").alias("slot"))
-    both = few.join(all_, ["key", "slot"])
-    both = both.where((F.col("gu") != F.col("gv")) & ((F.col("gv") == F.col("top")) | (F.col("u") < F.col("v"))) & _alike(both, "u", "v"))
+    size = F.floor(F.log(F.col("line.len")) / STEP).cast("int")
+    few = at.where("g <> top").select("key", F.col("line").alias("u"), F.col("g").alias("gu"), *[F.col(c).alias(f"u{c}") for c in further], F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), size.alias("c"))
+    few = few.withColumn("size", F.explode(F.sequence(F.col("c") - 1, F.col("c") + 1)))
+    all_ = at.select("key", F.col("line").alias("v"), F.col("g").alias("gv"), *[F.col(c).alias(f"v{c}") for c in further], "top", F.pmod(F.xxhash64("line.k"), F.col("slots")).cast("int").alias("slot"), size.alias("size"))
+    both = few.join(all_, ["key", "size", "slot"])
+    lesser = lambda c: F.coalesce((F.col(f"u{c}") == F.col(f"v{c}")) & (F.col(f"u{c}") < F.col("key")), F.lit(False))
+    both = both.where((F.col("gu") != F.col("gv")) & ((F.col("gv") == F.col("top")) | (F.col("u") < F.col("v"))) & ~F.greatest(*[lesser(c) for c in further]) & _alike(both, "u", "v"))
     both = both.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
     out = stage(_ends(both).distinct().join(met, ["x", "y"], "left_anti"), "rest")
     unstage(at)
