@@ -1,8 +1,11 @@
 """Parsed IR text of two made-up programs: a queue with a stub, a guarded loop, both returns and tail calls."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
-from weftline.operators import ir, ranges
+from weftline.operators import ir, ranges, split
+from weftline.plans import registry
 
 
 def rows(df):
@@ -131,3 +134,42 @@ def test_a_binary_is_shared_by_many_tasks(spark, monkeypatch):
         sub, block = (i, i) if " sub " in v else (sub, i if v.endswith(":") else block)
         want[i] = (addr, sub, block)
     assert {r["line_no"]: (r["addr"], r["sub_at"], r["block_at"]) for r in s.collect()} == want
+
+
+def _as_arrays(spark, *programs):
+    """The lines of each program cut before the address of every subroutine: an array a subroutine."""
+    out = []
+    for b, text in programs:
+        starts = [i - 1 for i, x in enumerate(text) if " sub " in x]
+        out += [(b, i, text[i:j]) for i, j in zip(starts, [*starts[1:], len(text)], strict=True)]
+    return spark.createDataFrame(out, "binary string, line_no long, value array<string>").repartition(3)
+
+
+def test_arrays_of_whole_subroutines_give_what_lines_give(spark, parsed):
+    got = ir.parse(_as_arrays(spark, ("queue", QUEUE), ("other", OTHER)))
+    for table in ("functions", "blocks", "edges", "calls", "statements"):
+        assert rows(getattr(got, table)) == rows(getattr(parsed, table))
+    part = spark.createDataFrame([("b", 0, ["0000000a: RAX := 1"])], "binary string, line_no long, value array<string>")
+    with pytest.raises(Exception, match="hold whole subroutines"):
+        ir.parse(part)
+
+
+def test_text_is_not_shuffled_again(spark, monkeypatch):
+    """Lines of whole subroutines are read once; edges, calls, statements and blocks join only what is small, and functions are counted once."""
+    cuts, real = [], ir._cut
+    monkeypatch.setattr(ir, "_cut", lambda df, *a: cuts.append(df) or real(df, *a))
+    p = ir.parse(_as_arrays(spark, ("queue", QUEUE), ("other", OTHER)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for table in ("edges", "calls", "statements"):
+        assert "hashpartitioning" not in plan(getattr(p, table))
+    assert plan(p.functions.select("sub", "num_blocks", "n_import_calls")).count("hashpartitioning") == 1
+    assert sum("stmts" in df.columns or "blocks" in df.columns for df in cuts) == 1
+
+
+@pytest.mark.parametrize("query", ["ir_functions"])
+def test_text_made_from_orders_takes_little_disk(spark, tmp_path, monkeypatch, query):
+    """Of 40,000 lines, which give 187,000 lines of text, less than 2 MB of tables are written."""
+    spark.range(40_000).selectExpr("id div 3 as l_orderkey", "cast(id % 3 + 1 as int) as l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(split, "_shared_dir", lambda _: f"file://{tmp_path}/shared")
+    assert registry.QUERIES[query](spark, str(tmp_path)).count() > 13_000
+    assert sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(f"{tmp_path}/shared") for f in fs) < 2_000_000
