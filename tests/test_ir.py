@@ -166,7 +166,7 @@ def test_text_is_not_shuffled_again(spark, monkeypatch):
     assert sum("stmts" in df.columns or "blocks" in df.columns for df in cuts) == 1
 
 
-@pytest.mark.parametrize("query", ["ir_functions"])
+@pytest.mark.parametrize("query", ["ir_functions", "ir_edges"])
 def test_text_made_from_orders_takes_little_disk(spark, tmp_path, monkeypatch, query):
     """Of 40,000 lines, which give 187,000 lines of text, less than 2 MB of tables are written."""
     spark.range(40_000).selectExpr("id div 3 as l_orderkey", "cast(id % 3 + 1 as int) as l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
