@@ -166,7 +166,13 @@ def test_text_is_not_shuffled_again(spark, monkeypatch):
     assert sum("stmts" in df.columns or "blocks" in df.columns for df in cuts) == 1
 
 
-@pytest.mark.parametrize("query", ["ir_functions", "ir_edges"])
+def test_blocks_of_several_callees(spark):
+    text = listing([(0x10, "a", [], [("00000a01", [(0x10, "call @free with return %00000a01"), (0x11, "call @b with return %00000a01"), (0x12, "call @log with noreturn")]), ("00000a02", [(0x13, "call @b with noreturn")])]), (0x20, "b", [], [("00000b01", [(0x20, "call @b with noreturn")])])])
+    want = [("a", 0, ["CALL_free", "CALL_INTERNAL", "CALL_log"], "free"), ("a", 1, ["CALL_INTERNAL"], None), ("b", 0, ["CALL_INTERNAL"], None)]
+    assert rows(ir.parse(_as_arrays(spark, ("x", text))).blocks.select("sub", "id", "tokens", "external")) == want
+
+
+@pytest.mark.parametrize("query", ["ir_edges", "ir_functions", "ir_blocks"])
 def test_text_made_from_orders_takes_little_disk(spark, tmp_path, monkeypatch, query):
     """Of 40,000 lines, which give 187,000 lines of text, less than 2 MB of tables are written."""
     spark.range(40_000).selectExpr("id div 3 as l_orderkey", "cast(id % 3 + 1 as int) as l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
